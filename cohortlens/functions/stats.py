@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 Z_95 = 1.96
 INF = float("inf")
@@ -95,13 +96,13 @@ def softplus(x: Column) -> Column:
     return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_upper_tail(z: pd.Series) -> pd.Series:
     """One-sided p of a standard normal statistic."""
     return z.map(lambda v: None if pd.isna(v) else 0.5 * math.erfc(v / math.sqrt(2.0)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_1df_upper_tail(x: pd.Series) -> pd.Series:
     """p of a chi-square statistic with one degree of freedom."""
     return x.map(lambda v: None if pd.isna(v) else math.erfc(math.sqrt(v / 2.0)))
