@@ -182,10 +182,11 @@ def with_sections(df: DataFrame, text: str, order: Sequence[str] = SECTION_ORDER
         ),
     )
     kept = F.filter(F.col("_segments"), lambda s: s["name"].isin(list(order)) & (s["body"] != ""))
-    firsts = [
-        F.get(F.filter(F.col("_kept"), lambda s, n=name: s["name"] == n), F.lit(0))
-        for name in order
-    ]
+
+    def first_of(name: str) -> Column:
+        return F.get(F.filter(F.col("_kept"), lambda s: s["name"] == name), F.lit(0))
+
+    firsts = [first_of(name) for name in order]
     return (
         df.withColumn("_segments", segments)
         .withColumn("_kept", kept)

@@ -60,27 +60,28 @@ def target_admissions(diagnoses: DataFrame) -> DataFrame:
 # ── band join ───────────────────────────────────────────────────────────────
 
 
-def events_within(a: DataFrame, b: DataFrame, key: str, time: str, days: int = BAND_DAYS) -> DataFrame:
-    """Keys with an event in ``a`` and one in ``b`` at most ``days`` apart.
+def events_within(events: DataFrame, is_a: Column, is_b: Column, key: str, time: str, days: int = BAND_DAYS) -> DataFrame:
+    """Keys with an event of kind ``a`` and one of kind ``b`` at most ``days`` apart.
 
-    No pair of events is ever formed. Time is cut into buckets one band wide:
+    One scan and no pair of events. Time is cut into buckets one band wide:
     two events in one bucket always match, events two buckets apart never do,
     and for neighbouring buckets the latest event of the earlier one against
     the earliest of the later one decides. So four extremes per (key, bucket)
     carry the exact answer, and they are combined on the map side.
     """
     width = days * _MICROS_PER_DAY
+    kinds = events.where(F.col(time).isNotNull()).select(
+        key,
+        F.unix_micros(F.col(time).cast("timestamp")).alias("t"),
+        is_a.alias("a"),
+        is_b.alias("b"),
+    )
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        micros = F.unix_micros(F.col(time).cast("timestamp"))
-        return df.where(F.col(time).isNotNull()).select(key, micros.alias("t"), F.lit(name).alias("kind"))
-
-    def extreme(fn, name: str) -> Column:
-        return fn(F.when(F.col("kind") == name, F.col("t"))).alias(f"{fn.__name__}_{name}")
+    def extreme(fn, kind: str) -> Column:
+        return fn(F.when(F.col(kind), F.col("t"))).alias(f"{fn.__name__}_{kind}")
 
     buckets = (
-        side(a, "a")
-        .unionAll(side(b, "b"))
+        kinds.where("a OR b")
         .groupBy(key, F.floor(F.col("t") / width).alias("bucket"))
         .agg(extreme(F.min, "a"), extreme(F.max, "a"), extreme(F.min, "b"), extreme(F.max, "b"))
     )
@@ -90,8 +91,9 @@ def events_within(a: DataFrame, b: DataFrame, key: str, time: str, days: int = B
     close_ab = F.col("min_b") - F.lag("max_a").over(by_time) <= width
     close_ba = F.col("min_a") - F.lag("max_b").over(by_time) <= width
     same = F.col("min_a").isNotNull() & F.col("min_b").isNotNull()
-    near = F.coalesce(adjacent & (F.coalesce(close_ab, F.lit(False)) | F.coalesce(close_ba, F.lit(False))), F.lit(False))
-    return buckets.select(key, (same | near).alias("hit")).where("hit").select(key).distinct()
+    near = adjacent & (F.coalesce(close_ab, F.lit(False)) | F.coalesce(close_ba, F.lit(False)))
+    hits = buckets.select(key, (same | F.coalesce(near, F.lit(False))).alias("hit"))
+    return hits.where("hit").select(key).distinct()
 
 
 def events_within_pairs(a: DataFrame, b: DataFrame, key: str, time: str, days: int = BAND_DAYS) -> DataFrame:
@@ -105,10 +107,10 @@ def events_within_pairs(a: DataFrame, b: DataFrame, key: str, time: str, days: i
 def proxy_candidates(prescriptions: DataFrame, days: int = BAND_DAYS) -> DataFrame:
     """Subjects with prazosin and an SSRI/SNRI started within ``days``."""
     drug = F.col("drug")
-    usable = prescriptions.where(codes.not_blank(drug) & F.col("starttime").isNotNull())
     return events_within(
-        usable.where(codes.drug_matches(drug, codes.DRUG_SUBSTRINGS["rx_prazosin"])),
-        usable.where(codes.drug_matches(drug, codes.DRUG_SUBSTRINGS["rx_ssri_snri"])),
+        prescriptions.where(codes.not_blank(drug)),
+        codes.drug_matches(drug, codes.DRUG_SUBSTRINGS["rx_prazosin"]),
+        codes.drug_matches(drug, codes.DRUG_SUBSTRINGS["rx_ssri_snri"]),
         "subject_id",
         "starttime",
         days,
@@ -125,6 +127,33 @@ def proxy_subjects(diagnoses: DataFrame, prescriptions: DataFrame, days: int = B
     return drop_members(proxy_candidates(prescriptions, days), excluded, "subject_id")
 
 
+def subject_pool(
+    admissions: DataFrame, patients: DataFrame, diagnoses: DataFrame, prescriptions: DataFrame,
+    days: int = BAND_DAYS,
+) -> DataFrame:
+    """One row per admitted subject: first admission, strata, positive and proxy flags.
+
+    Each event table is scanned once and reduced to subjects before any join.
+    """
+    first = first_rows(admissions, "subject_id", "admittime", "hadm_id", ["hadm_id", "admittime"])
+    coded = coded_rows(diagnoses)
+    code = F.col("icd_code")
+    target = codes.is_target_code(code, F.col("icd_version"))
+    flags = coded.where(target | codes.has_prefix(code, codes.EXCLUSION_PREFIXES)).groupBy("subject_id").agg(
+        F.max(target).alias("_target")
+    )
+    near = proxy_candidates(prescriptions, days).withColumn("_near", F.lit(True))
+    joined = with_age(first, patients).join(flags, "subject_id", "left").join(near, "subject_id", "left")
+    positive = F.coalesce("_target", F.lit(False))
+    return joined.select(
+        "subject_id", "gender", "age_at_admission",
+        demographics.age_bucket(F.col("age_at_admission")).alias("decade"),
+        positive.alias("is_positive"),
+        # A row in ``flags`` means the target or an exclusion code.
+        (F.col("_near").isNotNull() & F.col("_target").isNull()).alias("is_proxy"),
+    )
+
+
 # ── first events and index times ────────────────────────────────────────────
 
 

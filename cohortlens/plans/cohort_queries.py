@@ -18,6 +18,7 @@ from cohortlens.plans import sql as sq
 from cohortlens.plans import standins
 from cohortlens.plans.registry import query
 from cohortlens.plans.study import Study
+from cohortlens.session import materialise
 
 GROUPS = [cohort.POSITIVE, cohort.PROXY, cohort.UNLABELED]
 
@@ -132,7 +133,7 @@ def cohort_semi_join(s: Study):
 @query("unlabeled_candidates", "subject_id:l gender:s age_at_admission:l decade:s", "JN2 JN3 SET2",
        "SELECT subject_id, gender, age_at_admission, decade FROM candidates")
 def unlabeled_candidates(s: Study):
-    return s.candidates
+    return s.candidates.select("subject_id", "gender", "age_at_admission", "decade")
 
 
 @query("drug_band_join", "subject_id:l", "JN4 SET1", "SELECT * FROM proxy_candidates")
@@ -422,7 +423,7 @@ _MATCHED_CONTROLS = f"""SELECT subject_id, hadm_id, gender, age_raw AS age_at_ad
 
 def _control_parts(s: Study):
     subjects = controls.control_subjects(s.diagnoses, s.members)
-    pool = controls.first_admission_pool(subjects, s.admissions, s.patients)
+    pool = materialise(controls.first_admission_pool(subjects, s.admissions, s.patients), "controls")
     return controls.matched_controls(s.extract, pool)
 
 
@@ -463,7 +464,8 @@ def cohort_features(s: Study):
     evaluated = s.extract.where("is_index_admission").select(
         "subject_id", "hadm_id", (F.col("group") == cohort.POSITIVE).cast("int").alias("label")
     )
-    return features.structured_features(evaluated, s.extract, s.diagnoses, s.prescriptions)
+    rows = features.structured_features(evaluated, s.extract, s.diagnoses, s.prescriptions)
+    return materialise(rows, "features")
 
 
 @query("structured_features", "subject_id:l label:l " + " ".join(f"{f}:d" for f in features.FEATURES),

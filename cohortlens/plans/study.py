@@ -1,4 +1,10 @@
-"""One study over the stand-in tables: every stage as a lazily built DataFrame."""
+"""One study over the stand-in tables.
+
+Stages that several later plans read (subjects, admission extract, profile,
+notes, scores) are written once to the shared scratch folder and read back, so
+their work is not repeated and a lost executor costs no recomputation. All
+other stages are lazy.
+"""
 
 from __future__ import annotations
 
@@ -17,10 +23,11 @@ from cohortlens.operators import (
     sampling,
 )
 from cohortlens.plans import standins
+from cohortlens.session import materialise
 
 
 class Study:
-    """Cohort, corpus, splits and decisions; building a stage runs nothing."""
+    """Cohort, corpus and decisions over one data folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -60,24 +67,19 @@ class Study:
 
     @cached_property
     def pool(self) -> DataFrame:
-        """First admission per subject with age bucket and sex."""
-        first = cohort.first_rows(
-            self.admissions, "subject_id", "admittime", "hadm_id", ["hadm_id", "admittime"]
-        )
-        aged = cohort.with_age(first, self.patients)
-        return aged.select(
-            "subject_id", "gender", "age_at_admission",
-            demographics.age_bucket(F.col("age_at_admission")).alias("decade"),
+        """Subject table, stored once: every later stage starts from it."""
+        return materialise(
+            cohort.subject_pool(self.admissions, self.patients, self.diagnoses, self.prescriptions),
+            "subjects",
         )
 
     @cached_property
     def cases(self) -> DataFrame:
-        return cohort.keep_members(self.pool, self.positives, "subject_id")
+        return self.pool.where("is_positive")
 
     @cached_property
     def candidates(self) -> DataFrame:
-        taken = self.positives.unionByName(self.proxies).distinct()
-        return cohort.drop_members(self.pool, taken, "subject_id")
+        return self.pool.where("NOT is_positive AND NOT is_proxy")
 
     @cached_property
     def unlabeled(self) -> DataFrame:
@@ -85,12 +87,14 @@ class Study:
 
     @cached_property
     def members(self) -> DataFrame:
-        return cohort.group_members(self.positives, self.proxies, self.unlabeled)
+        proxies = self.pool.where("is_proxy")
+        return cohort.group_members(self.cases, proxies, self.unlabeled)
 
     @cached_property
     def extract(self) -> DataFrame:
         coded = cohort.target_admissions(self.diagnoses)
-        return cohort.admission_extract(self.admissions, self.patients, coded, self.members)
+        rows = cohort.admission_extract(self.admissions, self.patients, coded, self.members)
+        return materialise(rows, "admissions")
 
     @cached_property
     def index(self) -> DataFrame:
@@ -106,11 +110,12 @@ class Study:
         flags = cohort.prior_flags(self.extract, self.index, self.diagnoses, self.prescriptions)
         counts = cohort.admission_counts(self.admissions)
         stay = demographics.days_between(F.col("admittime"), F.col("dischtime"))
-        return (
+        rows = (
             self.index.join(counts, "subject_id", "left")
             .join(flags, "subject_id")
             .withColumn("los_days", stay)
         )
+        return materialise(rows, "profile")
 
     @cached_property
     def characteristics(self) -> DataFrame:
@@ -119,7 +124,7 @@ class Study:
     # notes
     @cached_property
     def notes(self) -> DataFrame:
-        return corpus.notes_raw(self.discharge, self.extract)
+        return materialise(corpus.notes_raw(self.discharge, self.extract), "notes")
 
     @cached_property
     def corpus(self) -> DataFrame:
@@ -132,7 +137,8 @@ class Study:
     # scores
     @cached_property
     def scores(self) -> DataFrame:
-        return self._make(standins.scores)
+        """Scored once and stored, as the evaluation jobs all read them."""
+        return materialise(self._make(standins.scores), "scores")
 
     @cached_property
     def thresholds(self) -> DataFrame:
@@ -149,4 +155,4 @@ class Study:
 
     @cached_property
     def decided_demo(self) -> DataFrame:
-        return fairness.attach_demographics(self.decided, self.aged_admissions)
+        return materialise(fairness.attach_demographics(self.decided, self.aged_admissions), "decided")
