@@ -1,6 +1,6 @@
 """Imports every query module so that the registry is complete."""
 
-from cohortlens.plans import cohort_queries, text_queries  # noqa: F401
+from cohortlens.plans import cohort_queries, metric_queries, text_queries  # noqa: F401
 from cohortlens.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]
