@@ -80,11 +80,16 @@ def wide_curve(curve: DataFrame, keys: Sequence[str] = MODEL, deployments: dict[
     return curve.groupBy(*keys, "threshold").agg(*columns)
 
 
+def _shown(name: str) -> Column:
+    """Curves are compared at the six decimals they are reported with."""
+    return F.round(F.col(name), 6)
+
+
 def dominance_ranges(curve: DataFrame, keys: Sequence[str] = MODEL) -> DataFrame:
     """Contiguous threshold ranges in which the model beats treating all."""
     group = [*keys, "deployment"]
     order = W.partitionBy(*group).orderBy("threshold")
-    better = F.col("net_benefit_model") > F.col("net_benefit_treatall")
+    better = _shown("net_benefit_model") > _shown("net_benefit_treatall")
     marked = curve.select(*group, "threshold", better.alias("_b"), F.row_number().over(order).alias("_i"))
     island = F.col("_i") - F.row_number().over(order)
     return (
@@ -98,8 +103,8 @@ def dominance_ranges(curve: DataFrame, keys: Sequence[str] = MODEL) -> DataFrame
 
 def peak_benefit(curve: DataFrame, keys: Sequence[str] = MODEL) -> DataFrame:
     """Largest net benefit and its first threshold."""
-    place = F.struct(F.col("net_benefit_model"), -F.col("threshold"))
+    place = F.struct(_shown("net_benefit_model"), -F.col("threshold"))
     return curve.groupBy(*keys, "deployment").agg(
-        F.max("net_benefit_model").alias("peak_net_benefit"),
+        F.max(_shown("net_benefit_model")).alias("peak_net_benefit"),
         F.max_by("threshold", place).alias("peak_threshold"),
     )

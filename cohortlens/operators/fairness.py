@@ -7,12 +7,13 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortlens.functions import demographics, stats
 from cohortlens.operators.cohort import first_rows
-from cohortlens.operators.evaluation import histogram, rank_metric_columns, rank_metrics
-from cohortlens.operators.prefix import prefix_sums
+from cohortlens.operators.evaluation import histogram, rank_metrics
+from cohortlens.operators.prefix import join_parameters
 
 # Grouping name and its column.
 GROUPINGS = {
@@ -105,7 +106,7 @@ def equal_opportunity(table: DataFrame, keys: Sequence[str] = ("model", "group")
 # ── bootstrap ───────────────────────────────────────────────────────────────
 
 
-def _resampler(replicates: int, keys: Sequence[str], slab: int = 256):
+def _resampler(replicates: int, slab: int = 256):
     """Poisson counts for every (histogram cell, replicate), a slab of cells at a time.
 
     Each cell has its own counter-based stream, so a retried task draws the
@@ -124,11 +125,14 @@ def _resampler(replicates: int, keys: Sequence[str], slab: int = 256):
                 ]
                 counts = np.stack(draws)
                 cell, rep = np.nonzero(counts.sum(axis=1))
-                out = part.iloc[cell][[*keys, "score"]].reset_index(drop=True)
-                out["replicate"] = rep.astype("int32")
-                out["pos"] = counts[cell, 0, rep].astype("int64")
-                out["neg"] = counts[cell, 1, rep].astype("int64")
-                yield out
+                yield pd.DataFrame(
+                    {
+                        "_g": part["_id"].to_numpy()[cell] * replicates + rep,
+                        "score": part["score"].to_numpy()[cell],
+                        "pos": counts[cell, 0, rep],
+                        "neg": counts[cell, 1, rep],
+                    }
+                )
 
     return resample
 
@@ -138,25 +142,40 @@ def bootstrap_auprc(scores: DataFrame, keys: Sequence[str] = SUBGROUP, replicate
 
     A cell of c rows gets Poisson(c) copies: the same law as Poisson(1) per
     row at the cost of the distinct scores. Replicates with one class are
-    skipped; the interval ends are order statistics of the rest.
+    skipped; the interval ends are order statistics of the rest. The window
+    runs inside one (key, replicate), which is never more than a
+    1/``replicates`` share of the drawn rows.
     """
     keys = list(keys)
     hist = histogram(scores, keys)
-    seeded = hist.withColumn("_seed", F.xxhash64(F.lit(seed), *keys, "score"))
-    fields = {f.name: f.dataType.simpleString() for f in hist.schema.fields}
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in [*keys, "score"]) + ", replicate int, pos bigint, neg bigint"
-    # Spread the cells: each turns into ``replicates`` rows.
-    drawn = seeded.repartition(*keys, "score").mapInPandas(_resampler(replicates, keys), schema)
-    group = [*keys, "replicate"]
-    each = prefix_sums(drawn, group, "score", ["pos", "neg"]).groupBy(*group).agg(*rank_metric_columns())
-    valid = each.where(F.col("auprc").isNotNull())
-    order = F.sort_array(F.collect_list("auprc"))  # at most ``replicates`` values per key
+    # Numbers stand for the key values while the replicates are shuffled.
+    ids = hist.select(*keys).distinct().withColumn(
+        "_id", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(*keys)).cast("long")
+    )
+    seeded = join_parameters(hist, ids, keys).select(
+        "_id", "score", "pos", "neg", F.xxhash64(F.lit(seed), *keys, "score").alias("_seed")
+    )
+    drawn = seeded.repartition("_id", "score").mapInPandas(
+        _resampler(replicates), "_g bigint, score double, pos bigint, neg bigint"
+    )
+    order = W.partitionBy("_g").orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, 0)
+    tp, fp = F.sum("pos").over(order), F.sum("neg").over(order)
+    each = drawn.select("_g", "pos", "neg", tp.alias("tp"), fp.alias("fp")).groupBy("_g").agg(
+        F.sum("pos").alias("p"),
+        F.sum("neg").alias("n"),
+        F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("_ap"),
+    )
+    valid = each.where("p > 0 AND n > 0").select(
+        F.floor(F.col("_g") / replicates).alias("_id"), (F.col("_ap") / F.col("p")).alias("auprc")
+    )
+    values = F.sort_array(F.collect_list("auprc"))  # at most ``replicates`` values per key
     size = F.size("_v")
 
     def place(share: float) -> Column:
         return F.get(F.col("_v"), F.floor(size * F.lit(share)).cast("int"))
 
-    return valid.groupBy(*keys).agg(order.alias("_v")).select(
+    bounds = valid.groupBy("_id").agg(values.alias("_v"))
+    return bounds.join(ids, "_id").select(
         *keys, size.alias("n_valid"), place(0.025).alias("auprc_ci_lo"), place(0.975).alias("auprc_ci_hi")
     )
 

@@ -34,7 +34,7 @@ def _logistic(c: float, weight_sum: float, weight: str | None, features: str = "
     """Penalty 1/(C * sum of weights) matches a summed loss with inverse penalty C."""
     lr = LogisticRegression(
         featuresCol=features, labelCol="label", regParam=1.0 / (c * weight_sum), elasticNetParam=0.0,
-        standardization=False, maxIter=1000, tol=1e-8,
+        standardization=False, maxIter=1000, tol=1e-6,
     )
     return lr.setWeightCol(weight) if weight else lr
 
@@ -62,7 +62,7 @@ def sweep_c(train: DataFrame, validation: DataFrame, columns: Sequence[str], gri
     The loop runs over the short grid; each fit and score is a Spark job over
     all rows. The input is stored once so that it is not recomputed per fit.
     """
-    weighted = balanced(train).persist()
+    weighted, validation = balanced(train).persist(), validation.persist()
     models, parts = {}, []
     for c in grid:
         models[c] = fit_logistic(weighted, columns, c, "weight")
@@ -73,7 +73,6 @@ def sweep_c(train: DataFrame, validation: DataFrame, columns: Sequence[str], gri
         everything = everything.unionByName(part)
     results = rank_metrics(everything).withColumn("c", F.col("model").cast("double"))
     best = results.orderBy(F.col("auprc").desc(), "c").first()
-    weighted.unpersist()
     return models[best.c], results.select("c", "n", "n_pos", "auprc", "auroc")
 
 

@@ -219,13 +219,15 @@ _CURVE = """SELECT s.model, d.tag AS deployment, (100 + 50 * g.i) / 10000e0 AS t
         max(ps) - (1 - max(ps)) * ((100 + 50 * g.i) / 10000e0 / (1 - (100 + 50 * g.i) / 10000e0)) AS net_benefit_treatall
     FROM (VALUES ('2pct', 0.02e0), ('5pct', 0.05e0)) d(tag, p)
     JOIN (SELECT model, label, ps, tag, score * p / ps / (score * p / ps + (1 - score) * (1 - p) / (1 - ps)) AS q
-          FROM (SELECT *, avg(label) OVER (PARTITION BY model) AS ps FROM scores WHERE model <> 'kw')
+          FROM (SELECT * REPLACE (1 - label AS label), avg(1 - label) OVER (PARTITION BY model) AS ps FROM scores WHERE model <> 'kw')
           CROSS JOIN (VALUES ('2pct', 0.02e0), ('5pct', 0.05e0)) x(tag, p)) s ON s.tag = d.tag
     CROSS JOIN (SELECT i FROM range(0, 79) r(i)) g GROUP BY s.model, d.tag, g.i"""
 
 
 def _curve(s: Study):
-    return decision.decision_curve(s.scores.where("model <> 'kw'"))  # kw is not a probability
+    # The rare class is the one to find; kw is not a probability.
+    rows = s.scores.where("model <> 'kw'").withColumn("label", 1 - F.col("label"))
+    return decision.decision_curve(rows)
 
 
 @query("decision_curves", "model:s deployment:s threshold:d net_benefit_model:d net_benefit_treatall:d", "EV15 PRJ21", _CURVE)
@@ -246,14 +248,14 @@ def decision_curves_wide(s: Study):
        f"""SELECT model, deployment, min(threshold) AS range_start, max(threshold) AS range_end FROM (
                SELECT *, i - row_number() OVER (PARTITION BY model, deployment ORDER BY i) AS island FROM (
                    SELECT *, row_number() OVER (PARTITION BY model, deployment ORDER BY threshold) AS i FROM ({_CURVE}))
-               WHERE net_benefit_model > net_benefit_treatall) GROUP BY model, deployment, island""")
+               WHERE round(net_benefit_model, 6) > round(net_benefit_treatall, 6)) GROUP BY model, deployment, island""")
 def dominance_ranges(s: Study):
     return decision.dominance_ranges(_curve(s))
 
 
 @query("peak_net_benefit", "model:s deployment:s peak_net_benefit:d peak_threshold:d", "EV16",
-       f"""SELECT model, deployment, net_benefit_model AS peak_net_benefit, threshold AS peak_threshold FROM (
-               SELECT *, row_number() OVER (PARTITION BY model, deployment ORDER BY net_benefit_model DESC, threshold) AS rn FROM ({_CURVE})) WHERE rn = 1""")
+       f"""SELECT model, deployment, round(net_benefit_model, 6) AS peak_net_benefit, threshold AS peak_threshold FROM (
+               SELECT *, row_number() OVER (PARTITION BY model, deployment ORDER BY round(net_benefit_model, 6) DESC, threshold) AS rn FROM ({_CURVE})) WHERE rn = 1""")
 def peak_net_benefit(s: Study):
     return decision.peak_benefit(_curve(s))
 
@@ -410,7 +412,7 @@ def equal_opportunity_difference(s: Study):
 
 @query("bootstrap_intervals", "model:s group:s value:s n_valid:l auprc_ci_lo:d auprc_ci_hi:d", "EV22")
 def bootstrap_intervals(s: Study):
-    return fairness.bootstrap_auprc(fairness.by_subgroup(s.decided_demo), replicates=200)
+    return fairness.bootstrap_auprc(fairness.by_subgroup(s.decided_demo))
 
 
 @query("fairness_with_intervals", "model:s group:s value:s auprc:d auprc_ci_lo:d auprc_ci_hi:d auprc_ci_width:d auprc_reliable:l", "EV21 EV22")
