@@ -105,7 +105,10 @@ def pair_tests(decided: DataFrame, models: Sequence[str], key: Sequence[str] = R
             F.count(F.when((da == y) & (db != y), 1)).alias(f"b_{tag}"),
             F.count(F.when((da != y) & (db == y), 1)).alias(f"c_{tag}"),
             F.count(F.when(da == db, 1)).alias(f"e_{tag}"),
-            F.corr(f"s_{a}", f"s_{b}").alias(f"r_{tag}"),
+            # ``corr`` fails on a constant column when ANSI mode is on.
+            F.try_divide(
+                F.covar_pop(f"s_{a}", f"s_{b}"), F.stddev_pop(f"s_{a}") * F.stddev_pop(f"s_{b}")
+            ).alias(f"r_{tag}"),
         ]
     aggregates += [F.sum(f"d_{m}").alias(f"pos_{m}") for m in models]
     sums = wide.agg(*aggregates)
@@ -117,7 +120,7 @@ def pair_tests(decided: DataFrame, models: Sequence[str], key: Sequence[str] = R
                 F.col(f"b_{a}__{b}").alias("b_only_a_correct"),
                 F.col(f"c_{a}__{b}").alias("c_only_b_correct"),
                 F.col(f"e_{a}__{b}").alias("equal"),
-                F.nanvl(F.col(f"r_{a}__{b}"), F.lit(None).cast("double")).alias("pearson_r"),
+                F.col(f"r_{a}__{b}").alias("pearson_r"),
                 F.col(f"pos_{a}").alias("pos_a"),
                 F.col(f"pos_{b}").alias("pos_b"),
             )
