@@ -165,6 +165,17 @@ CLINICAL_TERMS = {
 _FLAGS = "(?iU)"
 
 
+def evaluated_once(column: Column) -> Column:
+    """Keep a costly column where it stands in the plan.
+
+    Filters and generators above a projection are otherwise pushed below joins
+    with the whole expression copied into them, so that it runs several times
+    and on rows the join would have removed. A projection that reads the
+    partition number stays in place.
+    """
+    return F.when(F.spark_partition_id() >= 0, column)
+
+
 # ── sections ────────────────────────────────────────────────────────────────
 
 
@@ -190,7 +201,7 @@ def with_sections(df: DataFrame, text: str, order: Sequence[str] = SECTION_ORDER
     return (
         df.withColumn("_segments", segments)
         .withColumn("_kept", kept)
-        .withColumn(out, F.filter(F.array(*firsts), lambda s: s.isNotNull()))
+        .withColumn(out, evaluated_once(F.filter(F.array(*firsts), lambda s: s.isNotNull())))
         .drop("_segments", "_kept")
     )
 
@@ -265,21 +276,46 @@ def _required_literal(pattern: str) -> str | None:
     return max(words, key=len) if words else None
 
 
+def _first_letters(pattern: str) -> str | None:
+    """Literal that a match of ``pattern`` must begin with, right at a word start."""
+    if _required_literal(pattern) is None:
+        return None
+    found = re.match(r"\\b([a-z]+)(?![?*+a-z])", pattern)
+    return found.group(1) if found else None
+
+
+def _word_finder(starts: Sequence[str]) -> str:
+    """Pattern for every whole word with one of ``starts``, grouped by first letter."""
+    by_letter: dict[str, set[str]] = {}
+    for start in starts:
+        by_letter.setdefault(start[0], set()).add(start[1:])
+    branches = [f"{letter}(?:{'|'.join(sorted(rest))})" for letter, rest in sorted(by_letter.items())]
+    return rf"(?U)\b((?:{'|'.join(branches)})\w*)"
+
+
 def with_lexicon_scores(df: DataFrame, text: str, lexicon: Sequence[tuple[str, float, str]] = PHRASE_LEXICON) -> DataFrame:
     """Add ``lexicon_hits`` (array in lexicon order), ``score_raw``, ``score_norm``,
     ``score_by_criterion`` (map) and ``lexicon_matches`` (map of the hit patterns).
 
-    Each pattern is counted once. A cheap substring test on folded text skips
-    the regular expression where its required literal is absent, which leaves
-    every count unchanged.
+    Each pattern is counted once, and only where it can occur: one pass finds
+    all words that begin like some pattern, and a pattern whose opening letters
+    or required literal are absent is skipped. Every count stays what a full
+    scan gives.
     """
-    folded = F.translate(F.lower(F.col(text)), "\u017f\u0131", "si")
+    folded = F.lower(F.col(text))
+    for odd, plain in (("\u017f", "s"), ("\u0131", "i")):  # letters that match s and i without case
+        folded = F.replace(folded, F.lit(odd), F.lit(plain))
+    starts = [_first_letters(p) for p, _, _ in lexicon]
+    known = [s for s in starts if s]
+    openings = F.array_join(F.regexp_extract_all("_folded", F.lit(_word_finder(known)), 1), " ") if known else F.lit("")
     counts = []
-    for pattern, _, _ in lexicon:
+    for (pattern, _, _), start in zip(lexicon, starts):
         count = F.regexp_count(F.col(text), F.lit(_FLAGS + pattern))
-        literal = _required_literal(pattern)
-        if literal is not None:
-            count = F.when(F.contains(F.col("_folded"), F.lit(literal)), count).otherwise(0)
+        if start is not None:
+            possible = F.contains(F.col("_openings"), F.lit(start)) & F.contains(
+                F.col("_folded"), F.lit(_required_literal(pattern))
+            )
+            count = F.when(possible, count).otherwise(0)
         counts.append(count)
     hits = F.col("lexicon_hits")
 
@@ -302,7 +338,8 @@ def with_lexicon_scores(df: DataFrame, text: str, lexicon: Sequence[tuple[str, f
     matches = F.map_from_entries(F.filter(pairs, lambda s: s["hits"] > 0))
     return (
         df.withColumn("_folded", folded)
-        .withColumn("lexicon_hits", F.array(*counts))
+        .withColumn("_openings", openings)
+        .withColumn("lexicon_hits", evaluated_once(F.array(*counts)))
         .withColumn("score_raw", weighted(everything))
         .withColumn("_words", word_count(F.col(text)))
         .withColumn(
@@ -311,7 +348,7 @@ def with_lexicon_scores(df: DataFrame, text: str, lexicon: Sequence[tuple[str, f
         )
         .withColumn("score_by_criterion", by_criterion)
         .withColumn("lexicon_matches", matches)
-        .drop("_folded", "_words")
+        .drop("_folded", "_openings", "_words")
     )
 
 

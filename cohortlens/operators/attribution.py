@@ -88,7 +88,7 @@ def top_decile(rows: DataFrame, score: str = "score", level: float = 0.9) -> Dat
 
 def windows(notes: DataFrame, text: str, length: int, stride: int, key: Sequence[str] = ("hadm_id",)) -> DataFrame:
     """One row per overlapping window of a note."""
-    tokens = notes.select(*key, tx.words(F.col(text)).alias("_tokens"))
+    tokens = notes.select(*key, tx.evaluated_once(tx.words(F.col(text))).alias("_tokens"))
     parts = tx.token_windows(F.col("_tokens"), length, stride)
     return tokens.select(*key, F.explode(parts).alias("w")).select(*key, "w.*")
 

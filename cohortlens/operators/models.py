@@ -9,9 +9,11 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortlens.functions.demographics import clip
+from cohortlens.functions.text import evaluated_once
 from cohortlens.operators.evaluation import rank_metrics
 from cohortlens.operators.prefix import join_parameters
 
@@ -129,7 +131,8 @@ def linear_attribution(rows: DataFrame, table: DataFrame, columns: Sequence[str]
 def text_terms(notes: DataFrame, key: str, text: str) -> DataFrame:
     """Lower-case words of two or more characters and adjacent word pairs, one row each."""
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)\b(\w\w+)\b"), 1)
-    tokens = notes.select(key, words.alias("_w"))
+    # Spread by note: counting and scaling per note then need no further shuffle.
+    tokens = notes.select(key, evaluated_once(words).alias("_w")).repartition(key)
     pairs = F.transform(
         F.slice(F.col("_w"), F.lit(2), F.greatest(F.size("_w") - 1, F.lit(0))),
         lambda w, i: F.concat_ws(" ", F.get(F.col("_w"), i), w),
@@ -155,5 +158,5 @@ def tfidf(notes: DataFrame, key: str, text: str, max_features: int = 50_000) ->
     raw = join_parameters(counts, idf, ["term"], max_features).select(
         key, "term", ((1 + F.log(F.col("tf"))) * F.col("idf")).alias("w")
     )
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("w") / F.col("_norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))  # the terms of one note
+    return raw.select(key, "term", (F.col("w") / norm).alias("weight"))

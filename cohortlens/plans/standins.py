@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortlens.functions import text as tx
+from cohortlens.session import spread
 
 ERAS = ["2008 - 2010", "2011 - 2013", "2014 - 2016", "2017 - 2019"]
 CODES = [" f43.1 ", "309.81", "F32.9", "296.20", "F41.1", "30500", "I10", "S06.0", "G89.4", "R45.851"]
@@ -66,6 +67,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, spread out: their text is scanned by many patterns."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def pick(index: Column, values: list[str]) -> Column:
     """The value at ``index``, null beyond the list."""
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
@@ -152,12 +158,12 @@ def discharge(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.coalesce(pick((doc * 3 + i) % 13, PHRASES), F.lit("")),
         ),
     )
-    return table(spark, sf_dir, "documents").select(doc.alias("hadm_id"), F.array_join(lines, "\n").alias("text"))
+    return documents(spark, sf_dir).select(doc.alias("hadm_id"), F.array_join(lines, "\n").alias("text"))
 
 
 def labelled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents as (subject_id, hadm_id, label, ...): the classifier rows."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("hadm_id"), "text", "lang", "n_chars")
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("hadm_id"), "text", "lang", "n_chars")
     owners = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("hadm_id"), F.col("o_custkey").alias("subject_id")
     )
@@ -197,7 +203,9 @@ def token_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         "hadm_id", tx.joined_sections(F.col("sections")).alias("note_text")
     ).where("note_text IS NOT NULL")
     runs = F.regexp_extract_all("note_text", F.lit(r"(\S+|\s+)"), 1)
-    placed = notes.select("hadm_id", F.posexplode(runs).alias("pos", "run"))
+    placed = notes.select("hadm_id", tx.evaluated_once(runs).alias("runs")).select(
+        "hadm_id", F.posexplode("runs").alias("pos", "run")
+    )
     before = W.partitionBy("hadm_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     placed = placed.withColumn("base", F.coalesce(F.sum(F.length("run")).over(before), F.lit(0)))
     words = placed.where(F.trim(F.translate("run", "\n\t\r", "   ")) != "")

@@ -13,7 +13,7 @@ from cohortlens.plans.study import Study
 
 
 def _documents(s: Study):
-    return standins.table(s.spark, s.sf_dir, "documents").select("doc_id", "text")
+    return standins.documents(s.spark, s.sf_dir).select("doc_id", "text")
 
 
 def _all_notes(s: Study, order=tx.SECTION_ORDER):

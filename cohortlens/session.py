@@ -47,6 +47,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread an input of few splits over all cores before costly work per row.
+
+    A table of many splits passes through unchanged, so at scale no rows move.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back: cuts lineage and survives executor loss."""
     path = scratch_path(df.sparkSession, name)
