@@ -320,10 +320,10 @@ def with_lexicon_scores(df: DataFrame, text: str, lexicon: Sequence[tuple[str, f
     hits = F.col("lexicon_hits")
 
     def weighted(keep: Sequence[int]) -> Column:
-        total = F.lit(0.0)
-        for i in keep:
-            total = total + F.get(hits, F.lit(i)) * F.lit(lexicon[i][1])
-        return total
+        weights = [float(w) if i in keep else 0.0 for i, (_, w, _) in enumerate(lexicon)]
+        literal = F.expr("array(" + ", ".join(f"{w}D" for w in weights) + ")")
+        products = F.zip_with(hits, literal, lambda h, w: h * w)
+        return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
 
     everything = range(len(lexicon))
     criteria = list(dict.fromkeys(c for _, _, c in lexicon))
@@ -334,7 +334,8 @@ def with_lexicon_scores(df: DataFrame, text: str, lexicon: Sequence[tuple[str, f
             for part in (F.lit(c), weighted([i for i in everything if lexicon[i][2] == c]))
         ]
     )
-    pairs = F.arrays_zip(F.array(*[F.lit(p) for p, _, _ in lexicon]).alias("pattern"), hits.alias("hits"))
+    names = F.split(F.lit("\n".join(p for p, _, _ in lexicon)), "\n")
+    pairs = F.arrays_zip(names.alias("pattern"), hits.alias("hits"))
     matches = F.map_from_entries(F.filter(pairs, lambda s: s["hits"] > 0))
     return (
         df.withColumn("_folded", folded)
