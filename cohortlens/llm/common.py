@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from cohortlens import llm
 from cohortlens.session import materialise, scratch_path, tune
 
-__all__ = ["arrow_map", "materialise", "ready", "running_totals", "scratch_path", "table"]
+__all__ = ["arrow_map", "groups", "materialise", "ready", "running_totals", "scratch_path", "table"]
 
 # Executors need not have this package installed: what runs there is sent with the task.
 cloudpickle.register_pickle_by_value(llm)
@@ -42,6 +43,27 @@ def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(some, schema)
 
 
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Consecutive rows with equal keys, as one table each, from sorted batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            now = tuple(c[a] for c in columns)
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def running_totals(df: DataFrame, keys: Sequence[str], spot: Column, ties: Sequence[str], value: str, slices: int = 4096) -> DataFrame:
     """Add ``before`` (sum of ``value`` over earlier rows of the same keys) and ``total``.
 

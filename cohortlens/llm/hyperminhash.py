@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import arrow_map, materialise, ready
+from cohortlens.llm.common import arrow_map, groups, materialise, ready
 from cohortlens.llm.components import Forest, components
 from cohortlens.llm.shingles import shingle_sets, slices, utf8
 
@@ -135,27 +135,6 @@ def _star_estimates(rule: Rule):
     return work
 
 
-def _units(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Consecutive rows with equal keys, as one table each, from sorted batches."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        change = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            now = tuple(c[a] for c in columns)
-            if held and now != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = now
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
@@ -180,7 +159,7 @@ def _compare_buckets(rule: Rule):
     """A spanning forest of the pairs of a tile of a bucket that the sketches allow."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit in _units(batches, ["band", "code", "t", "u"]):
+        for unit in groups(batches, ["band", "code", "t", "u"]):
             ids, n, sketch = unit["cid"].to_numpy(), unit["n"].to_numpy(), _sketches(unit["bands"])
             labels, found = np.arange(len(ids)), []
             for i in range(len(ids) - 1):
@@ -194,7 +173,7 @@ def _verify(rule: Rule):
     """A spanning forest of the links of a tile of a family that hold on the full sets."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit in _units(batches, ["fam", "t", "u"]):
+        for unit in groups(batches, ["fam", "t", "u"]):
             data, starts = utf8(unit["text"])
             sets: list[np.ndarray] = []
             for a, b in slices(starts, SLICE_BYTES):

@@ -4,15 +4,76 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cohortlens.llm import url_lists
+from cohortlens.llm.anchors import personal_data
 from cohortlens.llm.common import table
+from cohortlens.llm.curriculum import plan_mix
+from cohortlens.llm.direct_codes import code_root, read_documents, write_codes
 from cohortlens.llm.hyperminhash import near_duplicates
+from cohortlens.llm.kd_search import top_inner_products
+from cohortlens.llm.label_sharding import shard_documents
+from cohortlens.llm.line_runs import deduplicate_lines
+from cohortlens.llm.outliers import judge
+from cohortlens.llm.tier_packing import pack
+
+TOKENIZER = "word_bpe_49k.json"
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce({}, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_lists.filter_urls(url_lists.own_captures(pages), url_lists.own_lists(pages))
+
+
+def token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return read_documents(write_codes(docs, public_tokenizers.path(TOKENIZER), 2, code_root(docs)))
+
+
+def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shard_documents(table(spark, sf_dir, "documents"), 24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents")).drop("distance")
+
+
+def pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = deduplicate_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_pieces(table(spark, sf_dir, "documents"))
+
+
+def packed_pieces(docs: DataFrame) -> DataFrame:
+    out = pack(docs, public_tokenizers.path(TOKENIZER), 1)
+    digest = F.crc32("ids").alias("ids_crc32")
+    return out.select("doc_id", "start", "length", digest, "doc_tokens", "sequence_id", "offset", "tier", "step_id")
+
+
+def curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = plan_mix(table(spark, sf_dir, "documents"))
+    out = plan.select("doc_id", "size", "source_size", "target", "taken", "copies", F.get("positions", F.lit(0)).alias("first_position"))
+    return out.orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
+
+
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,6 +100,15 @@ FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON least.a = doc_i
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_lists": url_filter,
+    "op2_direct_codes": token_codes,
+    "op3_label_sharding": sharding,
+    "op4_robust_outliers": quality_rules,
+    "op5_anchor_pii": pii_anchors,
+    "op6_line_runs": line_dedup,
+    "op7_kd_search": top_k,
+    "op8_tier_packing": packing,
+    "op9_curriculum_mix": curriculum,
     "op10_hyperminhash_near_dedup": near_dedup,
 }
 
