@@ -2,8 +2,9 @@
 
 Targets: sources share a total by weight, none above twice its own size; what is
 over is shared again. A source takes each document a whole number of times:
-full passes, then documents in hash order while they fit, then the one document
-whose size comes nearest to the gap that is left.
+full passes, then documents in hash order while they fit into what is missing,
+in a few rounds of which each lines up those that fit into the last gap, then the
+one document that brings the gap nearest to nothing.
 
 Positions: a source's weight over training time t in [0, 1] is piecewise linear.
 Its integral is the source's cumulative demand. A document copy whose middle lies
@@ -37,6 +38,7 @@ class Mix:
     share: float = 1.5
     most: float = 2.0
     seed: int = 17
+    rounds: int = 4
 
 
 def source_targets(sizes: DataFrame, mix: Mix) -> DataFrame:
@@ -51,7 +53,8 @@ def source_targets(sizes: DataFrame, mix: Mix) -> DataFrame:
     total = F.sum("source_size").over(W.partitionBy()) * F.lit(mix.share)
     level = (total - F.coalesce(F.sum("cap").over(ahead), F.lit(0.0))) / F.sum("weight").over(behind)
     leveled = ranked.withColumn("own", level).withColumn("free", F.col("cap") / F.col("weight") > F.col("own"))
-    level = F.min(F.when(F.col("free"), F.col("own"))).over(W.partitionBy())
+    # Past the first free source the running level falls below the common one.
+    level = F.max(F.when(F.col("free"), F.col("own"))).over(W.partitionBy())
     target = F.when(F.col("free"), F.col("weight") * level).otherwise(F.col("cap"))
     return leveled.select("source", "source_size", "rank", target.alias("target"))
 
@@ -103,31 +106,39 @@ def plan_mix(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     targets = targets.withColumn("passes", passes).withColumn("extra", F.col("target") - F.col("passes") * F.col("source_size"))
     targets = materialise(targets.withColumnRenamed("source", "name"), "targets")
-    same = F.col("source").eqNullSafe(F.col("name"))
-
+    # Documents beyond the full passes, in hash order: each round lines up those that fit into the gap by themselves.
     spot = F.xxhash64(F.lit(mix.seed), "mark")
-    lined = running_totals(facts, ["source"], spot, ["row"], "size").drop("total").join(targets, same)
-    fits = F.col("before") + F.col("size") <= F.col("extra")
-    lined = materialise(lined.withColumn("fits", fits), "lined")
-    gap = F.col("extra") - F.col("filled")
-    filled = lined.groupBy("name").agg(F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0)).alias("filled"))
-    rest = lined.where("not fits and size > 0").withColumnRenamed("name", "own")
-    rest = rest.join(filled, F.col("own").eqNullSafe(F.col("name")))
-    miss = F.abs(gap - F.col("size"))
-    last = rest.where(miss < gap).groupBy("name").agg(F.min(F.struct(miss.alias("miss"), F.col("before"), F.col("row"))).alias("best"))
-    ends = filled.withColumnRenamed("name", "n1").join(last, F.col("n1").eqNullSafe(F.col("name")), "left")
-    ends = ends.select("n1", "filled", F.col("best.row").alias("closing"))
-    planned = lined.join(ends, F.col("source").eqNullSafe(F.col("n1")))
-    closes = F.coalesce(F.col("row") == F.col("closing"), F.lit(False))
-    copies = F.col("passes") + (F.col("fits") | closes).cast("long")
-    planned = planned.withColumn("copies", F.when(F.col("source_size") > 0, copies).otherwise(0))
+    gaps = targets.where("source_size > 0").select("name", F.col("extra").alias("gap"), F.lit(0).cast("long").alias("filled"))
+    rest, chosen = facts.where("size > 0"), None
+    for turn in range(mix.rounds):
+        fitting = rest.join(gaps, F.col("source").eqNullSafe(F.col("name"))).where("size <= gap")
+        if turn < mix.rounds - 1:
+            lined = running_totals(fitting, ["source"], spot, ["row"], "size")
+            took = lined.where("before + size <= gap").select("row", "name", "size", (F.col("filled") + F.col("before")).alias("ahead"))
+        else:  # the one document that leaves least of the gap
+            last = fitting.groupBy("name").agg(F.max(F.struct("size", "mark", "row", "filled")).alias("top"))
+            took = last.select("top.row", "name", "top.size", F.col("top.filled").alias("ahead"))
+        took = materialise(took, f"took-{turn}")
+        chosen = took if chosen is None else chosen.union(took)
+        sums = took.groupBy("name").agg(F.sum("size").alias("more")).withColumnRenamed("name", "n1")
+        gaps = gaps.join(sums, F.col("name").eqNullSafe(F.col("n1")), "left")
+        more = F.coalesce(F.col("more"), F.lit(0))
+        gaps = materialise(gaps.select("name", (F.col("gap") - more).alias("gap"), (F.col("filled") + more).alias("filled")), f"gaps-{turn}")
+        rest = rest.join(took.select("row"), "row", "left_anti")
+    # A document over the gap may still leave it nearer to nothing.
+    over = rest.join(gaps, F.col("source").eqNullSafe(F.col("name"))).where("size > gap and size < 2 * gap")
+    over = over.groupBy("name").agg(F.min(F.struct("size", "mark", "row", "filled")).alias("top"))
+    chosen = chosen.union(over.select("top.row", "name", "top.size", F.col("top.filled").alias("ahead"))).select(F.col("row").alias("r"), "ahead")
+    lined = running_totals(facts, ["source"], spot, ["row"], "size").drop("total")
+    planned = lined.join(targets, F.col("source").eqNullSafe(F.col("name"))).join(chosen, F.col("row") == F.col("r"), "left")
+    planned = planned.withColumn("copies", (F.col("passes") + F.col("ahead").isNotNull().cast("long")).cast("long"))
     whole = planned.groupBy("name").agg(F.sum(F.col("copies") * F.col("size")).alias("source_taken")).withColumnRenamed("name", "n2")
     planned = planned.join(whole, F.col("source").eqNullSafe(F.col("n2")))
 
     pieces = F.element_at(F.array(*[_pieces(s) for s in mix.schedules]), F.pmod(F.col("rank"), F.lit(len(mix.schedules))) + 1)
 
     def time(copy: Column) -> Column:
-        ahead = F.when(closes & (copy == F.col("passes")), F.col("filled")).otherwise(F.col("before"))
+        ahead = F.when(copy == F.col("passes"), F.col("ahead")).otherwise(F.col("before"))
         middle = copy * F.col("source_size") + ahead + F.col("size") / 2
         return _position(middle / F.greatest(F.col("source_taken"), F.lit(1)), F.col("pieces"))
 
