@@ -37,7 +37,7 @@ from cohortlens.llm.shingles import shingle_sets, slices, utf8
 
 BUCKETS, BAND, MANTISSA = 160, 4, 10
 #: Text that is sketched at a time, shingles in a tile of full sets, registers in a tile of sketches.
-SLICE_BYTES, TILE_SHINGLES, TILE_CLASSES = 2 << 20, 1_500_000, 1024
+SLICE_BYTES, TILE_SHINGLES, TILE_CLASSES = 2 << 20, 1_500_000, 4096
 
 
 @dataclass(frozen=True)
@@ -139,13 +139,17 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
 
-def _candidates(i: int, labels: np.ndarray, sketch: np.ndarray, n: np.ndarray, rule: Rule) -> np.ndarray:
-    """Later members not yet joined to member i whose sizes and estimates allow a link."""
+def _candidates(i: int, labels: np.ndarray, sketch: np.ndarray, n: np.ndarray, used: np.ndarray, rule: Rule) -> np.ndarray:
+    """Later members not yet joined to member i whose sizes and estimates allow a link; used: registers in use."""
     rest = np.flatnonzero(labels[i + 1 :] != labels[i]) + i + 1
     rest = rest[100 * np.minimum(n[rest], n[i]) >= rule.percent * np.maximum(n[rest], n[i])]
     if not len(rest):
         return rest
-    return rest[estimate(sketch[i], n[i], sketch[rest], n[rest]) >= rule.least_estimate]
+    # Without the union of registers in use and chance collisions the estimate is only higher.
+    own = np.flatnonzero(sketch[i])
+    same = (sketch[rest][:, own] == sketch[i, own]).sum(1)
+    rest = rest[same >= rule.least_estimate * np.maximum(used[rest], used[i])]
+    return rest[estimate(sketch[i], n[i], sketch[rest], n[rest]) >= rule.least_estimate] if len(rest) else rest
 
 
 def _join(labels: np.ndarray, i: int, hits: np.ndarray, ids: np.ndarray, found: list[tuple[int, int]]) -> None:
@@ -161,9 +165,9 @@ def _compare_buckets(rule: Rule):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in groups(batches, ["band", "code", "t", "u"]):
             ids, n, sketch = unit["cid"].to_numpy(), unit["n"].to_numpy(), _sketches(unit["bands"])
-            labels, found = np.arange(len(ids)), []
+            labels, found, used = np.arange(len(ids)), [], (sketch != 0).sum(1)
             for i in range(len(ids) - 1):
-                _join(labels, i, _candidates(i, labels, sketch, n, rule), ids, found)
+                _join(labels, i, _candidates(i, labels, sketch, n, used, rule), ids, found)
             yield _edges(found)
 
     return work
@@ -188,9 +192,9 @@ def _verify(rule: Rule):
             _, codes = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
             begin = np.cumsum(n) - n
             mark = np.zeros(len(codes) + 1, bool)
-            labels, found = np.arange(len(ids)), []
+            labels, found, used = np.arange(len(ids)), [], (sketch != 0).sum(1)
             for i in range(len(ids) - 1):
-                rest = _candidates(i, labels, sketch, n, rule)
+                rest = _candidates(i, labels, sketch, n, used, rule)
                 if not len(rest):
                     continue
                 mark[codes[begin[i] : begin[i] + n[i]]] = True
