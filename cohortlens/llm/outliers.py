@@ -10,8 +10,8 @@ exceeds a chi-square quantile.
 Transformed statistics are whole numbers (4096ths), so the sums behind the
 estimates do not depend on the order of the rows. The nearest three quarters are
 found by a histogram of log distances, so no group is sorted or gathered.
-A prior of a few rows of fixed spread keeps scatter regular where a statistic
-does not vary or a group is small.
+A fixed least spread is added to each statistic's variance: where nearly all rows
+agree, or a group is small, little differences do not make a row an outlier.
 """
 
 from __future__ import annotations
@@ -33,15 +33,14 @@ _PLACE = 26  # low bits of a composite that hold a window's place
 
 @dataclass(frozen=True)
 class Rules:
-    """Base limits, the share of rows in the core, its steps, the tail to reject, and the prior."""
+    """Base limits, the share of rows in the core, its steps, the tail to reject, and the least spreads."""
 
     least_words: int = 50
     most_repeats_percent: int = 50
     core: float = 0.75
     steps: int = 4
     tail: float = 1e-5
-    prior_rows: int = 20
-    spreads: tuple[float, ...] = (0.8, 0.15, 0.8, 0.8, 0.8)
+    spreads: tuple[float, ...] = (0.5, 0.1, 0.4, 0.5, 0.8)
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
@@ -118,9 +117,9 @@ def _estimates(sums: DataFrame, keys: list[str], rules: Rules) -> DataFrame:
         out = out.withColumn(f"m{i}", F.col(f"s{i}") / F.col("n"))
     for i in range(p):
         for j in range(i + 1):
-            spread = F.lit((rules.spreads[i] * UNIT) ** 2 * rules.prior_rows if i == j else 0.0)
+            least = F.lit((rules.spreads[i] * UNIT) ** 2 if i == j else 0.0)
             moment = (F.col(f"s{i}{j}") - F.col(f"s{i}") * F.col(f"m{j}")) * F.lit(shrink)
-            rest = (moment + spread) / (F.col("n") + F.lit(rules.prior_rows))
+            rest = moment / F.col("n") + least
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             value = F.sqrt(F.greatest(rest, F.lit(1.0))) if i == j else rest / F.col(f"l{j}{j}")
