@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.common import arrow_map, materialise, ready, scratch_path
 from cohortlens.llm.shingles import slices, utf8
-from cohortlens.llm.tokens import Encoder, with_end
+from cohortlens.llm.tokens import shared_encoder, with_end
 
 MAGIC = b"DACODES1"
 BLOCK = 512
@@ -140,7 +140,7 @@ def open_codes(path: str) -> CodeFile:
 
 def _write(tokenizer: str, end_id: int, root: str, file_tokens: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = shared_encoder(tokenizer)
         store, folder = fs.FileSystem.from_uri(root)
         part, held, names, count, seq = TaskContext.get().partitionId(), [], [], 0, 0
 

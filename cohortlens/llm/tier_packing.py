@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.common import arrow_map, ready
 from cohortlens.llm.shingles import slices, utf8
-from cohortlens.llm.tokens import Encoder, with_end
+from cohortlens.llm.tokens import shared_encoder, with_end
 
 TIERS = (256, 512, 1024, 2048)
 BLOCK_TOKENS, STEP_TOKENS, SLICE_BYTES = 4_000_000, 65_536, 4 << 20
@@ -64,7 +64,7 @@ def plan_block(sizes: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple[i
 
 def _pack(tokenizer: str, end_id: int, tiers: tuple[int, ...], block_tokens: int, step_tokens: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = shared_encoder(tokenizer)
         base = TaskContext.get().partitionId() << 40
         held: list[tuple[np.ndarray, np.ndarray]] = []
         names: list[pa.Array] = []

@@ -1,14 +1,20 @@
-"""Token ids of whole texts, a batch at a time, with a public tokenizer file.
+"""Token ids of whole texts, a batch at a time, with the public word tokenizer file.
 
 The word tokenizer lower-cases, drops white space and never joins text across
 a space, a line break, or between a letter and punctuation. So a text's ids
 are the ids of its chunks between such places, in order. Each different chunk
-is encoded by the library once and its ids are gathered for all its places.
+is encoded by the library once and its ids are gathered for all its places. A chunk
+of Latin letters alone is one word that the normalizer only lower-cases: it goes
+straight to the tokenizer's model, in the model's alphabet of bytes.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import sys
+import types
 from itertools import chain
 
 import numpy as np
@@ -16,8 +22,8 @@ import pyarrow as pa
 
 from cohortlens.llm.shingles import ascii_lower, utf8
 
-#: Chunks whose ids a worker keeps between batches; beyond it the store starts anew.
-KEPT_CHUNKS = 1_000_000
+#: Chunks in the newer of two stores of known ids; when it is full it becomes the older one.
+KEPT_CHUNKS = 400_000
 
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, 0x0A]] = True
@@ -25,6 +31,10 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[0x2C, 0x2E]] = True
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: The byte alphabet: bytes that print in Latin-1 are themselves, the others follow from 256 on.
+_ODD_BYTES = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+_ALPHABET = {b: 256 + k for k, b in enumerate(_ODD_BYTES)}
 
 
 def chunks(data: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -63,14 +73,31 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._model = self._tokenizer.model
+        parts = json.loads(self._tokenizer.to_str())
+        kinds = [x["type"] for x in (parts["normalizer"] or {}).get("normalizers", [])]
+        steps = [x["type"] for x in (parts["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        if kinds != ["NFC", "Replace", "Lowercase"] or steps != ["Split", "ByteLevel"]:
+            raise ValueError("texts may be cut into chunks under the word tokenizer only")
         self._kept: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
         if len(self._kept) > KEPT_CHUNKS:
-            self._kept = {}
-        new = [w for w in words if w not in self._kept]
-        for i in range(0, len(new), 8192):
-            part = new[i : i + 8192]
+            self._kept, self._older = {}, self._kept
+        other = []
+        for w in words:
+            if w in self._kept:
+                continue
+            if w in self._older:
+                self._kept[w] = self._older[w]
+            elif _PLAIN.fullmatch(w):
+                spelled = w.lower().encode().decode("latin-1").translate(_ALPHABET)
+                self._kept[w] = np.array([t.id for t in self._model.tokenize(spelled)], np.uint32).tobytes()
+            else:
+                other.append(w)
+        for i in range(0, len(other), 8192):
+            part = other[i : i + 8192]
             ids = [e.ids for e in self._tokenizer.encode_batch_fast(part, add_special_tokens=False)]
             flat = np.fromiter(chain.from_iterable(ids), np.uint32).tobytes()
             end = 0
@@ -96,6 +123,14 @@ class Encoder:
         return out, ends[np.cumsum(counts)]
 
 
+def shared_encoder(path: str) -> Encoder:
+    """The worker process's encoder for ``path``, kept between its tasks."""
+    held = sys.modules.setdefault("cohortlens_encoders", types.ModuleType("cohortlens_encoders")).__dict__
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
+
+
 def with_end(ids: np.ndarray, ends: np.ndarray, last: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids with the id ``last`` after each text, and the starts of all texts (n + 1 numbers)."""
     n = len(ends)
