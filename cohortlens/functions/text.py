@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from re import _constants, _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -267,21 +268,45 @@ def term_flags(text: Column, terms: dict[str, str] = CLINICAL_TERMS) -> Column:
 # ── weighted lexicon ────────────────────────────────────────────────────────
 
 
+# The letters beyond A-Z that equal one of a-z when case is ignored.
+_ODD_LETTERS, _PLAIN_LETTERS = "\u017f\u212a\u0130\u0131", "skii"
+
+
+def _parsed(pattern: str) -> list:
+    """The outermost sequence of a pattern; empty if it is not one that ``re`` knows."""
+    try:
+        return list(_parser.parse(pattern, re.IGNORECASE))
+    except re.error:
+        return []
+
+
+def _literal_runs(pattern: str) -> dict[int, str]:
+    """Runs of a-z that every match of ``pattern`` holds, by their place in its outermost sequence.
+
+    What stands in groups, choices or repeats may be absent and is not used.
+    """
+    runs: dict[int, str] = {}
+    begin = None
+    for i, (op, value) in enumerate(_parsed(pattern)):
+        letter = chr(value).lower() if op is _constants.LITERAL else ""
+        if not "a" <= letter <= "z":
+            begin = None
+            continue
+        begin = i if begin is None else begin
+        runs[begin] = runs.get(begin, "") + letter
+    return runs
+
+
 def _required_literal(pattern: str) -> str | None:
-    """Longest literal that any match of ``pattern`` must contain, lower case."""
-    if "|" in re.sub(r"\([^)]*\)", "", pattern):
-        return None
-    bare = re.sub(r"\\[A-Za-z]\+?|\([^)]*\)\??|\[[^\]]*\]\??|.\?", " ", pattern)
-    words = re.findall(r"[a-z]+", bare)
-    return max(words, key=len) if words else None
+    """Longest run of letters that any match of ``pattern`` must contain, lower case."""
+    return max(_literal_runs(pattern).values(), key=len, default=None)
 
 
 def _first_letters(pattern: str) -> str | None:
-    """Literal that a match of ``pattern`` must begin with, right at a word start."""
-    if _required_literal(pattern) is None:
+    """Letters that a match of ``pattern`` must begin with, right at a word start."""
+    if _parsed(pattern)[:1] != [(_constants.AT, _constants.AT_BOUNDARY)]:
         return None
-    found = re.match(r"\\b([a-z]+)(?![?*+a-z])", pattern)
-    return found.group(1) if found else None
+    return _literal_runs(pattern).get(1)
 
 
 def _word_finder(starts: Sequence[str]) -> str:
@@ -299,12 +324,11 @@ def with_lexicon_scores(df: DataFrame, text: str, lexicon: Sequence[tuple[str, f
 
     Each pattern is counted once, and only where it can occur: one pass finds
     all words that begin like some pattern, and a pattern whose opening letters
-    or required literal are absent is skipped. Every count stays what a full
-    scan gives.
+    or required literal are absent is skipped. Both are taken from the parsed
+    pattern, and the text is folded as the patterns ignore case, so every count
+    stays what a full scan gives.
     """
-    folded = F.lower(F.col(text))
-    for odd, plain in (("\u017f", "s"), ("\u0131", "i")):  # letters that match s and i without case
-        folded = F.replace(folded, F.lit(odd), F.lit(plain))
+    folded = F.lower(F.translate(F.col(text), _ODD_LETTERS, _PLAIN_LETTERS))
     starts = [_first_letters(p) for p, _, _ in lexicon]
     known = [s for s in starts if s]
     openings = F.array_join(F.regexp_extract_all("_folded", F.lit(_word_finder(known)), 1), " ") if known else F.lit("")

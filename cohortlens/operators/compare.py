@@ -10,8 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortlens.functions import stats
-from cohortlens.operators.evaluation import MODEL, operating_metrics, ranked_histogram
-from cohortlens.operators.prefix import hash_ranks, join_parameters, prefix_sums
+from cohortlens.operators.evaluation import MODEL, clean_scores, operating_metrics, ranked_histogram
+from cohortlens.operators.prefix import hash_ranks, join_parameters, key_of, prefix_sums
 
 ROW_KEY = ["subject_id", "hadm_id"]
 
@@ -199,8 +199,9 @@ def rank_normalised(scores: DataFrame, keys: Sequence[str] = MODEL) -> DataFrame
     n = F.col("pos") + F.col("neg")
     below, total = F.col("pos_below") + F.col("neg_below"), F.col("pos_total") + F.col("neg_total")
     pct = (below + (n + 1) / 2.0) / total
-    ranks = ranked_histogram(scores, keys).select(*keys, "score", pct.alias("rank_pct"))
-    return scores.withColumn("score", F.col("score").cast("double")).join(ranks, [*keys, "score"])
+    place = key_of([*keys, "score"])
+    ranks = ranked_histogram(scores, keys).select(place.alias("_place"), pct.alias("rank_pct"))
+    return clean_scores(scores).withColumn("_place", place).join(ranks, "_place").drop("_place")
 
 
 def rank_ensembles(scores: DataFrame, models: Sequence[str], key: Sequence[str] = ROW_KEY) -> DataFrame:

@@ -28,9 +28,9 @@ def clean_scores(scores: DataFrame) -> DataFrame:
 
 
 def histogram(scores: DataFrame, keys: Sequence[str] = MODEL) -> DataFrame:
-    """Positives and negatives per distinct score."""
+    """Positives and negatives per distinct score; missing and NaN scores count as 0."""
     label = F.col("label").cast("long")
-    return scores.groupBy(*keys, F.col("score").cast("double").alias("score")).agg(
+    return clean_scores(scores).groupBy(*keys, F.col("score").cast("double").alias("score")).agg(
         F.sum(label).alias("pos"), F.sum(1 - label).alias("neg")
     )
 

@@ -155,8 +155,22 @@ def tfidf(notes: DataFrame, key: str, text: str, max_features: int = 50_000) ->
     )
     n = notes.agg(F.count(F.lit(1)).cast("double").alias("n")).select("n").scalar()
     idf = vocabulary.select("term", (1 + F.log((1 + n) / (1 + F.col("df")))).alias("idf"))
-    raw = join_parameters(counts, idf, ["term"], max_features).select(
+    raw = join_parameters(counts, idf, ["term"]).select(
         key, "term", ((1 + F.log(F.col("tf"))) * F.col("idf")).alias("w")
     )
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))  # the terms of one note
     return raw.select(key, "term", (F.col("w") / norm).alias("weight"))
+
+
+def term_odds(rows: DataFrame) -> DataFrame:
+    """Smoothed log odds of each term between the classes, from rows (label, term, present)."""
+    label, present = F.col("label"), F.col("present")
+    share = lambda k, n: F.log((F.sum(k) + 1) / (F.sum(n) + F.lit(2.0)))
+    odds = share(present * label, label) - share(present * (1 - label), 1 - label)
+    return rows.groupBy("term").agg(odds.alias("log_odds"))
+
+
+def term_scores(rows: DataFrame, odds: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sum of the log odds of the terms present, per key."""
+    joined = join_parameters(rows, odds, ["term"])
+    return joined.groupBy(*keys).agg(F.sum(F.col("present") * F.col("log_odds")).alias("score"))

@@ -6,7 +6,7 @@ that is bounded by the number of cells, and only the offset travels down to
 the finer level. Every window sees at most about two million rows, whatever
 the distribution of the values and however large a group is.
 
-Grouping keys must not be null: label missing groups first.
+Missing grouping keys form a group of their own.
 """
 
 from __future__ import annotations
@@ -20,34 +20,35 @@ from pyspark.sql import functions as F
 _BEFORE = (W.unboundedPreceding, -1)
 
 
-def join_parameters(df: DataFrame, params: DataFrame, on: Sequence[str], max_rows: int = 100_000) -> DataFrame:
-    """Inner join with a small parameter table (one row per model or stratum).
+def key_of(keys: Sequence[str]) -> Column:
+    """The grouping keys as one struct: never null itself, and equal where the same keys are missing."""
+    return F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
 
-    Such a key repeats over a large share of ``df``, so shuffling ``df`` on it
-    would pile the rows onto a few tasks. The table is broadcast instead, and
-    its size is enforced while the query runs: a larger table raises an error
-    and loses nothing silently. Join such a table directly.
+
+def join_parameters(df: DataFrame, params: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join with a parameter table that holds one row per key; missing keys are equal.
+
+    A plain equi-join: adaptive execution broadcasts the table by its measured
+    size and otherwise splits the keys that repeat over a large share of ``df``.
     """
-    count = F.count(F.lit(1)).over(W.partitionBy(F.lit(1)))
-    fits = F.when(F.col("_rows") <= max_rows, F.lit(True)).otherwise(
-        F.raise_error(F.lit(f"parameter table has more than {max_rows} rows")).cast("boolean")
-    )
-    small = params.limit(max_rows + 1).withColumn("_rows", count).where(fits).drop("_rows")
-    return df.join(F.broadcast(small), list(on))
+    small = params.withColumn("_key", key_of(on)).drop(*on)
+    return df.withColumn("_key", key_of(on)).join(small, "_key").drop("_key")
 
 
 def value_cells(value: Column) -> tuple[Column, Column]:
-    """Two nested cell numbers that grow with ``value``, for any finite double.
+    """Two nested cell numbers that grow with ``value``, for any double; NaN comes last.
 
     The first combines the binary exponent with ten mantissa bits, the second
     takes the next 21 bits. At most 2**21 distinct doubles share both.
     """
     x = value.cast("double")
     size = F.abs(x)
-    exponent = F.floor(F.log2(size))
-    unit = F.when(size > 0, x / F.pow(F.lit(2.0), exponent)).otherwise(0.0)
-    band = F.when(size > 0, F.signum(x) * (exponent + 1100)).otherwise(0.0)
-    coarse = (band * 2048 + F.floor(unit * 1024.0)).cast("long")
+    usual = (size > 0) & (size < float("inf"))  # NaN is above infinity
+    exponent = F.floor(F.log2(F.when(usual, size)))
+    unit = F.when(usual, x / F.pow(F.lit(2.0), exponent)).otherwise(0.0)
+    band = F.when(usual, F.signum(x) * (exponent + 1100)).otherwise(0.0)
+    beyond = F.when(F.isnan(x), 6_000_000).when(size == float("inf"), F.signum(x) * 5_000_000)
+    coarse = F.coalesce(beyond.cast("long"), (band * 2048 + F.floor(unit * 1024.0)).cast("long"))
     fine = F.floor(unit * 2147483648.0).cast("long")
     return coarse, fine
 
@@ -58,34 +59,33 @@ def prefix_sums(hist: DataFrame, keys: Sequence[str], order: str, measures: Sequ
     ``hist`` holds one row per (keys, order). ``<m>_below`` sums the measure
     over strictly smaller ``order`` values of the same keys.
     """
-    keys = list(keys)
     coarse, fine = value_cells(F.col(order))
-    cells = hist.withColumn("_c", coarse).withColumn("_f", fine)
+    cells = hist.withColumn("_k", key_of(list(keys))).withColumn("_c", coarse).withColumn("_f", fine)
 
     def before(m: str, part: Sequence[str], by: str) -> Column:
         window = W.partitionBy(*part).orderBy(by).rowsBetween(*_BEFORE)
         return F.coalesce(F.sum(m).over(window), F.lit(0))
 
     sums = [F.sum(m).alias(m) for m in measures]
-    middle = cells.groupBy(*keys, "_c", "_f").agg(*sums)
-    top = middle.groupBy(*keys, "_c").agg(*sums)
+    middle = cells.groupBy("_k", "_c", "_f").agg(*sums)
+    top = middle.groupBy("_k", "_c").agg(*sums)
     top = top.select(
-        *keys,
+        "_k",
         "_c",
-        *[before(m, keys, "_c").alias(f"_{m}_top") for m in measures],
-        *[F.sum(m).over(W.partitionBy(*keys)).alias(f"{m}_total") for m in measures],
+        *[before(m, ["_k"], "_c").alias(f"_{m}_top") for m in measures],
+        *[F.sum(m).over(W.partitionBy("_k")).alias(f"{m}_total") for m in measures],
     )
-    middle = middle.join(top, [*keys, "_c"]).select(
-        *keys,
+    middle = middle.join(top, ["_k", "_c"]).select(
+        "_k",
         "_c",
         "_f",
-        *[(F.col(f"_{m}_top") + before(m, [*keys, "_c"], "_f")).alias(f"_{m}_mid") for m in measures],
+        *[(F.col(f"_{m}_top") + before(m, ["_k", "_c"], "_f")).alias(f"_{m}_mid") for m in measures],
         *[f"{m}_total" for m in measures],
     )
-    return cells.join(middle, [*keys, "_c", "_f"]).select(
+    return cells.join(middle, ["_k", "_c", "_f"]).select(
         *hist.columns,
         *[
-            (F.col(f"_{m}_mid") + before(m, [*keys, "_c", "_f"], order)).alias(f"{m}_below")
+            (F.col(f"_{m}_mid") + before(m, ["_k", "_c", "_f"], order)).alias(f"{m}_below")
             for m in measures
         ],
         *[f"{m}_total" for m in measures],
@@ -96,11 +96,11 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, levels: dict[str
     """Exact interpolated percentiles per key: one output column per level.
 
     Works on the value histogram, so a huge group costs its distinct values.
-    Missing values are ignored.
+    Missing and NaN values are ignored.
     """
     keys = list(keys)
     hist = (
-        df.where(F.col(value).isNotNull())
+        df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
@@ -137,19 +137,19 @@ def hash_ranks(df: DataFrame, strata: Sequence[str], key: Sequence[str], seed: i
     size of the slices before it, so no task receives a whole stratum.
     """
     strata = list(strata)
-    hashed = df.withColumn("_h", hash_key(key, seed)).withColumn("_slice", F.substring("_h", 1, 4))
-    slices = hashed.groupBy(*strata, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    ordered = W.partitionBy(*strata).orderBy("_slice").rowsBetween(*_BEFORE)
+    hashed = df.withColumn("_h", hash_key(key, seed)).withColumn("_slice", F.substring("_h", 1, 4)).withColumn("_k", key_of(strata))
+    slices = hashed.groupBy("_k", "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    ordered = W.partitionBy("_k").orderBy("_slice").rowsBetween(*_BEFORE)
     slices = slices.select(
-        *strata,
+        "_k",
         "_slice",
         F.coalesce(F.sum("_n").over(ordered), F.lit(0)).alias("_offset"),
-        F.sum("_n").over(W.partitionBy(*strata)).alias("stratum_size"),
+        F.sum("_n").over(W.partitionBy("_k")).alias("stratum_size"),
     )
-    inside = W.partitionBy(*strata, "_slice").orderBy("_h", *key)
+    inside = W.partitionBy("_k", "_slice").orderBy("_h", *key)
     return (
-        hashed.join(slices, [*strata, "_slice"])
+        hashed.join(slices, ["_k", "_slice"])
         .withColumn("hash_rank", F.col("_offset") + F.row_number().over(inside))
-        .drop("_h", "_slice", "_offset")
+        .drop("_h", "_slice", "_offset", "_k")
     )
 

@@ -349,45 +349,45 @@ def _split_sql(source: str, shares: list[tuple[str, float]], rest: str) -> str:
 
 # All subjects with a 0/1 target flag: the split then covers the whole table.
 _FLAGGED = "(SELECT subject_id, CASE WHEN subject_id IN (SELECT subject_id FROM positives) THEN 1 ELSE 0 END AS label FROM patients)"
-_RANDOM = _split_sql(_FLAGGED, [("train", 0.8), ("val", 0.1)], "test")
+RANDOM_SPLIT = _split_sql(_FLAGGED, [("train", 0.8), ("val", 0.1)], "test")
 _ERA = "coalesce(try_cast(split_part(anchor_year_group, ' - ', 1) AS INT), 9999)"
-_TEMPORAL = f"""{_split_sql(f"(SELECT f.* FROM {_FLAGGED} f JOIN patients p USING (subject_id) WHERE {_ERA} < 2015)", [("train", 0.9)], "val")}
+TEMPORAL_SPLIT = f"""{_split_sql(f"(SELECT f.* FROM {_FLAGGED} f JOIN patients p USING (subject_id) WHERE {_ERA} < 2015)", [("train", 0.9)], "val")}
     UNION ALL SELECT f.subject_id, f.label, 'test' FROM {_FLAGGED} f JOIN patients p USING (subject_id) WHERE {_ERA} >= 2015"""
 
 
-def _flagged(s: Study):
+def flagged_subjects(s: Study):
     marked = s.patients.select("subject_id").join(s.positives.withColumn("_p", F.lit(1)), "subject_id", "left")
     return marked.select("subject_id", F.coalesce("_p", F.lit(0)).alias("label"))
 
 
-@query("stratified_split", "subject_id:l label:l split:s", "SMP2 WIN5", _RANDOM)
+@query("stratified_split", "subject_id:l label:l split:s", "SMP2 WIN5", RANDOM_SPLIT)
 def stratified_split(s: Study):
-    return sampling.stratified_split(_flagged(s))
+    return sampling.stratified_split(flagged_subjects(s))
 
 
-@query("temporal_split", "subject_id:l label:l split:s", "SMP3", f"SELECT * FROM ({_TEMPORAL})")
+@query("temporal_split", "subject_id:l label:l split:s", "SMP3", f"SELECT * FROM ({TEMPORAL_SPLIT})")
 def temporal_split(s: Study):
-    return sampling.temporal_split(_flagged(s), s.patients)
+    return sampling.temporal_split(flagged_subjects(s), s.patients)
 
 
 @query("split_checks", "check_name:s violations:l", "SMP4",
-       f"""WITH sp AS ({_RANDOM})
+       f"""WITH sp AS ({RANDOM_SPLIT})
            SELECT 'overlapping_keys' AS check_name, count(*) AS violations FROM (SELECT subject_id FROM sp GROUP BY 1 HAVING count(DISTINCT split) > 1)
            UNION ALL SELECT 'missing_keys', count(*) FROM patients WHERE subject_id NOT IN (SELECT subject_id FROM sp)
            UNION ALL SELECT 'empty_splits', 3 - count(DISTINCT split) FROM sp""")
 def split_checks(s: Study):
-    labels = _flagged(s)
+    labels = flagged_subjects(s)
     return sampling.split_checks(sampling.stratified_split(labels), labels, ["train", "val", "test"])
 
 
 @query("split_summary", "split:s n_patients:l n_rows:l n_pos:l n_neg:l pos_pct:d", "AGG10 SMP2",
-       f"""WITH sp AS ({_RANDOM})
+       f"""WITH sp AS ({RANDOM_SPLIT})
            SELECT split, count(DISTINCT a.subject_id) AS n_patients, count(*) AS n_rows, sum(label) AS n_pos,
                   count(*) - sum(label) AS n_neg, sum(label) / count(*)::DOUBLE * 100 AS pos_pct
            FROM admissions a JOIN sp ON a.subject_id = sp.subject_id GROUP BY split""")
 def split_summary(s: Study):
-    splits = sampling.stratified_split(_flagged(s))
-    rows = sampling.assign_rows(s.admissions, splits).join(_flagged(s), "subject_id")
+    splits = sampling.stratified_split(flagged_subjects(s))
+    rows = sampling.assign_rows(s.admissions, splits).join(flagged_subjects(s), "subject_id")
     return sampling.split_summary(rows)
 
 
@@ -444,7 +444,7 @@ def control_index_admissions(s: Study):
 # ── features and percentiles ────────────────────────────────────────────────
 
 _FEATURE_SQL = f"""
-    WITH ev AS (SELECT subject_id, hadm_id, CASE WHEN "group" = 'ptsd_pos' THEN 1 ELSE 0 END AS label FROM adm_extract WHERE is_index_admission),
+    WITH ev AS (SELECT subject_id, hadm_id, CASE WHEN "group" = 'ptsd_pos' THEN 1 ELSE 0 END AS label FROM adm_extract WHERE is_index_admission AND "group" <> 'proxy'),
     ix AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY admittime, hadm_id) AS rn
            FROM adm_extract WHERE hadm_id IN (SELECT hadm_id FROM ev)) WHERE rn = 1)
     SELECT i.subject_id, l.label, age_at_admission, CASE WHEN gender = 'F' THEN 1 ELSE 0 END AS sex_female,
@@ -460,8 +460,8 @@ _FEATURE_SQL = f"""
 
 
 def cohort_features(s: Study):
-    """Feature table of every cohort subject at the index admission."""
-    evaluated = s.extract.where("is_index_admission").select(
+    """Feature table at the index admission; withheld proxy subjects have no label and no part in it."""
+    evaluated = s.extract.where(F.col("is_index_admission") & (F.col("group") != cohort.PROXY)).select(
         "subject_id", "hadm_id", (F.col("group") == cohort.POSITIVE).cast("int").alias("label")
     )
     rows = features.structured_features(evaluated, s.extract, s.diagnoses, s.prescriptions)

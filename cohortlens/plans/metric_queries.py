@@ -15,12 +15,15 @@ from cohortlens.operators import (
     errors,
     evaluation,
     fairness,
+    models,
+    sampling,
 )
 from cohortlens.operators.attribution import top_decile
 from cohortlens.operators.prefix import join_parameters
 from cohortlens.operators.sampling import fixed_sample
 from cohortlens.plans import sql as sq
 from cohortlens.plans import standins
+from cohortlens.plans.cohort_queries import RANDOM_SPLIT, TEMPORAL_SPLIT, flagged_subjects
 from cohortlens.plans.registry import query
 from cohortlens.plans.standins import MODELS
 from cohortlens.plans.study import Study
@@ -603,14 +606,29 @@ def class_weights(s: Study):
     return evaluation.class_weights(labels)
 
 
-_CONDITIONS = """SELECT 'baseline' AS condition, label, score FROM scores WHERE model = 'kw_norm'
-    UNION ALL SELECT 'masked', label, score FROM scores WHERE model = 'len' UNION ALL SELECT 'section_removed', label, score FROM scores WHERE model = 'hash'"""
-_COND_MAP = {"kw_norm": "baseline", "len": "masked", "hash": "section_removed"}
+_CONDITIONS = f"""SELECT condition, quality AS label, CASE WHEN n_words > 0 THEN raw / n_words ELSE 0e0 END AS score FROM (
+        SELECT condition, hadm_id, {sq.lexicon_score('folded', tx.PHRASE_LEXICON)} AS raw, {sq.hits('x', chr(92) + 'S+')} AS n_words
+        FROM (SELECT *, {sq.folded('x')} AS folded FROM (
+            SELECT 'baseline' AS condition, hadm_id, note_text AS x FROM all_joined
+            UNION ALL SELECT 'masked', hadm_id, regexp_replace(note_text, {sq.q(sq.MASK_REGEX)}, {sq.q(tx.MASK_TOKEN)}, 'g') FROM all_joined
+            UNION ALL SELECT 'section_removed', j.hadm_id, coalesce(n.note_text, j.note_text) FROM all_joined j LEFT JOIN nopmh_joined n ON j.hadm_id = n.hadm_id)))
+        JOIN labels ON doc_id = hadm_id"""
 
 
 def _conditions(s: Study):
-    name = F.create_map(*[x for k, v in _COND_MAP.items() for x in (F.lit(k), F.lit(v))])
-    return s.scores.where(F.col("model").isin(list(_COND_MAP))).withColumn("condition", name[F.col("model")])
+    """The same labelled notes plain, masked and without one section, scored by the same lexicon."""
+    plain = tx.with_sections(s.discharge, "text").select("hadm_id", tx.joined_sections(F.col("sections")).alias("note_text"))
+    plain = materialise(plain.where("note_text IS NOT NULL"), "sections")
+    masked = plain.select("hadm_id", tx.mask(F.col("note_text")).alias("note_text"))
+    removed = corpus.without_section(s.discharge, plain)
+    versions = {"baseline": plain, "masked": masked, "section_removed": removed}
+    notes = None
+    for name, version in versions.items():
+        version = version.select(F.lit(name).alias("condition"), "hadm_id", "note_text")
+        notes = version if notes is None else notes.unionByName(version)
+    scored = tx.with_lexicon_scores(notes, "note_text").select("condition", "hadm_id", F.col("score_norm").alias("score"))
+    labels = standins.table(s.spark, s.sf_dir, "labels").select(F.col("doc_id").alias("hadm_id"), F.col("quality").alias("label"))
+    return materialise(scored.join(labels, "hadm_id"), "conditions")
 
 
 @query("ablation_table", "condition:s auprc:d auroc:d auprc_delta:d sensitivity_fixed:d sensitivity_retuned:d", "EV34",
@@ -636,27 +654,39 @@ def ablation_table(s: Study):
     )
 
 
-_CELLS = """SELECT 'temporal' AS trained_on, 'temporal' AS tested_on, label, score FROM scores WHERE model = 'kw_norm' AND split = 'test'
-    UNION ALL SELECT 'random', 'temporal', label, score FROM scores WHERE model = 'len' AND split = 'test'
-    UNION ALL SELECT 'random', 'random', label, score FROM scores WHERE model = 'len' AND split = 'val'"""
+_TERM_FLAGS = " UNION ALL ".join(
+    f"SELECT subject_id, hadm_id, label, {i} AS term, CASE WHEN regexp_matches(folded, {sq.q('(?i)' + p)}) THEN 1 ELSE 0 END AS f FROM scored_docs"
+    for i, (p, _, _) in enumerate(standins.STOPWORD_LEXICON)
+)
 
 
-@query("temporal_generalisation", "delta_auprc:d delta_auroc:d generalization_penalty:d", "EV35",
-       f"""WITH r AS ({rank_sql(f'({_CELLS})', 'trained_on, tested_on')}),
+@query("temporal_generalisation", "delta_auprc:d delta_auroc:d generalization_penalty:d", "EV35 SMP2 SMP3",
+       f"""WITH t AS MATERIALIZED ({_TERM_FLAGS}),
+           sp AS (SELECT 'random' AS kind, subject_id, split FROM ({RANDOM_SPLIT}) UNION ALL SELECT 'temporal', subject_id, split FROM ({TEMPORAL_SPLIT})),
+           w AS (SELECT kind, term, ln((sum(f * label) + 1) / (sum(label) + 2e0)) - ln((sum(f * (1 - label)) + 1) / (sum(1 - label) + 2e0)) AS w
+                 FROM t JOIN sp USING (subject_id) WHERE split = 'train' GROUP BY 1, 2),
+           s AS (SELECT a AS trained_on, b AS tested_on, hadm_id, max(label) AS label, round(sum(f * w), 6) AS score
+                 FROM (VALUES ('temporal', 'temporal'), ('random', 'temporal'), ('random', 'random')) c(a, b)
+                 JOIN sp ON sp.kind = b AND split = 'test' JOIN t USING (subject_id) JOIN w ON w.kind = a AND w.term = t.term GROUP BY 1, 2, 3),
+           r AS ({rank_sql('s', 'trained_on, tested_on')}),
            c AS (SELECT max(auprc) FILTER (WHERE trained_on = 'temporal') AS tp, max(auroc) FILTER (WHERE trained_on = 'temporal') AS tr,
                         max(auprc) FILTER (WHERE trained_on = 'random' AND tested_on = 'temporal') AS rp, max(auroc) FILTER (WHERE trained_on = 'random' AND tested_on = 'temporal') AS rr,
                         max(auprc) FILTER (WHERE tested_on = 'random') AS bp FROM r)
            SELECT tp - rp AS delta_auprc, tr - rr AS delta_auroc, bp - rp AS generalization_penalty FROM c""")
 def temporal_generalisation(s: Study):
-    def cell(model: str, split: str, trained: str, tested: str):
-        rows = s.scores.where((F.col("model") == model) & (F.col("split") == split))
-        return rows.select(F.lit(trained).alias("trained_on"), F.lit(tested).alias("tested_on"), "label", "score")
-
-    cells = (
-        cell("kw_norm", "test", "temporal", "temporal")
-        .unionByName(cell("len", "test", "random", "temporal"))
-        .unionByName(cell("len", "val", "random", "random"))
-    )
+    """A term model is fitted on the training part of either split and scored on the held-out parts."""
+    docs = tx.with_lexicon_scores(standins.labelled_docs(s.spark, s.sf_dir), "text", standins.STOPWORD_LEXICON)
+    flags = docs.select("subject_id", "hadm_id", "label", F.posexplode("lexicon_hits").alias("term", "hits"))
+    flags = materialise(flags.select("subject_id", "hadm_id", "label", "term", (F.col("hits") > 0).cast("int").alias("present")), "terms")
+    subjects = flagged_subjects(s)
+    splits = {"random": sampling.stratified_split(subjects), "temporal": sampling.temporal_split(subjects, s.patients)}
+    parts = {k: flags.join(v.select("subject_id", "split"), "subject_id") for k, v in splits.items()}
+    weights = {k: models.term_odds(v.where("split = 'train'")) for k, v in parts.items()}
+    cells = None
+    for trained, tested in (("temporal", "temporal"), ("random", "temporal"), ("random", "random")):
+        scored = models.term_scores(parts[tested].where("split = 'test'"), weights[trained], ["hadm_id", "label"])
+        scored = scored.select(F.lit(trained).alias("trained_on"), F.lit(tested).alias("tested_on"), "label", F.round("score", 6).alias("score"))
+        cells = scored if cells is None else cells.unionByName(scored)
     return evaluation.temporal_comparison(evaluation.rank_metrics(cells, ["trained_on", "tested_on"]))
 
 

@@ -51,8 +51,26 @@ def test_hash_ranks_are_exact_and_partition_free(spark):
     assert [first[i] for i in hot] == list(range(1, 1001))
 
 
-def test_parameter_join_enforces_its_bound(spark):
-    df, params = spark.range(100), spark.range(11).withColumn("p", F.lit(1))
-    assert join_parameters(df, params, ["id"], 11).count() == 11
-    with pytest.raises(Exception, match="parameter table"):
-        join_parameters(df, params, ["id"], 10).collect()
+def test_parameter_join_takes_any_number_of_rows_and_missing_keys(spark):
+    df = spark.range(300).selectExpr("if(id % 3 = 0, null, id % 7) AS k", "id")
+    params = spark.createDataFrame([(None, "none"), *[(i, str(i)) for i in range(7)]], "k long, p string")
+    assert join_parameters(df, params, ["k"]).where("p = coalesce(cast(k AS string), 'none')").count() == 300
+    many = spark.range(120_000).withColumn("p", F.lit(1))
+    assert join_parameters(spark.range(120_000), many, ["id"]).count() == 120_000
+
+
+def test_missing_keys_and_odd_values(spark):
+    nan, inf = float("nan"), float("inf")
+    values = [3.0, nan, -inf, 1.5, inf, -0.0, 2.0, -7.0]
+    rows = [(g, v, i + 1) for g in ("a", None) for i, v in enumerate(values)]
+    hist = spark.createDataFrame(rows, "g string, v double, n long")
+    order = sorted((v for v in values if v == v)) + [nan]
+    sizes = {str(v): i + 1 for i, v in enumerate(values)}
+    for r in prefix_sums(hist, ["g"], "v", ["n"]).collect():
+        at = [str(v) for v in order].index(str(r.v))
+        assert r.n_below == sum(sizes[str(v)] for v in order[:at]) and r.n_total == sum(sizes.values())
+    assert prefix_sums(hist, ["g"], "v", ["n"]).count() == len(rows)
+    got = {r.g: r.mid for r in percentiles(hist, ["g"], "v", {"mid": 0.5}).collect()}
+    assert got == {"a": 1.5, None: 1.5}
+    ranks = hash_ranks(hist.where("not isnan(v)"), ["g"], ["n"]).groupBy("g").agg(F.sum("hash_rank").alias("s"), F.max("stratum_size").alias("m"))
+    assert {(r.g, r.s, r.m) for r in ranks.collect()} == {("a", 28, 7), (None, 28, 7)}
