@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from cohortlens.functions import demographics, stats
 from cohortlens.operators.cohort import first_rows
 from cohortlens.operators.evaluation import histogram, rank_metrics
-from cohortlens.operators.prefix import join_parameters
+from cohortlens.operators.prefix import key_of, prefix_sums
+from cohortlens.session import materialise
 
 # Grouping name and its column.
 GROUPINGS = {
@@ -106,35 +107,53 @@ def equal_opportunity(table: DataFrame, keys: Sequence[str] = ("model", "group")
 # ── bootstrap ───────────────────────────────────────────────────────────────
 
 
-def _resampler(replicates: int, slab: int = 256):
-    """Poisson counts for every (histogram cell, replicate), a slab of cells at a time.
+BLOCK_CELLS = 2048
 
-    Each cell has its own counter-based stream, so a retried task draws the
-    same numbers.
-    """
 
-    def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for start in range(0, len(batch), slab):
-                part = batch.iloc[start : start + slab]
-                draws = [
-                    np.random.Generator(np.random.Philox(key=int(s) & (2**64 - 1))).poisson(
-                        [[p], [n]], size=(2, replicates)
-                    )
-                    for s, p, n in zip(part["_seed"], part["pos"], part["neg"])
-                ]
-                counts = np.stack(draws)
-                cell, rep = np.nonzero(counts.sum(axis=1))
-                yield pd.DataFrame(
-                    {
-                        "_g": part["_id"].to_numpy()[cell] * replicates + rep,
-                        "score": part["score"].to_numpy()[cell],
-                        "pos": counts[cell, 0, rep],
-                        "neg": counts[cell, 1, rep],
-                    }
-                )
-
-    return resample
+def _draws(part: pd.DataFrame, replicates: int) -> np.ndarray:
+    """Poisson counts (cell, positives or negatives, replicate); each cell has its own counter-based stream."""
+    return np.stack(
+        [
+            np.random.Generator(np.random.Philox(key=int(s) & (2**64 - 1))).poisson([[p], [n]], size=(2, replicates))
+            for s, p, n in zip(part["_seed"], part["pos"], part["neg"])
+        ]
+    )
+
+
+def _slabs(part: pd.DataFrame, size: int = 256) -> Iterator[pd.DataFrame]:
+    for start in range(0, len(part), size):
+        yield part.iloc[start : start + size]
+
+
+def _block_totals(keys: list[str], replicates: int):
+    """Drawn positives and negatives of a block of cells: one array of replicates each."""
+
+    def totals(cells: pd.DataFrame) -> pd.DataFrame:
+        counts = sum(_draws(part, replicates).sum(axis=0) for part in _slabs(cells))
+        return cells.head(1)[[*keys, "_block"]].assign(tp=[counts[0]], fp=[counts[1]])
+
+    return totals
+
+
+def _block_precision(keys: list[str], replicates: int):
+    """Average-precision terms of a block, drawn again, on top of the counts of higher scores."""
+
+    def terms(cells: pd.DataFrame, ahead: pd.DataFrame) -> pd.DataFrame:
+        cells = cells.sort_values("score", ascending=False)
+        ahead = ahead.sort_values("_rep")
+        above = np.stack([ahead["tp"].to_numpy(), ahead["fp"].to_numpy()])
+        total = np.zeros(replicates)
+        for part in _slabs(cells):
+            counts = _draws(part, replicates)
+            seen = above + np.cumsum(counts, axis=0)
+            drawn = seen[:, 0] + seen[:, 1]
+            total += (counts[:, 0] * seen[:, 0] / np.maximum(drawn, 1)).sum(axis=0)
+            above = seen[-1]
+        first = cells.head(1)[keys]
+        out = pd.DataFrame({"_rep": np.arange(replicates), "_ap": total})
+        return first.merge(out, how="cross")
+
+    return terms
 
 
 def bootstrap_auprc(scores: DataFrame, keys: Sequence[str] = SUBGROUP, replicates: int = N_BOOTSTRAP, seed: int = SEED) -> DataFrame:
@@ -142,40 +161,52 @@ def bootstrap_auprc(scores: DataFrame, keys: Sequence[str] = SUBGROUP, replicate
 
     A cell of c rows gets Poisson(c) copies: the same law as Poisson(1) per
     row at the cost of the distinct scores. Replicates with one class are
-    skipped; the interval ends are order statistics of the rest. The window
-    runs inside one (key, replicate), which is never more than a
-    1/``replicates`` share of the drawn rows.
+    skipped; the interval ends are order statistics of the rest. Cells are cut
+    into blocks of neighbouring scores. A first pass draws and keeps block
+    totals only; their running sums go back to the blocks, where the same draws
+    are repeated for the precision terms. Draws are never shuffled.
     """
     keys = list(keys)
-    hist = histogram(scores, keys)
-    # Numbers stand for the key values while the replicates are shuffled.
-    ids = hist.select(*keys).distinct().withColumn(
-        "_id", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(*keys)).cast("long")
-    )
-    seeded = join_parameters(hist, ids, keys).select(
-        "_id", "score", "pos", "neg", F.xxhash64(F.lit(seed), *keys, "score").alias("_seed")
+    hist = histogram(scores, keys).withColumn("_one", F.lit(1))
+    cells = prefix_sums(hist, keys, "score", ["_one"])
+    cells = cells.select(
+        *keys,
+        F.floor(F.col("_one_below") / BLOCK_CELLS).alias("_block"),
+        "score",
+        "pos",
+        "neg",
+        F.xxhash64(F.lit(seed), *keys, "score").alias("_seed"),
     )
-    drawn = seeded.repartition("_id", "score").mapInPandas(
-        _resampler(replicates), "_g bigint, score double, pos bigint, neg bigint"
+    cells = materialise(cells, "cells")
+    schema = ", ".join(f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in keys)
+    block = [*keys, "_block"]
+    totals = cells.groupBy(*block).applyInPandas(
+        _block_totals(keys, replicates), f"{schema}, _block bigint, tp array<bigint>, fp array<bigint>"
     )
-    order = W.partitionBy("_g").orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, 0)
-    tp, fp = F.sum("pos").over(order), F.sum("neg").over(order)
-    each = drawn.select("_g", "pos", "neg", tp.alias("tp"), fp.alias("fp")).groupBy("_g").agg(
-        F.sum("pos").alias("p"),
-        F.sum("neg").alias("n"),
-        F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("_ap"),
+    each = materialise(totals, "totals").select(*block, F.posexplode(F.arrays_zip("tp", "fp")).alias("_rep", "c"))
+    each = each.select(*block, "_rep", "c.tp", "c.fp")
+    higher = W.partitionBy(*keys, "_rep").orderBy(F.desc("_block")).rowsBetween(W.unboundedPreceding, -1)
+    ahead = each.select(
+        *block, "_rep", *[F.coalesce(F.sum(c).over(higher), F.lit(0)).cast("bigint").alias(c) for c in ("tp", "fp")]
     )
-    valid = each.where("p > 0 AND n > 0").select(
-        F.floor(F.col("_g") / replicates).alias("_id"), (F.col("_ap") / F.col("p")).alias("auprc")
+    terms = (
+        cells.groupBy(*block)
+        .cogroup(ahead.groupBy(*block))
+        .applyInPandas(_block_precision(keys, replicates), f"{schema}, _rep bigint, _ap double")
     )
+    key = key_of([*keys, "_rep"])
+    whole = each.groupBy(*keys, "_rep").agg(F.sum("tp").alias("p"), F.sum("fp").alias("n"))
+    whole = whole.select(key.alias("_key"), "p", "n")
+    valid = terms.groupBy(*keys, "_rep").agg(F.sum("_ap").alias("_ap")).withColumn("_key", key).join(whole, "_key")
+    valid = valid.where("p > 0 AND n > 0").select(*keys, (F.col("_ap") / F.col("p")).alias("auprc"))
     values = F.sort_array(F.collect_list("auprc"))  # at most ``replicates`` values per key
     size = F.size("_v")
 
     def place(share: float) -> Column:
         return F.get(F.col("_v"), F.floor(size * F.lit(share)).cast("int"))
 
-    bounds = valid.groupBy("_id").agg(values.alias("_v"))
-    return bounds.join(ids, "_id").select(
+    bounds = valid.groupBy(*keys).agg(values.alias("_v"))
+    return bounds.select(
         *keys, size.alias("n_valid"), place(0.025).alias("auprc_ci_lo"), place(0.975).alias("auprc_ci_hi")
     )
 

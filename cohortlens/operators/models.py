@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -61,21 +62,31 @@ def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
 def sweep_c(train: DataFrame, validation: DataFrame, columns: Sequence[str], grid: Sequence[float] = C_GRID):
     """Fit one balanced model per C; return the best by AUPRC and the score table.
 
-    The loop runs over the short grid; each fit and score is a Spark job over
-    all rows. The input is stored once so that it is not recomputed per fit.
+    The fits share one stored input and run side by side; the table has one row
+    per C and comes back as a small table of its own.
     """
+    spark = train.sparkSession
     weighted, validation = balanced(train).persist(), validation.persist()
-    models, parts = {}, []
-    for c in grid:
-        models[c] = fit_logistic(weighted, columns, c, "weight")
-        scored = score(models[c], validation).select(F.lit(str(c)).alias("model"), "label", "score")
-        parts.append(scored)
-    everything = parts[0]
-    for part in parts[1:]:
-        everything = everything.unionByName(part)
-    results = rank_metrics(everything).withColumn("c", F.col("model").cast("double"))
-    best = results.orderBy(F.col("auprc").desc(), "c").first()
-    return models[best.c], results.select("c", "n", "n_pos", "auprc", "auroc")
+    with ThreadPoolExecutor(len(grid)) as pool:
+        models = dict(zip(grid, pool.map(lambda c: fit_logistic(weighted, columns, c, "weight"), grid), strict=True))
+    everything = None
+    for c, model in models.items():
+        scored = score(model, validation).select(F.lit(float(c)).alias("c"), "label", "score")
+        everything = scored if everything is None else everything.unionByName(scored)
+    rows = rank_metrics(everything, ["c"]).select("c", "n", "n_pos", "auprc", "auroc").collect()
+    weighted.unpersist()
+    validation.unpersist()
+    best = min(rows, key=lambda r: (r.auprc is None, -(r.auprc or 0.0), r.c))
+    return models[best.c], spark.createDataFrame(rows, "c double, n long, n_pos long, auprc double, auroc double")
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    """A stored model; its ``score`` is that of the model that was saved."""
+    return PipelineModel.load(path)
 
 
 def coefficients(spark, model: PipelineModel, columns: Sequence[str]) -> DataFrame:

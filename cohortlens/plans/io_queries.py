@@ -127,7 +127,7 @@ def split_manifest(s: Study):
 
 @query("reused_predictions", "model:s n:l mean_score:d", "SNK6", "SELECT model, count(*) AS n, avg(score) AS mean_score FROM scores GROUP BY model")
 def reused_predictions(s: Study):
-    path = _path(s, "predictions")
+    path = writers.stored_path(_path(s, "predictions"), "lexicon", s.sf_dir)
 
     def compute():
         return standins.scores(s.spark, s.sf_dir)
@@ -137,9 +137,16 @@ def reused_predictions(s: Study):
     return stored.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"))
 
 
-@query("labelled_concatenation", "source:s n:l", "SET4",
-       "SELECT 'documents' AS source, count(*) AS n FROM documents UNION ALL SELECT 'conversations', count(*) FROM conversations")
+@query("labelled_concatenation", "source:s n:l n_chars:l n_texts:l", "SET4",
+       """SELECT source, count(*) AS n, sum(length(text)) AS n_chars, count(DISTINCT md5(text)) AS n_texts FROM (
+              SELECT 'documents' AS source, text FROM documents UNION ALL SELECT 'conversations', text FROM conversations) GROUP BY source""")
 def labelled_concatenation(s: Study):
     docs = standins.table(s.spark, s.sf_dir, "documents").select(F.lit("documents").alias("source"), "text")
     talk = standins.table(s.spark, s.sf_dir, "conversations").select(F.lit("conversations").alias("source"), "text")
-    return docs.unionByName(talk).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    # Different texts per source by two aggregations: no source is gathered in one task.
+    texts = docs.unionByName(talk).groupBy("source", F.md5("text").alias("digest")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars")
+    )
+    return texts.groupBy("source").agg(
+        F.sum("n").alias("n"), F.sum("n_chars").alias("n_chars"), F.count("digest").alias("n_texts")
+    )

@@ -420,9 +420,8 @@ def bootstrap_intervals(s: Study):
 
 @query("fairness_with_intervals", "model:s group:s value:s auprc:d auprc_ci_lo:d auprc_ci_hi:d auprc_ci_width:d auprc_reliable:l", "EV21 EV22")
 def fairness_with_intervals(s: Study):
-    sexes = {"sex": "gender"}
-    intervals = fairness.bootstrap_auprc(fairness.by_subgroup(s.decided_demo, sexes))
-    return fairness.with_intervals(fairness.fairness_table(s.decided_demo, sexes), intervals)
+    intervals = fairness.bootstrap_auprc(fairness.by_subgroup(s.decided_demo))
+    return fairness.with_intervals(fairness.fairness_table(s.decided_demo), intervals)
 
 
 _NNS_KEYS = _GROUP_KEYS
@@ -494,13 +493,13 @@ def external_cohort_validation(s: Study):
 
 
 def _decided_notes(s: Study):
-    """Decisions of one model next to the document text."""
-    docs = standins.table(s.spark, s.sf_dir, "documents").select(F.col("doc_id").alias("hadm_id"), F.col("text").alias("note_text"))
-    rows = s.decided_demo.where("model = 'hash'").join(docs, "hadm_id")
+    """Decisions of the text model next to the whole note."""
+    notes = s.discharge.select("hadm_id", F.col("text").alias("note_text"))
+    rows = s.decided_demo.where("model = 'kw_norm'").join(notes, "hadm_id")
     return materialise(rows, "decided-notes")
 
 
-_NOTED = "(SELECT d.*, x.text AS note_text FROM decided_demo d JOIN documents x ON x.doc_id = d.hadm_id WHERE d.model = 'hash')"
+_NOTED = "(SELECT d.*, x.text AS note_text FROM decided_demo d JOIN discharge x ON x.hadm_id = d.hadm_id WHERE d.model = 'kw_norm')"
 _ERR = f"""(SELECT *, 'overall_test' AS error_group FROM {_NOTED}
     UNION ALL SELECT *, 'false_positive' FROM {_NOTED} WHERE predicted = 1 AND label = 0
     UNION ALL SELECT *, 'false_negative' FROM {_NOTED} WHERE predicted = 0 AND label = 1)"""
@@ -521,13 +520,12 @@ def error_profile(s: Study):
     return errors.error_profile(_decided_notes(s))
 
 
-# Stand-in terms: function words of the four languages.
-_WORDS = {"the": r"\bthe\b", "and": r"\band\b", "der": r"\bder\b", "que": r"\bque\b", "los": r"\blos\b", "heon": r"heon", "zzz": r"\bzzz\b"}
+_WORDS = tx.CLINICAL_TERMS
 _RATES = "SELECT term, " + ", ".join(
     f"coalesce(avg(h) FILTER (WHERE {c}), 0) AS {n}" for n, c in
     (("fp_rate", "predicted = 1 AND label = 0"), ("fn_rate", "predicted = 0 AND label = 1"), ("overall_rate", "true"))
 ) + " FROM (" + " UNION ALL ".join(
-    f"SELECT '{t}' AS term, predicted, label, CASE WHEN regexp_matches({sq.folded('note_text')}, {sq.q('(?i)' + p)}) THEN 1 ELSE 0 END AS h FROM {_NOTED}" for t, p in _WORDS.items()
+    f"SELECT {sq.q(t)} AS term, predicted, label, CASE WHEN regexp_matches({sq.folded('note_text')}, {sq.q('(?i)' + p)}) THEN 1 ELSE 0 END AS h FROM {_NOTED}" for t, p in _WORDS.items()
 ) + ") GROUP BY term"
 _OVER = f"""SELECT *, coalesce(fp_rate / nullif(overall_rate, 0), 0) AS fp_over_overall, coalesce(fn_rate / nullif(overall_rate, 0), 0) AS fn_over_overall FROM ({_RATES})"""
 
@@ -553,9 +551,9 @@ def false_negative_sparsity(s: Study):
 
 
 @query("trauma_term_share", "error_group:s n:l pct_with_term:d", "TXT11 EV28",
-       f"SELECT error_group, count(*) AS n, avg(CASE WHEN {sq.any_substring('note_text', ['the', 'und'])} THEN 1 ELSE 0 END) * 100 AS pct_with_term FROM {_ERR} GROUP BY 1")
+       f"SELECT error_group, count(*) AS n, avg(CASE WHEN {sq.any_substring('note_text', tx.TRAUMA_SUBSTRINGS)} THEN 1 ELSE 0 END) * 100 AS pct_with_term FROM {_ERR} GROUP BY 1")
 def trauma_term_share(s: Study):
-    return errors.trauma_term_share(_decided_notes(s), substrings=["the", "und"])
+    return errors.trauma_term_share(_decided_notes(s))
 
 
 _CRIT = ["A", "B", "C", "D", "E"]

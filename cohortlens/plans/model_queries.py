@@ -11,7 +11,7 @@ from cohortlens.plans import standins
 from cohortlens.plans.cohort_queries import cohort_features
 from cohortlens.plans.registry import query
 from cohortlens.plans.study import Study
-from cohortlens.session import materialise
+from cohortlens.session import materialise, scratch_path
 
 _COLUMNS = features.FEATURES
 
@@ -36,6 +36,16 @@ def logistic_c_sweep(s: Study):
     return results
 
 
+@query("stored_model_scores", "model:s n:l n_pos:l auprc:d auroc:d", "ML5 ML2")
+def stored_model_scores(s: Study):
+    """A model is fitted, stored, loaded and scores the validation rows."""
+    train, validation = _split_features(s)
+    path = scratch_path(s.spark, "model")
+    models.save_model(models.fit_logistic(models.balanced(train), _COLUMNS, 1.0, "weight"), path)
+    scored = models.score(models.load_model(path), validation).withColumn("model", F.lit("logistic"))
+    return evaluation.rank_metrics(scored)
+
+
 @query("coefficient_ranking", "feature:s coefficient:d place:l", "EV37 ML2")
 def coefficient_ranking(s: Study):
     train, _ = _split_features(s)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,12 +56,19 @@ def review_form(scores: DataFrame, n: int = 50, key: Sequence[str] = ("subject_i
     )
 
 
+def stored_path(root: str, model: str, source: str) -> str:
+    """Folder of one model's scores of one input: another model or input never meets it."""
+    return f"{root.rstrip('/')}/{hashlib.md5(f'{model}|{source}'.encode()).hexdigest()}"
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """True once a write to ``path`` was committed; a half-written folder is not complete."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
 def reuse_or_compute(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:
-    """Stored scores if ``path`` holds them, else compute, store and read back."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" not in str(missing.getCondition()):
-            raise
-    compute().write.parquet(path)
+    """Stored scores if ``path`` holds them in full, else compute, store (over a broken write) and read back."""
+    if not is_complete(spark, path):
+        compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -212,3 +212,13 @@ def test_pu_risk_falls_back_on_one_class(spark):
     df = spark.createDataFrame([("m", 1, 0.3), ("m", 1, -0.2)], "model string, label int, logit double")
     r = evaluation.pu_risk(df, F.lit(0.3)).first()
     assert r.pu_risk == pytest.approx(np.mean([math.log1p(math.exp(-0.3)), math.log1p(math.exp(0.2))]))
+
+
+def test_bootstrap_does_not_depend_on_the_blocks(scores, monkeypatch):
+    rows = scores.where("model <> 'flat'").withColumn("model", F.when(F.col("model") != "ties", F.col("model")))
+    whole = fairness.bootstrap_auprc(rows, ["model"], 50).orderBy("model").collect()
+    monkeypatch.setattr(fairness, "BLOCK_CELLS", 7)
+    parts = fairness.bootstrap_auprc(rows, ["model"], 50).orderBy("model").collect()
+    assert {r.model for r in whole} >= {None} and [r.n_valid for r in whole] == [r.n_valid for r in parts]
+    for a, b in zip(whole, parts):
+        assert a.auprc_ci_lo == pytest.approx(b.auprc_ci_lo) and a.auprc_ci_hi == pytest.approx(b.auprc_ci_hi)

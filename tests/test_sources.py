@@ -62,3 +62,13 @@ def test_review_form(spark):
     df = spark.createDataFrame([(i, i * 10, i / 100) for i in range(80)], "subject_id long, hadm_id long, score double")
     rows = writers.review_form(df).orderBy("patient_number").collect()
     assert len(rows) == 50 and rows[0].subject_id == 79 and rows[0].reviewer_rating is None
+
+
+def test_reuse_repairs_a_broken_write_and_keys_by_model_and_input(spark, folder):
+    path = str(folder / "broken")
+    (folder / "broken").mkdir()
+    (folder / "broken" / "part-0.parquet").write_text("half")
+    assert writers.reuse_or_compute(spark, path, lambda: spark.range(4)).count() == 4
+    assert writers.is_complete(spark, path)
+    paths = {writers.stored_path("/r", m, i) for m in ("a", "b") for i in ("x", "y")}
+    assert len(paths) == 4
