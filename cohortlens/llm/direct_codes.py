@@ -15,6 +15,7 @@ bitmap padded to 64 bytes, rank directory. Sections start at multiples of 8.
 
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,6 +36,8 @@ MAGIC = b"DACODES1"
 BLOCK = 512
 #: Ids after which a task closes a file, and text that is encoded at a time.
 FILE_TOKENS, SLICE_BYTES = 4_000_000, 4 << 20
+#: Files that a reading task takes.
+FILES_PER_TASK = 16
 
 
 def _padded(raw: bytes, to: int = 8) -> bytes:
@@ -215,8 +218,9 @@ def _read_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def read_documents(manifest: DataFrame) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens and the crc32 of its ids, decoded from the files."""
-    files = manifest.select("path", "start", "part", "seq").repartition("path")
-    return arrow_map(files.select("path", "start"), _read_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = manifest.select("path", "start")
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, math.ceil(manifest.count() / FILES_PER_TASK))
+    return arrow_map(files.repartition(tasks, "path"), _read_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def code_root(docs: DataFrame) -> str:

@@ -99,6 +99,67 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)
 FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON least.a = doc_id
 """
 
+_URL_KEYS = """
+pages_h AS (
+  SELECT page_id, url, (page_id * 37) % 730 AS day,
+    nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\\.$', ''), '') AS host,
+    regexp_extract(url, '^[^:]+://[^/?#]*/([^/?#]+)', 1) AS segment
+  FROM pages),
+pages_k AS (
+  SELECT *, CASE WHEN host IS NULL THEN [] ELSE list_concat(
+    list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+    CASE WHEN segment <> '' THEN [host || '/' || segment] ELSE [] END) END AS keys
+  FROM pages_h),
+numbers AS (
+  SELECT key, ('0x' || substr(h, 1, 6))::BIGINT AS a, ('0x' || substr(h, 7, 6))::BIGINT % 730 AS first,
+    ('0x' || substr(h, 13, 6))::BIGINT % 200 AS more, ('0x' || substr(h, 19, 6))::BIGINT % 730 AS allowed
+  FROM (SELECT key, md5(key) AS h FROM (SELECT DISTINCT unnest(keys) AS key FROM pages_k))),
+entries AS (
+  SELECT key, 'block' AS list, first AS day, 'add' AS action FROM numbers WHERE a % 3 = 0
+  UNION ALL SELECT key, 'block', first + 30 + more, 'remove' FROM numbers WHERE a % 3 = 0
+  UNION ALL SELECT key, 'block', first + 120 + more, 'add' FROM numbers WHERE a % 3 = 0
+  UNION ALL SELECT key, 'allow', allowed, 'add' FROM numbers WHERE a % 5 = 0),
+spans AS (
+  SELECT *, coalesce(lead(day) OVER (PARTITION BY key, list ORDER BY day), 1099511627776) AS until
+  FROM (SELECT key, list, day, max(action) AS action FROM entries GROUP BY ALL))"""
+
+URL_SQL = f"""
+WITH {_URL_KEYS},
+hits AS (
+  SELECT page_id, e.key, e.list, e.day AS since,
+    row_number() OVER (PARTITION BY page_id ORDER BY length(e.key) DESC, (e.list = 'allow') DESC, e.key DESC, e.day DESC) AS place
+  FROM (SELECT page_id, day, unnest(keys) AS key FROM pages_k) p
+  JOIN spans e ON e.key = p.key AND e.action = 'add' AND e.day <= p.day AND p.day < e.until)
+SELECT p.page_id, p.day, p.host, coalesce(h.list, 'none') AS verdict, h.key AS matched_key, h.since AS listed_since,
+  coalesce(h.list, 'none') <> 'block' AS kept
+FROM pages_k p LEFT JOIN hits h ON h.page_id = p.page_id AND h.place = 1
+"""
+
+LINES_SQL = f"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  FROM documents),
+keyed AS (SELECT *, {_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM lines),
+owners AS (SELECT key, min(doc_id) AS owner FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+judged AS (SELECT k.*, o.owner IS NOT NULL AND o.owner < doc_id AS gone FROM keyed k LEFT JOIN owners o ON o.key = k.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_lists": url_filter,
     "op2_direct_codes": token_codes,
@@ -112,4 +173,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_hyperminhash_near_dedup": near_dedup,
 }
 
-SQL: dict[str, str] = {"op10_hyperminhash_near_dedup": NEAR_SQL}
+#: The other operators are iterative, tokenize or hash in ways that SQL lacks; tests/llm checks them against plain Python.
+SQL: dict[str, str] = {
+    "op1_url_lists": URL_SQL,
+    "op6_line_runs": LINES_SQL,
+    "op7_kd_search": TOP_K_SQL,
+    "op10_hyperminhash_near_dedup": NEAR_SQL,
+}
