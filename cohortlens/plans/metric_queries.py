@@ -473,20 +473,39 @@ def score_density(s: Study):
     return evaluation.score_density(s.scores, ["model", "label"])
 
 
-@query("external_cohort_validation", "n1:l n2:l u:d auc:d", "ML10 EV25 SMP5",
-       f"""WITH n AS (SELECT e.*, j.note_text FROM (SELECT subject_id, hadm_id, "group" FROM notes_raw) e JOIN all_joined j ON e.hadm_id = j.hadm_id),
+_EXTERNAL = f"""n AS (SELECT e.*, j.note_text FROM (SELECT subject_id, hadm_id, "group" FROM notes_raw) e JOIN all_joined j ON e.hadm_id = j.hadm_id),
            g AS (SELECT hadm_id, note_text, 1 AS label FROM n WHERE "group" = 'proxy'
                  UNION ALL (SELECT hadm_id, note_text, 0 FROM (
                      SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY hadm_id) AS rn FROM n WHERE "group" = 'unlabeled') WHERE rn = 1
                      ORDER BY md5('42|' || subject_id), subject_id LIMIT 500)),
-           s AS (SELECT label, {sq.lexicon_score('folded', tx.PHRASE_LEXICON)} AS score FROM (SELECT label, {sq.folded('note_text')} AS folded FROM g))
+           s AS (SELECT label, {sq.lexicon_score('folded', tx.PHRASE_LEXICON)} AS score FROM (SELECT label, {sq.folded('note_text')} AS folded FROM g))"""
+# The weight of one strong phrase: a threshold frozen before the external groups are seen.
+_FROZEN = 3.0
+
+
+def _external_scores(s: Study):
+    groups = controls.external_groups(s.corpus, corpus.proxy_notes(s.notes))
+    scored = tx.with_lexicon_scores(groups, "note_text").select(F.lit("kw").alias("model"), "label", F.col("score_raw").alias("score"))
+    return materialise(scored, "external")
+
+
+@query("external_cohort_validation", "n1:l n2:l u:d auc:d", "ML10 EV25 SMP5",
+       f"""WITH {_EXTERNAL}
            SELECT n1, n2, u, u / nullif(n1 * n2, 0) AS auc FROM (SELECT sum(label)::DOUBLE AS n1, sum(1 - label)::DOUBLE AS n2,
                sum(rnk) FILTER (WHERE label = 1) - sum(label) * (sum(label) + 1) / 2.0 AS u FROM (
                SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rnk FROM s))""")
 def external_cohort_validation(s: Study):
-    groups = controls.external_groups(s.corpus, corpus.proxy_notes(s.notes))
-    scored = tx.with_lexicon_scores(groups, "note_text").select(F.lit("kw").alias("model"), "label", F.col("score_raw").alias("score"))
-    return evaluation.mann_whitney(materialise(scored, "external"), p_value=False)
+    return evaluation.mann_whitney(_external_scores(s), p_value=False)
+
+
+@query("external_score_table", "model:s label:l n:l mean_score:d q25:d median_score:d q75:d n_above:l frac_above:d", "ML10 EV26",
+       f"""WITH {_EXTERNAL}
+           SELECT 'kw' AS model, label, count(*) AS n, avg(score) AS mean_score, {sq.percentile('score', 0.25)} AS q25, {sq.percentile('score', 0.5)} AS median_score,
+                  {sq.percentile('score', 0.75)} AS q75, count(*) FILTER (WHERE score >= {_FROZEN}e0) AS n_above, avg(CASE WHEN score >= {_FROZEN}e0 THEN 1 ELSE 0 END) AS frac_above
+           FROM s GROUP BY label""")
+def external_score_table(s: Study):
+    rows = _external_scores(s).withColumn("predicted", (F.col("score") >= _FROZEN).cast("int"))
+    return evaluation.score_distribution(rows, ["model", "label"])
 
 
 # ── errors ──────────────────────────────────────────────────────────────────
