@@ -80,7 +80,10 @@ def test_lexicon_has_sixty_patterns_and_sound_shortcuts():
     for pattern, _, _ in tx.PHRASE_LEXICON:
         literal = tx._required_literal(pattern)
         assert literal  # counts are compared with a full scan below
-    assert tx._required_literal(r"\bmva\b|\bmvc\b") is None
+    assert tx._required_literal(r"\bmva\b|\bmvc\b") == "mv"  # what all branches share
+    assert tx._required_literal(r"\bcar\b|\bbus\b") is None
+    assert tx._required_literal(r"\bfoo(bar(baz)?quxxx)?\b") == "foo" == tx._first_letters(r"\bfoo(bar(baz)?quxxx)?\b")
+    assert tx._first_letters(r"\bab{0,1}c\b") == "a" and tx._first_letters(r"abc") is None
 
 
 def test_lexicon_scores_equal_plain_counts(spark):
