@@ -33,6 +33,7 @@ HEADLINE = [
     "rank_ensembles",
     "fairness_table",
     "fairness_with_intervals",
+    "bootstrap_intervals",
 ]
 
 
