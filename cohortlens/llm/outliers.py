@@ -40,7 +40,7 @@ class Rules:
     core: float = 0.75
     steps: int = 4
     tail: float = 1e-5
-    spreads: tuple[float, ...] = (0.5, 0.1, 0.4, 0.5, 0.8)
+    spreads: tuple[float, ...] = (1.0, 0.1, 0.4, 0.5, 0.8)
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
