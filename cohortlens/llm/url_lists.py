@@ -55,10 +55,12 @@ def validity(entries: DataFrame) -> DataFrame:
 def active_entries(moments: DataFrame, intervals: DataFrame, period: int = PERIOD_DAYS) -> DataFrame:
     """Intervals that hold at each different (key, day) of ``moments``."""
     moments = moments.select("key", "day").dropna().distinct()
-    span = moments.agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    first, last = moments.agg(F.min("day"), F.max("day")).first()
     cell = lambda day: F.floor(day / F.lit(period))
-    held = intervals.join(F.broadcast(span)).where((F.col("since") <= F.col("last")) & (F.col("until") > F.col("first")))  # one row
-    cells = F.sequence(cell(F.greatest("since", "first")), cell(F.least(F.col("until") - 1, F.col("last"))))
+    # Without captures no interval holds: the span is empty.
+    first, last = (F.lit(0), F.lit(-1)) if first is None else (F.lit(first), F.lit(last))
+    held = intervals.where((F.col("since") <= last) & (F.col("until") > first) & (first <= last))
+    cells = F.sequence(cell(F.greatest("since", first)), cell(F.least(F.col("until") - 1, last)))
     held = held.select("key", "list", "since", "until", F.explode(cells).alias("cell"))
     moments = moments.withColumn("cell", cell(F.col("day")))
     found = moments.join(held, ["key", "cell"])
