@@ -159,6 +159,39 @@ def test_shards_of_few_rows(spark):
     assert max(balance(same, 4)) - min(balance(same, 4)) <= 24
 
 
+def sharded_copies(spark, counts, shards=24):
+    """Shards of each group of copies, for equal sizes; the groups' sizes are ``counts``."""
+    texts = [f"text {i:06d}" for i, n in enumerate(counts) for _ in range(n)]
+    got = label_sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards).collect()
+    load = balance(got, shards)
+    assert len(got) == len(texts) and max(load) - min(load) <= 2 * got[0].size
+    name, found = {zlib.crc32(t.encode()): t for t in texts}, defaultdict(set)
+    for r in got:
+        found[name[r.text_crc32]].add(r.shard)
+    return [found[f"text {i:06d}"] for i in range(len(counts))]
+
+
+def test_shards_of_a_copy_heavy_table(spark):
+    found = sharded_copies(spark, [10] * 970 + [1] * 300)
+    assert all(len(s) == 1 for s in found)
+
+
+def test_shards_full_of_copies_cut_few_groups(spark):
+    rng = random.Random(5)
+    found = sharded_copies(spark, [rng.randrange(2, 12) for _ in range(500)])
+    assert sum(len(s) > 1 for s in found) < 24
+
+
+def test_a_hot_group_lies_in_few_shards(spark):
+    found = sharded_copies(spark, [1000] + [5] * 120 + [1] * 1400)
+    assert len(found[0]) == 8
+    assert sum(len(s) > 1 for s in found[1:]) <= 1
+
+
+def test_copies_larger_than_a_shard(spark):
+    assert len(set().union(*sharded_copies(spark, [2], 8))) == 2
+
+
 def plain_targets(sizes, weights=(5, 2, 1)):
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
     weight = {s: weights[i % 3] for i, s in enumerate(names)}
