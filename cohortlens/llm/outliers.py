@@ -145,18 +145,18 @@ def _sums(rows: DataFrame, keys: list[str], p: int) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *parts)
 
 
-def judge(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
+def judge(docs: DataFrame, rules: Rules | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, lang, source): statistics, base_failed, distance, kept.
 
     A null or empty text has no words and fails the base limits; such rows take no
     part in the estimates. A null language or source is a value of its own.
-    Repeated rows and rows without doc_id are judged like others. Other columns
-    are not read. No rows give no rows.
+    Repeated rows and rows without doc_id are judged like others. Columns named in
+    ``carried`` come along row by row; others are not read. No rows give no rows.
     """
     rules = rules or Rules()
     ready(docs.sparkSession)
     p = len(rules.spreads)
-    rows = with_statistics(docs.select(F.col("doc_id").cast("long"), "text", "lang", "source")).drop("text")
+    rows = with_statistics(docs.select(F.col("doc_id").cast("long"), "text", "lang", "source", *carried)).drop("text")
     failed = (F.col("n_words") < rules.least_words) | (100 * F.col("n_repeat_words") > rules.most_repeats_percent * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     rows = rows.withColumns({f"x{i}": F.when(~F.col("base_failed"), x) for i, x in enumerate(_features())})
@@ -187,5 +187,6 @@ def judge(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     far = _with_distance(rows.join(best, "grp", "left"), p)
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= F.lit(_quantile(1 - rules.tail, p)), F.lit(False))
     return far.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("d2").alias("distance")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("d2").alias("distance"),
+        *carried,
     )

@@ -16,16 +16,10 @@ from cohortlens.llm.queries import packed_pieces
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows of ``docs`` but those that ``rejected`` names; rows without doc_id are never named."""
-    names = rejected.select(F.col("doc_id").alias("_rejected")).where("_rejected is not null").distinct()
-    return docs.join(names, F.col("doc_id") == F.col("_rejected"), "left_anti")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the robust rules keep. Rows of one doc_id go together if one of them is rejected."""
+    """Rows that the robust rules keep; each row is judged by itself, whatever its doc_id."""
     ready(spark)
-    return _without(docs, judge(docs).where("not kept"))
+    return judge(docs.withColumn("_row", F.struct("*")), carried=("_row",)).where("kept").select("_row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +32,21 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id."""
+    """One row of each near-duplicate group: one with the smallest doc_id; rows without doc_id come last.
+
+    Rows are linked by their texts, whatever their doc_id. Rows without a
+    shingle are alike only if they share a doc_id.
+    """
     ready(spark)
-    return _without(docs, near_duplicates(docs).where("not kept"))
+    rows = materialise(docs.withColumn("_id", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(F.col("_id").alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias("_id"), "component_id", (F.col("n_shingles") == 0).alias("blank"))
+    named = found.join(rows.select("_id", "doc_id"), "_id")
+    blank = F.col("blank") & F.col("doc_id").isNotNull()
+    group = F.struct(blank.alias("blank"), F.when(blank, F.col("doc_id").cast("long")).otherwise(F.col("component_id")).alias("name"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_id"))
+    kept = named.groupBy(group.alias("group")).agg(first.alias("first")).select("first._id")
+    return rows.join(kept, "_id", "left_semi").drop("_id")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

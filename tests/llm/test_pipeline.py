@@ -91,3 +91,24 @@ def test_run_and_registration(spark, stages):
     assert got.columns == stages[1][4][1].columns
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_quality_judges_rows_not_ids(spark):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 80, 5000), "en", "a", 1) for i in range(40)]
+    rows += [(None, "too short", "en", "a", 1), (None, None, None, None, None), (3, "short too", "en", "a", 1), rows[5]]
+    rows += [(None, prose(rng, 80, 5000), "en", "a", 1)]
+    got = corpus_pipeline.quality_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str(r) for r in rows if len(words(r[1])) > 50)
+
+
+def test_near_duplicates_of_rows_without_or_with_one_id(spark):
+    rng = random.Random(4)
+    a, b, c, d, e, f = (prose(rng, 100, 5000) for _ in range(6))
+    rows = [(None, a), (7, a), (None, a), (None, b), (None, b), (None, b + " more"), (None, c + " more"), (9, c), (4, d), (4, d), (4, e)]
+    rows += [(None, f), (11, ""), (11, ""), (12, ""), (None, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], DOCS)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()]
+    assert len([x for x in got if x[0] is None and (x[1] or "").startswith(b)]) == 1
+    want = [(7, a), (9, c), (4, d), (4, e), (None, f), (11, ""), (12, ""), (None, ""), (None, None)]
+    assert sorted(map(str, (x for x in got if not (x[1] or "").startswith(b)))) == sorted(map(str, want))
