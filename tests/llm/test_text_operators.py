@@ -141,7 +141,7 @@ def test_anchor_spans_equal_patterns():
 
 def test_anchor_cues(spark):
     text = "IBAN: GB82 WEST 1234 5698 7654 32 and https://bob:pw@x.org/a"
-    rows = [(1, text, 0), (2, None, 0), (3, "", 0), (None, "é a@b.co" + "9" * 9000, 0), (1, text, 0)]
+    rows = [(1, text, 0), (2, None, 0), (3, "", 0), (None, "é a@b.co " + "9" * 9000, 0), (1, text, 0)]
     got = anchors.personal_data(spark.createDataFrame(rows, "doc_id long, text string, spans long")).collect()
     by = {r.doc_id: r for r in got}
     assert len(got) == 5 and "account:6:33" in by[1].spans and "login:46:58" in by[1].spans
