@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import url_lists
+from cohortlens.llm import url_lists, warc
 from cohortlens.llm.anchors import personal_data
 from cohortlens.llm.common import table
 from cohortlens.llm.curriculum import plan_mix
 from cohortlens.llm.direct_codes import code_root, read_documents, write_codes
+from cohortlens.llm.grid_codes import grid_codes, with_label_errors
 from cohortlens.llm.hyperminhash import near_duplicates
 from cohortlens.llm.kd_search import top_inner_products
 from cohortlens.llm.label_sharding import shard_documents
 from cohortlens.llm.line_runs import deduplicate_lines
 from cohortlens.llm.outliers import judge
+from cohortlens.llm.periodic_runs import periodic_runs, run_digests, with_planted_runs
 from cohortlens.llm.tier_packing import pack
 
 TOKENIZER = "word_bpe_49k.json"
@@ -78,6 +81,33 @@ def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    captures = warc.assemble(warc.read_records(warc.write_archives(pages, warc.archive_root(pages))))
+    found = warc.resolve_revisits(captures, warc.metadata_field("page-id").cast("long"))
+    return found.select(
+        warc.metadata_field("page-id").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("capture.record_type").alias("record_type"),
+        F.col("first.order").alias("refers_to"),
+        (1 + F.size("requests") + F.size("metadata")).cast("long").alias("n_records"),
+    )
+
+
+def periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, codebook = grid_codes(table(spark, sf_dir, "embeddings"))
+    numbers = ",".join(str(x) for part in codebook for entry in part for x in entry)
+    code = F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    return with_label_errors(coded).select(
+        "vec_id", code.alias("code"), "error", "label_error", F.lit(hashlib.sha256(numbers.encode()).hexdigest()).alias("codebooks_sha256")
+    )
+
+
 NEAR_SQL = f"""
 WITH RECURSIVE words AS (SELECT doc_id, {_WORDS.format(_LOWER.format('text'))} AS ws FROM documents),
 shingles AS (
@@ -160,6 +190,91 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+WARC_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (
+  SELECT *, min(page_id) OVER (PARTITION BY h) AS first,
+    list_transform(range(0, 8), lambda i: ('0x' || substr(h, 5 * i + 1, 5))::INTEGER) AS q
+  FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  array_to_string(list_transform(q, lambda x: array_to_string(list_transform([15, 10, 5, 0],
+    lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> k) & 31) + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to, 3::BIGINT AS n_records
+FROM d
+"""
+
+_CRC_TABLE = "list_transform(range(0, 256), lambda b: list_reduce(list_concat([b], range(0, 8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+
+RUNS_SQL = f"""
+WITH crc AS (SELECT {_CRC_TABLE} AS t),
+hashed AS (
+  SELECT doc_id, {_WORDS.format('text')} AS ws,
+    xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+      lambda a, c: xor(a >> 8, t[(xor(a, c) & 255) + 1])), 4294967295) AS h
+  FROM documents, crc),
+planned AS (
+  SELECT doc_id, ws, len(ws) AS n, h % 10 = 0 AND len(ws) > 0 AS planted, CASE WHEN len(ws) > 0 THEN (h // 10) % len(ws) END AS a,
+    CASE WHEN len(ws) > 0 THEN 1 + (len(ws) - (h // 10) % len(ws)) // (3 + (h // 10) % 8) END AS p
+  FROM hashed),
+texts AS (
+  SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(0, n), lambda i: ws[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE ws END AS ws
+  FROM planned),
+words AS (SELECT doc_id, n, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM texts),
+-- A lag counts only where three words in a row recur, as every run has that.
+grams AS (
+  SELECT doc_id, n, i, w, hash(w, lead(w, 1) OVER s, lead(w, 2) OVER s) AS g, lead(w, 2) OVER s IS NOT NULL AS whole
+  FROM words WINDOW s AS (PARTITION BY doc_id ORDER BY i)),
+pairs AS (
+  SELECT x.doc_id, x.i, x.i - y.i AS lag FROM grams x JOIN grams y
+    ON x.doc_id = y.doc_id AND x.g = y.g AND x.whole AND y.whole AND y.i < x.i AND 4 * (x.i - y.i) <= x.n),
+chains AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, lag ORDER BY i) AS chain FROM pairs),
+stretches AS (
+  SELECT doc_id, lag AS period, min(i) - lag AS start, count(*) + 2 + lag AS length FROM chains GROUP BY doc_id, lag, chain
+  HAVING count(*) + 2 + lag >= greatest(6, 4 * lag)),
+runs AS (SELECT doc_id, start, length, min(period) AS period FROM stretches GROUP BY ALL),
+summed AS (
+  SELECT doc_id, count(*) AS n_runs, max({{'l': length, 's': -start, 'p': -period}}) AS best,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+  FROM runs GROUP BY doc_id),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+collapsed AS (
+  SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS kept FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, (-best.s)::BIGINT AS start, best.l::BIGINT AS length, (-best.p)::BIGINT AS period,
+  (1000 * best.l // -best.p)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM documents LEFT JOIN summed USING (doc_id) LEFT JOIN collapsed USING (doc_id)
+"""
+
+
+def _round(k: int) -> str:
+    """SQL of one assignment of every part and the entries' means."""
+    return f"""
+a{k} AS (
+  SELECT vec_id, p, any_value(x) AS x, min(64 * list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT + e) AS best
+  FROM parts JOIN c{k} USING (p) GROUP BY vec_id, p),
+m{k} AS (
+  SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c
+  FROM (SELECT p, best % 64 AS e, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM a{k}) GROUP BY 1, 2, 3)
+  GROUP BY p, e),
+c{k + 1} AS (SELECT p, c{k}.e, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (p, e))"""
+
+
+CODES_SQL = f"""
+WITH base AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+parts AS (SELECT vec_id, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] AS x FROM (SELECT *, unnest(range(0, 16)) AS p FROM base)),
+c0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM parts QUALIFY e < 64),
+{_round(0)},
+{_round(1)},
+{_round(2)},
+coded AS (SELECT vec_id, string_agg(format('{{:02x}}', best % 64), '' ORDER BY p) AS code, sum(best // 64)::BIGINT AS error FROM a2 GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM c2) AS codebooks_sha256
+FROM coded JOIN base USING (vec_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_lists": url_filter,
     "op2_direct_codes": token_codes,
@@ -171,6 +286,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tier_packing": packing,
     "op9_curriculum_mix": curriculum,
     "op10_hyperminhash_near_dedup": near_dedup,
+    "op11_warc_transactions": warc_transactions,
+    "op12_periodic_runs": periodic,
+    "op13_grid_codes": vector_codes,
 }
 
 #: The other operators are iterative, tokenize or hash in ways that SQL lacks; tests/llm checks them against plain Python.
@@ -179,4 +297,7 @@ SQL: dict[str, str] = {
     "op6_line_runs": LINES_SQL,
     "op7_kd_search": TOP_K_SQL,
     "op10_hyperminhash_near_dedup": NEAR_SQL,
+    "op11_warc_transactions": WARC_SQL,
+    "op12_periodic_runs": RUNS_SQL,
+    "op13_grid_codes": CODES_SQL,
 }
