@@ -13,7 +13,6 @@ response with that digest.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import io
 import math
@@ -32,6 +31,8 @@ from cohortlens.llm.common import arrow_map, materialise, ready, scratch_path
 
 #: Compressed bytes after which a task closes a file, and that a reading task takes.
 FILE_BYTES, TASK_BYTES = 32 << 20, 64 << 20
+#: zlib's level for archives; level 6 takes 1.7 times as long for 3 % less.
+LEVEL = 3
 #: Records and payload bytes that a reader returns at a time.
 BATCH_RECORDS, BATCH_PAYLOAD = 1000, 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -53,7 +54,7 @@ def store_of(uri: str) -> tuple[fs.FileSystem, str]:
 
 def _record(kind: str, headers: list[tuple[str, str | None]], block: bytes) -> bytes:
     lines = ["WARC/1.1", f"WARC-Type: {kind}", *[f"{k}: {v}" for k, v in headers if v is not None], f"Content-Length: {len(block)}"]
-    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     raw = "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
     return packer.compress(raw) + packer.flush()
 
@@ -188,13 +189,52 @@ def parse_archive(source: io.BufferedReader, name: str) -> Iterator[tuple[list[l
         seq += 1
 
 
+class Unpacked(io.RawIOBase):
+    """The bytes of all gzip members of a file in turn; members are small, so each is fed a little at a time."""
+
+    FEED, CHUNK = 4 << 10, 1 << 20
+
+    def __init__(self, source) -> None:
+        self.source, self.chunk, self.at, self.member, self.rest = source, b"", 0, None, b""
+
+    def readable(self) -> bool:
+        return True
+
+    def _next(self) -> bytes | None:
+        """The next unpacked bytes, None at the end."""
+        if self.at >= len(self.chunk):
+            self.chunk, self.at = self.source.read(self.CHUNK), 0
+            if not self.chunk:
+                if self.member is not None:
+                    raise EOFError("the archive ends within a compressed record")
+                return None
+        if self.member is None:
+            self.member = zlib.decompressobj(31)
+        piece = self.chunk[self.at : self.at + self.FEED]
+        out = self.member.decompress(piece)
+        self.at += len(piece) - len(self.member.unused_data)
+        if self.member.eof:
+            self.member = None
+        return out
+
+    def readinto(self, into) -> int:
+        parts, size = [self.rest], len(self.rest)
+        while size < len(into) and (piece := self._next()) is not None:
+            parts.append(piece)
+            size += len(piece)
+        whole = b"".join(parts)
+        n = min(len(whole), len(into))
+        into[:n], self.rest = whole[:n], whole[n:]
+        return n
+
+
 def opened(path: str) -> io.BufferedReader:
     """An archive of any store that pyarrow knows, unpacked while it is read if it is compressed."""
     store, name = store_of(path)
     source = store.open_input_file(name)
     packed = source.read(2) == b"\x1f\x8b"
     source.seek(0)
-    return io.BufferedReader(gzip.GzipFile(fileobj=source, mode="rb") if packed else source, 1 << 20)
+    return io.BufferedReader(Unpacked(source) if packed else source, 1 << 20)
 
 
 def _bare(uri: str) -> str:
@@ -269,11 +309,12 @@ def read_records(files: DataFrame, payloads: bool = False) -> DataFrame:
     payload_bytes and payload_digest (bare base32 SHA-1) are taken from the bytes
     read, for responses and resources; declared_digest is the header's. Archives
     may be compressed or not. A broken record is an error that names its file.
+    The records are stored once, so that no later use reads the archives again.
     """
     total = files.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     tasks = max(files.sparkSession.sparkContext.defaultParallelism, math.ceil(total / TASK_BYTES))
     schema = _RECORD + (", payload binary" if payloads else "")
-    return arrow_map(files.select("path").repartition(tasks), _read(payloads), schema)
+    return materialise(arrow_map(files.select("path").repartition(tasks), _read(payloads), schema), "records")
 
 
 # ── assembling ──────────────────────────────────────────────────────────────
