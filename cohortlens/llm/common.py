@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cohortlens import llm
 from cohortlens.session import materialise, scratch_path, tune
 
-__all__ = ["arrow_map", "groups", "materialise", "ready", "running_totals", "scratch_path", "table"]
+__all__ = ["arrow_map", "groups", "materialise", "ready", "row_key", "running_totals", "scratch_path", "table"]
 
 # Executors need not have this package installed: what runs there is sent with the task.
 cloudpickle.register_pickle_by_value(llm)
@@ -34,6 +34,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a row's ``columns`` (all by default): equal rows share them, others do not but for a chance of 2^-128.
+
+    Unlike row numbers they stay the same however often and wherever a table is read.
+    """
+    kinds = dict(df.dtypes)
+    # Maps cannot be hashed.
+    parts = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kinds[c] else F.col(f"`{c}`") for c in columns or df.columns]
+    # A hash passes over nulls, so their places go in as well.
+    nulls = F.concat(F.lit(""), *[F.col(f"`{c}`").isNull().cast("int").cast("string") for c in columns or df.columns])
+    return F.xxhash64(nulls, *parts), F.xxhash64(F.lit(1), nulls, *parts, F.lit(2))
+
+
 def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with empty batches taken out."""
 

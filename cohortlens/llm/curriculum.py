@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import materialise, ready, running_totals
+from cohortlens.llm.common import materialise, ready, row_key, running_totals
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -42,7 +42,11 @@ class Mix:
 
 
 def source_targets(sizes: DataFrame, mix: Mix) -> DataFrame:
-    """Adds rank and target to one row per source (source, source_size)."""
+    """Adds rank and target to one row per source (source, source_size).
+
+    Sources are lined up in one task, 40 bytes each: a source is a collection or
+    a site, of which a task holds tens of millions.
+    """
     named = W.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in mix.weights]), F.pmod(F.col("rank"), F.lit(len(mix.weights))) + 1)
     ranked = sizes.withColumn("rank", F.row_number().over(named) - 1).withColumn("weight", weight)
@@ -84,13 +88,14 @@ def row_hash() -> Column:
     return F.xxhash64("doc_id", "source", "text")
 
 
-def plan_mix(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
+def plan_mix(docs: DataFrame, mix: Mix | None = None, carried: dict[str, Column] | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, source): size, source_size, target, copies, taken, positions.
 
     size is the number of words, 0 for a null text; a null source is a source of
     its own, the last. positions has one training time per copy, ascending.
     ``mark`` is a hash of the row, equal for equal rows. Rows of one doc_id are
-    documents of their own. Other columns are not read. Depends on the rows only,
+    documents of their own. Other columns are not read, but for what ``carried``
+    (name: expression over ``docs``) adds to the plan. Depends on the rows only,
     not on how they are spread. No rows give no rows.
     """
     mix = mix or Mix()
@@ -100,6 +105,7 @@ def plan_mix(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         row_hash().alias("mark"),
+        *[c.alias(name) for name, c in (carried or {}).items()],
     )
     facts = materialise(facts.withColumn("row", F.monotonically_increasing_id()), "sizes")
     targets = source_targets(facts.groupBy("source").agg(F.sum("size").alias("source_size")), mix)
@@ -145,20 +151,21 @@ def plan_mix(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     times = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), time)).otherwise(F.array().cast("array<double>"))
     planned = planned.withColumn("pieces", pieces)
     return planned.select(
-        "doc_id", "source", "mark", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), times.alias("positions")
+        "doc_id", "source", "mark", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), times.alias("positions"), *(carried or {})
     )
 
 
 def mixed_documents(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, range-sorted by training position.
 
-    All columns of ``docs`` stay; equal rows are told apart by their number.
+    All columns of ``docs`` stay, whatever their names. Texts are shuffled twice:
+    to the plan by a hash of the whole row, each different row once, and to their
+    place. Repeated rows are taken as often as the plan takes each of them. No
+    rows give no rows.
     """
-    plan = plan_mix(docs, mix)
-    nth = W.partitionBy("_mark").orderBy(F.lit(1))
-    plan = plan.where("copies > 0").select(F.col("mark").alias("_mark"), "positions").withColumn("_nth", F.row_number().over(nth))
-    plan = plan.select(F.col("_mark").alias("_m"), F.col("_nth").alias("_n"), F.col("positions").alias("_positions"))
-    rows = docs.select(F.struct("*").alias("_doc"), row_hash().alias("_mark")).withColumn("_nth", F.row_number().over(nth))
-    taken = rows.join(plan, (F.col("_mark") == F.col("_m")) & (F.col("_nth") == F.col("_n")))
-    taken = taken.select("_doc", F.explode("_positions").alias("_at"), "_mark")
+    a, b = row_key(docs)
+    plan = plan_mix(docs, mix, {"_a": a, "_b": b}).where("copies > 0")
+    plan = plan.select("_a", "_b", F.explode("positions").alias("_at"), F.col("mark").alias("_mark"))
+    rows = docs.select(F.struct("*").alias("_doc"), a.alias("_x"), b.alias("_y")).dropDuplicates(["_x", "_y"])
+    taken = rows.join(plan, (F.col("_x") == F.col("_a")) & (F.col("_y") == F.col("_b"))).select("_doc", "_at", "_mark")
     return taken.repartitionByRange("_at", "_mark").sortWithinPartitions("_at", "_mark").select("_doc.*")

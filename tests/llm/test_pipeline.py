@@ -112,3 +112,46 @@ def test_near_duplicates_of_rows_without_or_with_one_id(spark):
     assert len([x for x in got if x[0] is None and (x[1] or "").startswith(b)]) == 1
     want = [(7, a), (9, c), (4, d), (4, e), (None, f), (11, ""), (12, ""), (None, ""), (None, None)]
     assert sorted(map(str, (x for x in got if not (x[1] or "").startswith(b)))) == sorted(map(str, want))
+
+
+CLASHES = DOCS + ", _id long, _row string, _a long, _b long, _doc string, size long, copies long, row string, id string, kept boolean, tags map<string,int>"
+
+
+def clashing(rows):
+    return [(*r, 7, "r", 8, 9, "d", 10, 11, "w", "i", False, {"t": 1}) for r in rows]
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_stages_keep_columns_of_any_name_and_take_empty_tables(spark, k):
+    rng = random.Random(k)
+    rows = [(i, prose(rng, 80, 5000), "en", "a", 1) for i in range(30)] + [(None,) * 5] * 3
+    stage = corpus_pipeline.STAGES[k][1]
+    docs = spark.createDataFrame(clashing(rows), CLASHES)
+    got = stage(spark, docs, "")
+    assert got.columns == docs.columns
+    found = got.collect()
+    assert {r.doc_id for r in found} >= set(range(30)) if k < 3 else len(found) >= 30
+    assert all(tuple(r)[5:] == (7, "r", 8, 9, "d", 10, 11, "w", "i", False, {"t": 1}) for r in found)
+    assert stage(spark, docs.limit(0), "").count() == 0
+    assert stage(spark, docs.where("doc_id is null"), "").count() == (0 if k in (0, 3) else 3)
+
+
+def test_packing_of_nothing(spark):
+    docs = spark.createDataFrame([], DOCS)
+    assert corpus_pipeline.packing_stage(spark, docs, "").count() == 0
+
+
+def test_mixing_takes_repeated_rows_each(spark):
+    rng = random.Random(9)
+    text = prose(rng, 50, 5000)
+    rows = [(1, text, "en", "a", 1)] * 40 + [(i, prose(rng, 50, 5000), "en", "b", 1) for i in range(2, 90)]
+    got = Counter(r.doc_id for r in corpus_pipeline.mixing_stage(spark, spark.createDataFrame(rows, DOCS).repartition(5), "").collect())
+    assert 40 <= got[1] <= 80 and all(got[i] <= 2 for i in range(2, 90)) and sum(got.values()) == pytest.approx(1.5 * 128, abs=2)
+
+
+def test_row_keys_tell_nulls_and_places_apart(spark):
+    from cohortlens.llm.common import row_key
+
+    rows = [(None, "a", {"x": 1}), ("a", None, {"x": 1}), ("a", "a", {"x": 2}), ("a", "a", {"x": 1}), ("", "a", {"x": 1}), ("a", "a", None)]
+    df = spark.createDataFrame(rows * 2, "p string, q string, m map<string,int>")
+    assert df.select(*row_key(df)).distinct().count() == len(rows)
