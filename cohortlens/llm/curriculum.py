@@ -138,6 +138,7 @@ def plan_mix(docs: DataFrame, mix: Mix | None = None, carried: dict[str, Column]
     lined = running_totals(facts, ["source"], spot, ["row"], "size").drop("total")
     planned = lined.join(targets, F.col("source").eqNullSafe(F.col("name"))).join(chosen, F.col("row") == F.col("r"), "left")
     planned = planned.withColumn("copies", (F.col("passes") + F.col("ahead").isNotNull().cast("long")).cast("long"))
+    planned = materialise(planned, "planned")  # read twice below
     whole = planned.groupBy("name").agg(F.sum(F.col("copies") * F.col("size")).alias("source_taken")).withColumnRenamed("name", "n2")
     planned = planned.join(whole, F.col("source").eqNullSafe(F.col("n2")))
 
@@ -165,7 +166,7 @@ def mixed_documents(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     """
     a, b = row_key(docs)
     plan = plan_mix(docs, mix, {"_a": a, "_b": b}).where("copies > 0")
-    plan = plan.select("_a", "_b", F.explode("positions").alias("_at"), F.col("mark").alias("_mark"))
+    plan = materialise(plan.select("_a", "_b", F.explode("positions").alias("_at"), F.col("mark").alias("_mark")), "plan")
     rows = docs.select(F.struct("*").alias("_doc"), a.alias("_x"), b.alias("_y")).dropDuplicates(["_x", "_y"])
     taken = rows.join(plan, (F.col("_x") == F.col("_a")) & (F.col("_y") == F.col("_b"))).select("_doc", "_at", "_mark")
     return taken.repartitionByRange("_at", "_mark").sortWithinPartitions("_at", "_mark").select("_doc.*")
