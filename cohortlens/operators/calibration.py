@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import stats
 from cohortlens.functions.demographics import clip
+from cohortlens.operators import newton
 from cohortlens.operators.evaluation import MODEL, ranked_histogram
+from cohortlens.operators.newton import Fitted
 from cohortlens.operators.prefix import join_parameters
 
 N_BINS = 10
@@ -106,29 +108,14 @@ def expected_calibration_error(bins: DataFrame, keys: Sequence[str] = MODEL, dig
     return bins.groupBy(*keys).agg((F.sum(F.col("n") * gap) / F.sum("n")).alias("ece"))
 
 
-def fit_platt(validation: DataFrame):
-    """Platt scaling on (score, label): one-feature logistic regression with C = 1."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    n = validation.count()
-    model = LogisticRegression(
-        featuresCol="_score", labelCol="label", regParam=1.0 / n, elasticNetParam=0.0,
-        standardization=False, maxIter=1000, tol=1e-10, probabilityCol="_p", rawPredictionCol="_raw",
-        predictionCol="_pred",
-    )
-    return Pipeline(stages=[VectorAssembler(inputCols=["score"], outputCol="_score"), model]).fit(validation)
+def fit_platt(validation: DataFrame, key: str | None = "model") -> list[Fitted]:
+    """Platt scaling on (score, label): one-feature logistic regression with C = 1, all models in the same passes."""
+    return newton.fit_logistic(validation, ["score"], key=key)
 
 
-def apply_platt(model, scores: DataFrame) -> DataFrame:
-    """Add ``calibrated``, the Platt-scaled probability.
-
-    The fitted slope and intercept are two numbers, so scoring stays a column.
-    """
-    fitted = model.stages[-1]
-    logit = F.col("score") * float(fitted.coefficients[0]) + float(fitted.intercept)
-    return scores.withColumn("calibrated", F.lit(1.0) / (1.0 + F.exp(-logit)))
+def apply_platt(models: Sequence[Fitted], scores: DataFrame, key: str = "model") -> DataFrame:
+    """Add ``calibrated``, the probability under the row's own model."""
+    return newton.apply_by_key(scores, models, key, "calibrated")
 
 
 def labelled_probability(validation: DataFrame, keys: Sequence[str] = MODEL) -> DataFrame:

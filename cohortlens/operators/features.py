@@ -75,7 +75,31 @@ def impute(rows: DataFrame, train: DataFrame, columns: Sequence[str]) -> DataFra
     return filled.drop("_m")
 
 
-def propensity_inputs(features: DataFrame) -> DataFrame:
-    """Propensity columns: age falls back to a constant, all other gaps to 0."""
-    others = [c for c in PROPENSITY_FEATURES if c != "age"]
-    return features.withColumn("age", F.coalesce("age_at_admission", F.lit(DEFAULT_AGE))).fillna(0, others)
+def propensity_inputs(features: DataFrame, extract: DataFrame) -> DataFrame:
+    """Propensity columns per subject: demographics of the first admission, history of the features.
+
+    Ties on the time take the smallest hadm_id. A missing age falls back to a
+    constant, all other gaps to 0.
+    """
+    columns = ["gender", "age_at_admission", "admission_type", "insurance"]
+    first = first_rows(extract, "subject_id", "admittime", "hadm_id", columns).select(
+        "subject_id",
+        (F.coalesce("gender", F.lit("")) == "F").cast("int").alias("sex_female"),
+        F.coalesce(F.col("age_at_admission").cast("double"), F.lit(DEFAULT_AGE)).alias("age"),
+        demographics.is_emergency(F.col("admission_type")).cast("int").alias("emergency_admission"),
+        demographics.has_payer(F.col("insurance"), demographics.PAYERS_FEATURES).cast("int").alias("medicaid_selfpay"),
+    )
+    history = features.select("subject_id", "label", "n_prior_admissions", *FLAG_COLUMNS, "prior_psych_any")
+    joined = history.join(first, "subject_id", "left").withColumn("age", F.coalesce("age", F.lit(DEFAULT_AGE)))
+    return joined.fillna(0, [c for c in PROPENSITY_FEATURES if c != "age"])
+
+
+def standardise(rows: DataFrame, train: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Columns to mean 0 and deviation 1 over ``train``; a constant column becomes 0."""
+    cells = [f(F.col(f"`{c}`").cast("double")).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("d", F.stddev_pop))]
+    r = train.agg(*cells).first()  # two numbers per column
+    scaled = {
+        c: (F.col(f"`{c}`").cast("double") - float(r[f"m{i}"] or 0.0)) / float(r[f"d{i}"]) if r[f"d{i}"] else F.lit(0.0)
+        for i, c in enumerate(columns)
+    }
+    return rows.withColumns(scaled)

@@ -1,22 +1,19 @@
-"""Linear models on Spark ML: selection, propensity, PU weighting, text features."""
+"""Linear models: selection, propensity, attribution, text features."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortlens.functions.demographics import clip
 from cohortlens.functions.text import evaluated_once
+from cohortlens.operators import newton
 from cohortlens.operators.evaluation import rank_metrics
-from cohortlens.operators.prefix import join_parameters
+from cohortlens.operators.newton import Fitted
+from cohortlens.operators.prefix import hash_ranks, join_parameters, prefix_sums
+from cohortlens.session import materialise
 
 # Inverse penalties to try, and the propensity range.
 C_GRID = [0.001, 0.01, 0.1, 1.0, 10.0, 100.0]
@@ -33,75 +30,30 @@ def balanced(rows: DataFrame) -> DataFrame:
     return rows.withColumn("weight", F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
 
 
-def _logistic(c: float, weight_sum: float, weight: str | None, features: str = "features") -> LogisticRegression:
-    """Penalty 1/(C * sum of weights) matches a summed loss with inverse penalty C."""
-    lr = LogisticRegression(
-        featuresCol=features, labelCol="label", regParam=1.0 / (c * weight_sum), elasticNetParam=0.0,
-        standardization=False, maxIter=1000, tol=1e-6,
-    )
-    return lr.setWeightCol(weight) if weight else lr
-
-
-def assembler(columns: Sequence[str], output: str = "features") -> VectorAssembler:
-    return VectorAssembler(inputCols=list(columns), outputCol=output, handleInvalid="error")
-
-
-def fit_logistic(train: DataFrame, columns: Sequence[str], c: float = 1.0, weight: str | None = None) -> PipelineModel:
-    """Logistic regression on named columns; ``weight`` is an optional row weight."""
-    total = train.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0]
-    return Pipeline(stages=[assembler(columns), _logistic(c, float(total), weight)]).fit(train)
-
-
-def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """Add ``score``, the positive-class probability, and drop the work columns."""
-    out = model.transform(rows)
-    extra = [c for c in out.columns if c not in rows.columns]
-    return out.withColumn("score", vector_to_array(F.col("probability"))[1]).drop(*extra)
+def score(model: Fitted, rows: DataFrame) -> DataFrame:
+    """Add ``score``, the positive-class probability, and ``logit``: two columns over the features."""
+    return rows.withColumn("logit", model.logit()).withColumn("score", model.probability())
 
 
 def sweep_c(train: DataFrame, validation: DataFrame, columns: Sequence[str], grid: Sequence[float] = C_GRID):
     """Fit one balanced model per C; return the best by AUPRC and the score table.
 
-    The fits share one stored input and run side by side; the table has one row
-    per C and comes back as a small table of its own.
+    All penalties take their Newton steps together, so a step is one pass over
+    ``train``. The validation rows are scored by all models in one pass, on the
+    linear score: probabilities close to 0 or 1 would tie.
     """
-    spark = train.sparkSession
-    weighted, validation = balanced(train).persist(), validation.persist()
-    with ThreadPoolExecutor(len(grid)) as pool:
-        models = dict(zip(grid, pool.map(lambda c: fit_logistic(weighted, columns, c, "weight"), grid), strict=True))
-    everything = None
-    for c, model in models.items():
-        scored = score(model, validation).select(F.lit(float(c)).alias("c"), "label", "score")
-        everything = scored if everything is None else everything.unionByName(scored)
-    rows = rank_metrics(everything, ["c"]).select("c", "n", "n_pos", "auprc", "auroc").collect()
-    weighted.unpersist()
-    validation.unpersist()
-    best = min(rows, key=lambda r: (r.auprc is None, -(r.auprc or 0.0), r.c))
-    return models[best.c], spark.createDataFrame(rows, "c double, n long, n_pos long, auprc double, auroc double")
-
-
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
-
-
-def load_model(path: str) -> PipelineModel:
-    """A stored model; its ``score`` is that of the model that was saved."""
-    return PipelineModel.load(path)
-
-
-def coefficients(spark, model: PipelineModel, columns: Sequence[str]) -> DataFrame:
-    """(feature, coefficient) of a fitted model: one row per feature."""
-    fitted = model.stages[-1].coefficients
-    return spark.createDataFrame(
-        [(c, float(v)) for c, v in zip(columns, fitted.toArray())], "feature string, coefficient double"
-    )
+    models = newton.fit_logistic(balanced(train), columns, grid, weight="weight")
+    each = F.explode(F.array(*[F.struct(F.lit(m.c).alias("c"), m.logit().alias("score")) for m in models]))
+    scored = validation.select("label", each.alias("m")).select("m.c", "label", "m.score")
+    results = materialise(rank_metrics(scored, ["c"]).select("c", "n", "n_pos", "auprc", "auroc"), "sweep")
+    best = min(results.collect(), key=lambda r: (r.auprc is None, -(r.auprc or 0.0), r.c))  # one row per C
+    return next(m for m in models if m.c == best.c), results
 
 
 def propensities(features: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Clipped P(coded | features) per subject."""
-    model = fit_logistic(features, columns, 1.0)
-    scored = score(model, features)
-    return scored.select("subject_id", clip(F.col("score"), *PROPENSITY_RANGE).alias("propensity"))
+    (model,) = newton.fit_logistic(features, columns)
+    return features.select("subject_id", clip(model.probability(), *PROPENSITY_RANGE).alias("propensity"))
 
 
 def attach_propensity(rows: DataFrame, estimated: DataFrame) -> DataFrame:
@@ -109,21 +61,6 @@ def attach_propensity(rows: DataFrame, estimated: DataFrame) -> DataFrame:
     return rows.join(estimated, "subject_id", "left").fillna(MISSING_PROPENSITY, ["propensity"])
 
 
-def fit_pu(train: DataFrame, columns: Sequence[str], c: float = 1.0) -> PipelineModel:
-    """Linear classifier whose positives weigh 1/propensity, scaled to mean 1."""
-    inverse = F.when(F.col("label") == 1, F.lit(1.0) / F.col("propensity"))
-    mean = train.agg(F.avg(inverse).alias("m")).select("m").scalar()
-    weighted = train.withColumn("weight", F.coalesce(inverse / mean, F.lit(1.0)))
-    return fit_logistic(weighted, columns, c, "weight")
-
-
-def logits(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """Add ``logit``, the raw score of the positive class."""
-    out = model.transform(rows)
-    extra = [c for c in out.columns if c not in rows.columns]
-    return out.withColumn("logit", vector_to_array(F.col("rawPrediction"))[1]).drop(*extra)
-
-
 def linear_attribution(rows: DataFrame, table: DataFrame, columns: Sequence[str], key: Sequence[str] = ("subject_id",)) -> DataFrame:
     """coefficient * value per row and feature: the attribution of a linear score.
 
@@ -139,38 +76,85 @@ def linear_attribution(rows: DataFrame, table: DataFrame, columns: Sequence[str]
 # ── text features ───────────────────────────────────────────────────────────
 
 
-def text_terms(notes: DataFrame, key: str, text: str) -> DataFrame:
-    """Lower-case words of two or more characters and adjacent word pairs, one row each."""
+def text_counts(notes: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, terms): each note's words of two or more characters and adjacent pairs, counted, lower case.
+
+    Terms are sorted and their stretches measured inside the row, so no text or
+    token is shuffled.
+    """
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)\b(\w\w+)\b"), 1)
-    # Spread by note: counting and scaling per note then need no further shuffle.
-    tokens = notes.select(key, evaluated_once(words).alias("_w")).repartition(key)
+    tokens = notes.select(key, evaluated_once(words).alias("_w"))
     pairs = F.transform(
         F.slice(F.col("_w"), F.lit(2), F.greatest(F.size("_w") - 1, F.lit(0))),
         lambda w, i: F.concat_ws(" ", F.get(F.col("_w"), i), w),
     )
-    return tokens.select(key, F.explode(F.concat(F.col("_w"), pairs)).alias("term"))
+    ordered = tokens.select(key, evaluated_once(F.sort_array(F.concat(F.col("_w"), pairs))).alias("_s"))
+    begins = F.filter(
+        F.transform("_s", lambda t, i: F.when((i == 0) | (t != F.get(F.col("_s"), i - 1)), i)), lambda i: i.isNotNull()
+    )
+    cut = ordered.select(key, "_s", evaluated_once(begins).alias("_b"))
+    end = lambda k: F.coalesce(F.get(F.col("_b"), k + 1), F.size("_s"))
+    counted = F.transform("_b", lambda b, k: F.struct(F.get(F.col("_s"), b).alias("term"), (end(k) - b).alias("tf")))
+    return cut.select(key, counted.alias("terms"))
 
 
-def tfidf(notes: DataFrame, key: str, text: str, max_features: int = 50_000) -> DataFrame:
-    """(key, term, weight): sublinear tf, smoothed idf, unit length per note.
+def vocabulary(counts: DataFrame, key: str, max_features: int) -> DataFrame:
+    """(term, df, idx) of the terms with the highest total count; ties go by the hash of the term.
 
-    tf = 1 + ln(count), idf = 1 + ln((1 + n) / (1 + df)). The vocabulary keeps
-    the terms with the highest total count; the term itself breaks ties.
+    The histogram of counts gives the count at the boundary and how many of its
+    terms still fit; only those are ranked, in even slices of their hashes. No
+    task sorts the terms.
     """
-    counts = text_terms(notes, key, text).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    vocabulary = (
-        counts.groupBy("term")
-        .agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
-        .orderBy(F.col("cf").desc(), "term")
-        .limit(max_features)
+    rows = counts.select(F.explode("terms").alias("t")).select("t.term", "t.tf")
+    totals = materialise(rows.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df")), "terms")
+    hist = totals.groupBy("cf").agg(F.count(F.lit(1)).alias("_n"))
+    cells = prefix_sums(hist, [], "cf", ["_n"])
+    above = F.col("_n_total") - F.col("_n_below") - F.col("_n")
+    edge = cells.where((above < max_features) & (above + F.col("_n") >= max_features)).select(
+        F.col("cf").alias("edge"), (F.lit(max_features) - above).alias("room")
     )
-    n = notes.agg(F.count(F.lit(1)).cast("double").alias("n")).select("n").scalar()
-    idf = vocabulary.select("term", (1 + F.log((1 + n) / (1 + F.col("df")))).alias("idf"))
-    raw = join_parameters(counts, idf, ["term"]).select(
-        key, "term", ((1 + F.log(F.col("tf"))) * F.col("idf")).alias("w")
-    )
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))  # the terms of one note
-    return raw.select(key, "term", (F.col("w") / norm).alias("weight"))
+    edge = edge.agg(F.coalesce(F.max("edge"), F.lit(0)).alias("edge"), F.coalesce(F.max("room"), F.lit(0)).alias("room")).first()
+    tied = hash_ranks(totals.where(F.col("cf") == edge.edge), [], ["term"]).where(F.col("hash_rank") <= edge.room)
+    kept = totals.where(F.col("cf") > edge.edge).select("term", "df").unionByName(tied.select("term", "df"))
+    return materialise(hash_ranks(kept, [], ["term"]).select("term", "df", (F.col("hash_rank") - 1).cast("int").alias("idx")), "vocabulary")
+
+
+def text_vectors(notes: DataFrame, key: str, text: str, max_features: int = 50_000) -> tuple[DataFrame, DataFrame]:
+    """Sparse unit vectors (key, idx, val) of the notes, and the vocabulary (term, df, idx).
+
+    tf = 1 + ln(count), idf = 1 + ln((1 + n) / (1 + df)). A note without a term of
+    the vocabulary has an empty vector. ``key`` is unique.
+    """
+    counts = materialise(text_counts(notes, key, text), "counts")
+    words = vocabulary(counts, key, max_features)
+    n = float(counts.count())
+    idf = words.select("term", "idx", (1 + F.log((1 + F.lit(n)) / (1 + F.col("df")))).alias("idf"))
+    long = counts.select(key, F.explode("terms").alias("t")).select(key, "t.term", "t.tf")
+    raw = join_parameters(long, idf, ["term"]).select(key, F.struct("idx", ((1 + F.log(F.col("tf"))) * F.col("idf")).alias("w")).alias("e"))
+    vectors = raw.groupBy(key).agg(F.sort_array(F.collect_list("e")).alias("_e"))  # the terms of one note
+    vectors = counts.select(key).join(vectors, key, "left")
+    entries = F.coalesce(F.col("_e"), F.array().cast("array<struct<idx:int,w:double>>"))
+    norm = F.sqrt(F.aggregate(entries, F.lit(0.0), lambda a, e: a + e["w"] * e["w"]))
+    out = vectors.select(key, entries.alias("_e"), evaluated_once(F.array(norm)).alias("_n"))
+    unit = F.transform("_e", lambda e: e["w"] / F.get(F.col("_n"), F.lit(0)))
+    return out.select(key, F.transform("_e", lambda e: e["idx"]).alias("idx"), unit.alias("val")), words
+
+
+def tfidf(notes: DataFrame, key: str, text: str, max_features: int = 50_000) -> DataFrame:
+    """(key, term, weight): sublinear tf, smoothed idf, unit length per note."""
+    vectors, words = text_vectors(notes, key, text, max_features)
+    long = vectors.select(key, F.explode(F.arrays_zip("idx", "val")).alias("e")).select(key, "e.idx", F.col("e.val").alias("weight"))
+    return join_parameters(long, words.select("idx", "term"), ["idx"]).select(key, "term", "weight")
+
+
+def vector_attribution(vectors: DataFrame, key: str, words: DataFrame, table: DataFrame) -> DataFrame:
+    """(key, term, value): coefficient * value of each term of sparse text vectors.
+
+    ``table`` is (term, coefficient); terms without a coefficient are left out.
+    """
+    named = words.select("term", "idx").join(table.select("term", "coefficient"), "term").select("idx", "term", "coefficient")
+    long = vectors.select(key, F.explode(F.arrays_zip("idx", "val")).alias("e")).select(key, "e.idx", "e.val")
+    return join_parameters(long, named, ["idx"]).select(key, "term", (F.col("coefficient") * F.col("val")).alias("value"))
 
 
 def term_odds(rows: DataFrame) -> DataFrame:

@@ -146,9 +146,9 @@ def prevalence_recalibration(s: Study):
 
 @query("prevalence_shifted_scores", "hadm_id:l model:s shifted:d", "PRJ21",
        """SELECT hadm_id, model, score * 0.02e0 / ps / (score * 0.02e0 / ps + (1 - score) * 0.98e0 / (1 - ps)) AS shifted
-          FROM (SELECT *, avg(label) OVER (PARTITION BY model) AS ps FROM scores WHERE model <> 'kw')""")
+          FROM (SELECT *, avg(label) OVER (PARTITION BY model) AS ps FROM probabilities)""")
 def prevalence_shifted_scores(s: Study):
-    probabilities = s.scores.where("model <> 'kw'")  # kw is not a probability
+    probabilities = s.probabilities
     study = probabilities.groupBy("model").agg(F.avg("label").alias("_ps"))
     rows = join_parameters(probabilities, study, ["model"])
     return rows.select("hadm_id", "model", stats.prevalence_shift(F.col("score"), F.col("_ps"), F.lit(0.02)).alias("shifted"))
@@ -222,14 +222,14 @@ _CURVE = """SELECT s.model, d.tag AS deployment, (100 + 50 * g.i) / 10000e0 AS t
         max(ps) - (1 - max(ps)) * ((100 + 50 * g.i) / 10000e0 / (1 - (100 + 50 * g.i) / 10000e0)) AS net_benefit_treatall
     FROM (VALUES ('2pct', 0.02e0), ('5pct', 0.05e0)) d(tag, p)
     JOIN (SELECT model, label, ps, tag, score * p / ps / (score * p / ps + (1 - score) * (1 - p) / (1 - ps)) AS q
-          FROM (SELECT * REPLACE (1 - label AS label), avg(1 - label) OVER (PARTITION BY model) AS ps FROM scores WHERE model <> 'kw')
+          FROM (SELECT * REPLACE (1 - label AS label), avg(1 - label) OVER (PARTITION BY model) AS ps FROM probabilities)
           CROSS JOIN (VALUES ('2pct', 0.02e0), ('5pct', 0.05e0)) x(tag, p)) s ON s.tag = d.tag
     CROSS JOIN (SELECT i FROM range(0, 79) r(i)) g GROUP BY s.model, d.tag, g.i"""
 
 
 def _curve(s: Study):
-    # The rare class is the one to find; kw is not a probability.
-    rows = s.scores.where("model <> 'kw'").withColumn("label", 1 - F.col("label"))
+    # The rare class is the one to find.
+    rows = s.probabilities.withColumn("label", 1 - F.col("label"))
     return decision.decision_curve(rows)
 
 
@@ -596,10 +596,10 @@ _Z = "ln((0.001e0 + score) / (1.001e0 - score))"
 @query("pu_risk", "model:s positive_risk:d unlabeled_risk:d positive_as_negative:d pu_risk:d", "EV32 AGG15",
        f"""SELECT *, 0.3e0 * positive_risk + greatest(unlabeled_risk - 0.3e0 * positive_as_negative, 0) AS pu_risk FROM (
                SELECT model, avg(ln(1 + exp(-z))) FILTER (WHERE label = 1) AS positive_risk, avg(ln(1 + exp(z))) FILTER (WHERE label = 0) AS unlabeled_risk,
-                      avg(ln(1 + exp(z))) FILTER (WHERE label = 1) AS positive_as_negative FROM (SELECT *, {_Z} AS z FROM scores WHERE model <> 'kw') GROUP BY model)""")
+                      avg(ln(1 + exp(z))) FILTER (WHERE label = 1) AS positive_as_negative FROM (SELECT *, {_Z} AS z FROM probabilities) GROUP BY model)""")
 def pu_risk(s: Study):
     z = F.log((F.lit(0.001) + F.col("score")) / (F.lit(1.001) - F.col("score")))
-    return evaluation.pu_risk(s.scores.where("model <> 'kw'").withColumn("logit", z), F.lit(0.3))
+    return evaluation.pu_risk(s.probabilities.withColumn("logit", z), F.lit(0.3))
 
 
 @query("weighted_pu_risk", "model:s positive_risk:d unlabeled_risk:d positive_as_negative:d pu_risk:d", "EV33",
@@ -607,11 +607,11 @@ def pu_risk(s: Study):
                SELECT model, avg(ln(1 + exp(-z)) * w / m) FILTER (WHERE label = 1) AS positive_risk, avg(ln(1 + exp(z))) FILTER (WHERE label = 0) AS unlabeled_risk,
                       avg(ln(1 + exp(z)) * w / m) FILTER (WHERE label = 1) AS positive_as_negative FROM (
                    SELECT *, avg(w) FILTER (WHERE label = 1) OVER (PARTITION BY model) AS m FROM (
-                       SELECT *, {_Z} AS z, 1 / (0.05e0 + 0.9e0 * {sq.uniform("'e'", 'subject_id')}) AS w FROM scores WHERE model <> 'kw')) GROUP BY model)""")
+                       SELECT *, {_Z} AS z, 1 / (0.05e0 + 0.9e0 * {sq.uniform("'e'", 'subject_id')}) AS w FROM probabilities)) GROUP BY model)""")
 def weighted_pu_risk(s: Study):
     z = F.log((F.lit(0.001) + F.col("score")) / (F.lit(1.001) - F.col("score")))
     e = F.lit(0.05) + F.lit(0.9) * standins.md5_uniform("e", F.col("subject_id"))
-    rows = s.scores.where("model <> 'kw'").withColumn("logit", z).withColumn("propensity", e)
+    rows = s.probabilities.withColumn("logit", z).withColumn("propensity", e)
     return evaluation.pu_risk(rows, F.lit(0.3), "propensity")
 
 

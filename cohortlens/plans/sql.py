@@ -73,6 +73,39 @@ def percentile(column: str, p: float) -> str:
     return f"quantile_cont(CAST({column} AS DOUBLE), {p})"
 
 
+def newton(source: str, grid: list[float], width: int, steps: int = 30) -> str:
+    """(k, c, beta): penalised logistic fits of ``source`` (k, y, w, x) by full Newton steps, one recursion for all.
+
+    x holds ``width`` doubles, the last of them 1 for the intercept, which is not
+    penalised. Each step sums the bordered system, eliminates it pivot by pivot
+    (it is positive definite) and subtracts the last column.
+    """
+    d = width
+    return f"""
+        WITH RECURSIVE newton_rows AS ({source}),
+        newton_steps AS (
+            SELECT 0 AS step, k, c, list_transform(range(0, {d}), lambda i: 0e0) AS beta
+            FROM (SELECT DISTINCT k FROM newton_rows) CROSS JOIN (SELECT unnest({grid}::DOUBLE[]) AS c)
+            UNION ALL
+            SELECT step + 1, k, c, list_transform(range(1, {d} + 1), lambda i: beta[i] - solved[i][{d} + 1]) FROM (
+                SELECT step, k, c, beta, list_reduce(list_concat([m], list_transform(range(1, {d} + 1), lambda q: [[q::DOUBLE]])),
+                    lambda a, q: list_transform(range(1, {d} + 1), lambda i: CASE WHEN i = q[1][1]::INT THEN list_transform(a[i], lambda v: v / a[i][i])
+                        ELSE list_transform(range(1, {d} + 2), lambda j: a[i][j] - a[i][q[1][1]::INT] * a[q[1][1]::INT][j] / a[q[1][1]::INT][q[1][1]::INT]) END)) AS solved
+                FROM (
+                    SELECT step, k, c, beta, list_transform(range(0, {d}), lambda i: list_transform(range(0, {d} + 1), lambda j:
+                        c * flat[i * ({d} + 1) + j + 1] + CASE WHEN i < {d} - 1 AND j = i THEN 1e0 WHEN i < {d} - 1 AND j = {d} THEN beta[i + 1] ELSE 0e0 END)) AS m
+                    FROM (
+                        SELECT step, k, c, beta, list(v ORDER BY q) AS flat FROM (
+                            SELECT step, k, c, beta, q, sum(CASE WHEN q % ({d} + 1) < {d} THEN h * x[q // ({d} + 1) + 1] * x[q % ({d} + 1) + 1] ELSE r * x[q // ({d} + 1) + 1] END) AS v
+                            FROM (
+                                SELECT *, w * p * (1 - p) AS h, w * (p - y) AS r, unnest(range(0, {d} * ({d} + 1))) AS q FROM (
+                                    SELECT step, s.k, c, beta, y, w, x, 1e0 / (1e0 + exp(-list_dot_product(x, beta))) AS p
+                                    FROM newton_steps s JOIN newton_rows n ON n.k = s.k WHERE step < {steps}))
+                            GROUP BY step, k, c, beta, q)
+                        GROUP BY step, k, c, beta))))
+        SELECT k, c, beta FROM newton_steps WHERE step = {steps}"""
+
+
 _LINES = "string_split(text, chr(10))"
 _IS_HEADER = f"regexp_full_match(line, {q(tx.HEADER)})"
 _TRIM = "' ' || chr(9) || chr(10) || chr(13)"
@@ -243,6 +276,10 @@ CTES: dict[str, str] = {
         UNION ALL SELECT 'len', split, subject_id, hadm_id, label, n_chars / (n_chars + 2000e0) FROM scored_docs
         UNION ALL SELECT 'hash', split, subject_id, hadm_id, label, u FROM scored_docs
         UNION ALL SELECT 'grid', split, subject_id, hadm_id, label, floor(u * 20) / 20e0 FROM scored_docs""",
+    "platt": newton("SELECT model AS k, label AS y, 1e0 AS w, [score, 1e0] AS x FROM scores WHERE split = 'val'", [1.0], 2),
+    "platt_scores": """
+        SELECT s.*, 1e0 / (1e0 + exp(-(score * beta[1] + beta[2]))) AS calibrated FROM scores s JOIN platt ON k = model""",
+    "probabilities": "SELECT * EXCLUDE (calibrated) REPLACE (CASE WHEN model = 'kw' THEN calibrated ELSE score END AS score) FROM platt_scores",
     "thresholds": """
         SELECT model, coalesce(max(score) FILTER (WHERE recall >= 0.85e0), min(score)) AS threshold FROM (
             SELECT t.model, t.score, sum(CASE WHEN s.label = 1 AND s.score >= t.score THEN 1 ELSE 0 END) / nullif(sum(s.label), 0)::DOUBLE AS recall

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import demographics
 from cohortlens.operators import (
+    calibration,
     characteristics,
     cohort,
     corpus,
@@ -140,6 +141,18 @@ class Study:
         """Scored once and stored, as the evaluation jobs all read them."""
         return materialise(self._make(standins.scores), "scores")
 
+    @cached_property
+    def platt(self) -> list:
+        """One calibration per model, fitted on the validation rows in the same passes."""
+        return calibration.fit_platt(self.scores.where("split = 'val'"))
+
+    @cached_property
+    def probabilities(self) -> DataFrame:
+        """Scores of all models as probabilities: the raw lexicon score, which is not one, by its calibration."""
+        calibrated = calibration.apply_platt(self.platt, self.scores)
+        score = F.when(F.col("model") == "kw", F.col("calibrated")).otherwise(F.col("score"))
+        return materialise(calibrated.withColumn("score", score).drop("calibrated"), "probabilities")
+
     @cached_property
     def thresholds(self) -> DataFrame:
         """Frozen on the validation rows."""

@@ -287,18 +287,18 @@ def top_terms_by_attribution(s: Study):
 # ── text features ───────────────────────────────────────────────────────────
 
 _UNI = f"regexp_extract_all(lower(text), {sq.q('[' + chr(92) + 'p{L}' + chr(92) + 'p{N}_]{2,}')})"
-_TFIDF = f"""WITH w AS (SELECT doc_id, {_UNI} AS w FROM documents),
+TFIDF_SQL = f"""WITH w AS (SELECT doc_id, {_UNI} AS w FROM documents),
     terms AS (
         SELECT doc_id, unnest(w) AS term FROM w
         UNION ALL SELECT doc_id, w[i] || ' ' || w[i + 1] FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w)),
     tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
-    vocab AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM tf GROUP BY term ORDER BY cf DESC, term LIMIT 50000),
+    vocab AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM tf GROUP BY term ORDER BY cf DESC, md5('42|' || term), term LIMIT 50000),
     raw AS (SELECT doc_id, term, (1 + ln(tf)) * (1 + ln((1 + (SELECT count(*) FROM documents)) / (1 + df)::DOUBLE)) AS x FROM tf JOIN vocab USING (term)),
     unit AS (SELECT doc_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS weight FROM raw)"""
 
 
 @query("tfidf_terms", "term:s n_docs:l total_weight:d", "TXT16",
-       f"{_TFIDF} SELECT term, count(*) AS n_docs, sum(weight) AS total_weight FROM unit GROUP BY term")
+       f"{TFIDF_SQL} SELECT term, count(*) AS n_docs, sum(weight) AS total_weight FROM unit GROUP BY term")
 def tfidf_terms(s: Study):
     weights = models.tfidf(_documents(s), "doc_id", "text")
     return weights.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("weight").alias("total_weight"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.operators import calibration, models
+from cohortlens.operators import calibration, descent, evaluation, models, newton
 
 
 @pytest.fixture(scope="module")
@@ -23,24 +23,49 @@ def gradient(x, y, w, coef, bias, c):
     return np.append(x.T @ r + coef, r.sum())
 
 
-@pytest.mark.parametrize("c", [0.01, 1.0])
+@pytest.mark.parametrize("c", [0.01, 1.0, 100.0])
 def test_balanced_fit_is_the_penalised_optimum(rows, c):
     df, x, y = rows
-    model = models.fit_logistic(models.balanced(df), ["a", "b"], c, "weight").stages[-1]
+    (model,) = newton.fit_logistic(models.balanced(df), ["a", "b"], [c], weight="weight")
     w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
-    g = gradient(x, y, w, model.coefficients.toArray(), model.intercept, c)
-    assert np.abs(g).max() < 0.02 * max(1.0, c * len(y) / 10)
+    g = gradient(x, y, w, model.coefficients, model.intercept, c)
+    assert np.abs(g).max() < 1e-9 * max(1.0, c * len(y))
 
 
-def test_platt_is_the_penalised_optimum(rows):
+def test_a_path_equals_single_fits(rows):
+    df, _, _ = rows
+    path = newton.fit_logistic(df, ["a", "b"], models.C_GRID)
+    for m in path:
+        (one,) = newton.fit_logistic(df, ["a", "b"], [m.c])
+        assert np.allclose(one.coefficients, m.coefficients, atol=1e-10) and abs(one.intercept - m.intercept) < 1e-10
+
+
+def test_steps_that_overshoot_are_halved(spark):
+    """Separable classes far from 0: full steps from 0 would leave the range of the exponential."""
+    data = [(float(v), int(v > 1010)) for v in range(1000, 1020)]
+    (model,) = newton.fit_logistic(spark.createDataFrame(data, "v double, label int"), ["v"], [1000.0])
+    x, y = np.array([[v] for v, _ in data]), np.array([k for _, k in data])
+    assert np.abs(gradient(x, y, np.ones(20), model.coefficients, model.intercept, 1000.0)).max() < 1e-3
+
+
+def test_platt_fits_each_model_by_itself(spark, rows):
     df, x, y = rows
-    one = df.select(F.col("a").alias("score"), "label")
-    model = calibration.fit_platt(one)
-    fitted = model.stages[-1]
-    g = gradient(x[:, :1], y, np.ones(len(y)), fitted.coefficients.toArray(), fitted.intercept, 1.0)
-    assert np.abs(g).max() < 1e-3
-    got = calibration.apply_platt(model, one).first()
-    assert got.calibrated == pytest.approx(1 / (1 + np.exp(-(got.score * fitted.coefficients[0] + fitted.intercept))))
+    two = df.selectExpr("'m' AS model", "a AS score", "label").union(df.selectExpr("'n'", "b", "label"))
+    fitted = calibration.fit_platt(two)
+    assert [m.key for m in fitted] == ["m", "n"]
+    for m, k in zip(fitted, (0, 1)):
+        assert np.abs(gradient(x[:, k : k + 1], y, np.ones(len(y)), m.coefficients, m.intercept, 1.0)).max() < 1e-8
+    for r in calibration.apply_platt(fitted, two).collect():
+        m = fitted[r.model == "n"]
+        assert r.calibrated == pytest.approx(1 / (1 + np.exp(-(r.score * m.coefficients[0] + m.intercept))))
+
+
+def test_models_are_stored_as_tables(spark, rows, tmp_path):
+    df, _, _ = rows
+    path = newton.fit_logistic(df, ["a", "b"], [0.1, 1.0])
+    newton.save_models(spark, path, str(tmp_path / "m"))
+    for a, b in zip(path, newton.load_models(spark, str(tmp_path / "m")), strict=True):
+        assert a.c == b.c and a.intercept == b.intercept and dict(zip(a.features, a.coefficients)) == dict(zip(b.features, b.coefficients))
 
 
 def test_propensities_are_clipped_and_defaulted(rows):
@@ -54,8 +79,93 @@ def test_propensities_are_clipped_and_defaulted(rows):
 
 def test_linear_attribution_adds_up_to_the_logit(spark, rows):
     df, _, _ = rows
-    model = models.fit_logistic(df, ["a", "b"])
-    table = models.coefficients(spark, model, ["a", "b"])
+    (model,) = newton.fit_logistic(df, ["a", "b"])
+    table = newton.coefficient_table(spark, [model], intercept=False).select("feature", "coefficient")
     sums = models.linear_attribution(df, table, ["a", "b"]).groupBy("subject_id").agg(F.sum("value").alias("v"))
-    both = models.logits(model, df).join(sums, "subject_id").withColumn("d", F.abs(F.col("logit") - F.col("v") - model.stages[-1].intercept))
+    both = models.score(model, df).join(sums, "subject_id").withColumn("d", F.abs(F.col("logit") - F.col("v") - model.intercept))
     assert both.agg(F.max("d")).first()[0] < 1e-9
+
+
+# ── descent ─────────────────────────────────────────────────────────────────
+
+
+def plain_pu(x, y, w, beta, prior, penalty):
+    """Value and gradient of the non-negative risk in NumPy."""
+    z, full = x @ beta[:-1] + beta[-1], np.column_stack([x, np.ones(len(x))])
+    p, pos = 1 / (1 + np.exp(-z)), y == 1
+    loss = lambda s: np.log1p(np.exp(-s))
+    share = np.where(pos, w, 0) / w[pos].sum()
+    up, down, unl = share @ loss(z), share @ loss(-z), loss(-z)[~pos].mean()
+    rest = unl - prior * down
+    ridge = np.append(beta[:-1], 0)
+    g = prior * full.T @ (share * (p - 1)) + penalty * ridge
+    if rest > 0:
+        g = g + full.T @ np.where(pos, 0, p) / (~pos).sum() - prior * full.T @ (share * p)
+    return prior * up + max(0.0, rest) + penalty / 2 * (ridge @ ridge), g
+
+
+@pytest.mark.parametrize("prior", [0.05, 0.4, 0.95])
+def test_pu_objective_equals_numpy(rows, prior):
+    df, x, y = rows
+    rng = np.random.default_rng(5)
+    dense = descent.dense_rows(df.withColumn("e", 0.1 + F.col("subject_id") % 9 / 10.0), ["a", "b"], weight=1 / F.col("e")).repartition(5)
+    w = 1 / (0.1 + np.arange(200) % 9 / 10.0)
+    at = descent.pu_objective(dense, prior, 0.01)
+    for scale in (0.0, 0.3, 3.0):
+        beta = rng.normal(size=3) * scale
+        value, g = at(beta)
+        want, h = plain_pu(x, y, w, beta, prior, 0.01)
+        assert value == pytest.approx(want, abs=1e-12) and np.allclose(g, h, atol=1e-12)
+
+
+def test_pu_risk_falls_at_each_step_and_is_the_reported_risk(rows):
+    df, _, _ = rows
+    dense = descent.dense_rows(df, ["a", "b"], carried=["subject_id"])
+    fitted = descent.fit_pu(dense, 2, 0.3, steps=15, penalty=0.0)
+    assert len(fitted.path) > 3 and all(b < a for a, b in zip(fitted.path, fitted.path[1:]))
+    scored = descent.with_logit(dense, fitted).withColumn("label", F.col("y").cast("int")).withColumn("model", F.lit("m"))
+    assert evaluation.pu_risk(scored, F.lit(0.3)).first().pu_risk == pytest.approx(fitted.path[-1], abs=1e-9)
+
+
+def test_pu_with_one_class_is_cross_entropy(spark):
+    df = spark.createDataFrame([(1.0, 1), (2.0, 1)], "a double, label int")
+    value, _ = descent.pu_objective(descent.dense_rows(df, ["a"]), 0.3, 0.0)(np.zeros(2))
+    assert value == pytest.approx(np.log(2))
+
+
+def test_sparse_fit_reaches_the_optimum_and_text_risk_falls(spark):
+    rng = np.random.default_rng(8)
+    words = [f"term{i}" for i in range(40)]
+    data = []
+    for i in range(120):
+        label = int(rng.random() < 0.5)
+        picks = rng.choice(words[: 25] if label else words[15:], 12)
+        data.append((i, " ".join(picks), label))
+    data += [(500, None, 0), (501, "", 1)]
+    notes = spark.createDataFrame(data, "n long, t string, label int")
+    vectors, vocabulary = models.text_vectors(notes, "n", "t", 300)
+    rows = notes.join(vectors, "n").select(F.col("label").cast("double").alias("y"), F.lit(1.0).alias("w"), "idx", "val")
+    width = vocabulary.count()
+    assert width == 300 and rows.count() == 122
+    fitted = descent.fit_sparse_logistic(rows, width, 1.0)
+    got = rows.collect()
+    x, y = np.zeros((len(got), width)), np.array([r.y for r in got])
+    for k, r in enumerate(got):
+        x[k, r.idx] = r.val
+    assert np.abs(gradient(x, y, np.ones(len(y)), fitted.coefficients, fitted.intercept, 1.0)).max() < 1e-3
+    risk = descent.fit_pu(rows, width, 0.4, steps=6)
+    assert len(risk.path) > 3 and all(b < a for a, b in zip(risk.path, risk.path[1:]))
+
+
+def test_vocabulary_ties_go_by_the_hash(spark):
+    import hashlib
+
+    notes = spark.createDataFrame([(1, "aa bb cc"), (2, "aa dd ee"), (3, "aa")], "n long, t string")
+    counts = models.text_counts(notes, "n", "t")
+    assert {t.term: t.tf for t in counts.where("n = 1").first().terms} == {"aa": 1, "bb": 1, "cc": 1, "aa bb": 1, "bb cc": 1}
+    once = ["bb", "cc", "dd", "ee", "aa bb", "bb cc", "aa dd", "dd ee"]
+    first = sorted(once, key=lambda t: hashlib.md5(f"42|{t}".encode()).hexdigest())[:3]
+    got = models.vocabulary(counts, "n", 4).collect()
+    assert {r.term for r in got} == {"aa", *first} and sorted(r.idx for r in got) == [0, 1, 2, 3]
+    assert models.vocabulary(counts, "n", 100).count() == 9
+    assert models.vocabulary(counts.limit(0), "n", 100).count() == 0
