@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortlens.functions.demographics import clip
@@ -12,7 +13,7 @@ from cohortlens.functions.text import evaluated_once
 from cohortlens.operators import newton
 from cohortlens.operators.evaluation import rank_metrics
 from cohortlens.operators.newton import Fitted
-from cohortlens.operators.prefix import hash_ranks, join_parameters, prefix_sums
+from cohortlens.operators.prefix import hash_ranks, join_parameters
 from cohortlens.session import materialise
 
 # Inverse penalties to try, and the propensity range.
@@ -107,16 +108,17 @@ def vocabulary(counts: DataFrame, key: str, max_features: int) -> DataFrame:
     """
     rows = counts.select(F.explode("terms").alias("t")).select("t.term", "t.tf")
     totals = materialise(rows.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df")), "terms")
-    hist = totals.groupBy("cf").agg(F.count(F.lit(1)).alias("_n"))
-    cells = prefix_sums(hist, [], "cf", ["_n"])
-    above = F.col("_n_total") - F.col("_n_below") - F.col("_n")
-    edge = cells.where((above < max_features) & (above + F.col("_n") >= max_features)).select(
-        F.col("cf").alias("edge"), (F.lit(max_features) - above).alias("room")
-    )
-    edge = edge.agg(F.coalesce(F.max("edge"), F.lit(0)).alias("edge"), F.coalesce(F.max("room"), F.lit(0)).alias("room")).first()
-    tied = hash_ranks(totals.where(F.col("cf") == edge.edge), [], ["term"]).where(F.col("hash_rank") <= edge.room)
-    kept = totals.where(F.col("cf") > edge.edge).select("term", "df").unionByName(tied.select("term", "df"))
-    return materialise(hash_ranks(kept, [], ["term"]).select("term", "df", (F.col("hash_rank") - 1).cast("int").alias("idx")), "vocabulary")
+    hist = totals.groupBy("cf").agg(F.count(F.lit(1)).alias("n"))
+    # Different counts are at most the root of twice the tokens: a window over them is small for any corpus.
+    upto = F.sum("n").over(W.orderBy(F.desc("cf")))
+    edge = hist.select("cf", upto.alias("upto"), (F.lit(max_features) - upto + F.col("n")).alias("room")).where(F.col("upto") >= max_features)
+    edge = edge.agg(F.max(F.struct("cf", "room")).alias("e")).select("e.*").first()
+    kept = totals.where(F.col("cf") > (edge.cf or 0)).select("term", "df")
+    if edge.cf is not None:
+        tied = hash_ranks(totals.where(F.col("cf") == edge.cf), [], ["term"]).where(F.col("hash_rank") <= edge.room)
+        kept = kept.unionByName(tied.select("term", "df"))
+    place = F.row_number().over(W.orderBy("term"))  # at most ``max_features`` rows
+    return materialise(kept.select("term", "df", (place - 1).alias("idx")), "vocabulary")
 
 
 def text_vectors(notes: DataFrame, key: str, text: str, max_features: int = 50_000) -> tuple[DataFrame, DataFrame]:

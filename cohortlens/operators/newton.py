@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from cohortlens.operators.prefix import join_parameters
 
 INTERCEPT = "(intercept)"
-MAX_STEPS, TOLERANCE = 60, 1e-9
+MAX_STEPS, TOLERANCE = 60, 1e-7
 KINDS = {str: "string", int: "bigint", float: "double"}
 
 
