@@ -230,7 +230,7 @@ def mann_whitney(scores: DataFrame, keys: Sequence[str] = MODEL, p_value: bool =
         F.try_divide(F.col("u"), n1 * n2).alias("auc"),
         F.try_divide(F.col("u") - n1 * n2 / 2.0 - 0.5, spread).alias("z"),
     )
-    return out.withColumn("p_value", stats.normal_upper_tail("z")) if p_value else out
+    return out.withColumn("p_value", stats.normal_upper_tail(F.col("z"))) if p_value else out
 
 
 def score_distribution(decided: DataFrame, keys: Sequence[str]) -> DataFrame:

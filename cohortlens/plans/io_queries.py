@@ -9,8 +9,8 @@ from cohortlens.plans import standins
 from cohortlens.plans.metric_queries import _CONF, rank_sql
 from cohortlens.plans.registry import query
 from cohortlens.plans.study import Study
-from cohortlens.session import scratch_path
-from cohortlens.sources import readers, writers
+from cohortlens.session import materialise, scratch_path
+from cohortlens.sources import landing, readers, writers
 
 
 def _path(s: Study, name: str) -> str:
@@ -37,9 +37,28 @@ def csv_patients_pruned(s: Study):
 @query("csv_notes", "hadm_id:l text:s", "SRC3 JN1",
        "SELECT hadm_id, text FROM discharge WHERE hadm_id IN (SELECT hadm_id FROM admissions WHERE admission_type IS NOT NULL)")
 def csv_notes(s: Study):
-    path = _path(s, "notes-csv")
+    path, target = _path(s, "notes-csv"), _path(s, "notes-landed")
     writers.write_csv(s.discharge, path)
-    return readers.read_notes(s.spark, path, s.admissions.where("admission_type IS NOT NULL"))
+    landing.land_notes(s.spark, path, target)
+    return landing.landed_notes(s.spark, target, s.admissions.where("admission_type IS NOT NULL"))
+
+
+@query("landed_notes", "run:l new_files:l n_notes:l n_chars:l", "SRC3",
+       """SELECT run, CASE run WHEN 2 THEN 0 ELSE 3 END AS new_files, count(*) AS n_notes, sum(length(text)) AS n_chars
+          FROM discharge CROSS JOIN (VALUES (1), (2), (3)) r(run) WHERE run = 3 OR hadm_id % 2 = 0 GROUP BY run""")
+def landed_notes(s: Study):
+    """Half of the notes is landed, nothing changes, the other half arrives: only new files are parsed."""
+    path, target = _path(s, "notes-csv"), _path(s, "notes-landed")
+    out = None
+    for run, part in ((1, "hadm_id % 2 = 0"), (2, None), (3, "hadm_id % 2 <> 0")):
+        if part:
+            s.discharge.where(part).repartition(3).write.mode("append").options(header=True, quote='"', escape='"').csv(path)
+        new = landing.land_notes(s.spark, path, target)
+        notes = landing.landed_notes(s.spark, target).agg(F.count(F.lit(1)).alias("n_notes"), F.sum(F.length("text")).alias("n_chars"))
+        # Stored at once: two readings of a folder that grew in between count as the same scan within one plan.
+        row = materialise(notes.select(F.lit(run).alias("run"), F.lit(new).alias("new_files"), "n_notes", "n_chars"), "run")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("parquet_stage_table", "subject_id:l hadm_id:l icd_version:s", "SRC4",
@@ -57,16 +76,26 @@ def id_list_round_trip(s: Study):
     return readers.read_ids(s.spark, path)
 
 
-@query("malformed_rows", "kind:s n:l", "SRC6",
-       """SELECT kind, count(*) AS n FROM (SELECT CASE WHEN starttime IS NULL OR l % 7 = 0 THEN 'rejected' ELSE 'good' END AS kind
-              FROM (SELECT starttime, hadm_id AS l FROM prescriptions)) GROUP BY kind""")
+@query("malformed_rows", "reason:s n:l", "SRC6",
+       """SELECT reason, count(*) AS n FROM (SELECT CASE hadm_id % 11 WHEN 0 THEN 'invalid starttime' WHEN 1 THEN 'too few fields' WHEN 2 THEN 'too many fields'
+              WHEN 3 THEN 'blank subject_id' WHEN 4 THEN 'blank line' WHEN 5 THEN 'open quote' ELSE CASE WHEN starttime IS NULL THEN 'blank starttime' ELSE 'good' END END AS reason
+              FROM prescriptions) GROUP BY reason""")
 def malformed_rows(s: Study):
+    """Short, long, blank and broken lines among the prescriptions; rejects are read from where they were written."""
     path = _path(s, "prescriptions-csv")
-    broken = F.when(F.col("hadm_id") % 7 == 0, "not a time").otherwise(F.col("starttime").cast("string"))
-    writers.write_csv(s.prescriptions.withColumn("starttime", broken), path)
-    good, rejected = readers.split_rejects(s.spark, "prescriptions", path, ["starttime"])
-    parts = [d.select(F.lit(k).alias("kind")) for k, d in (("good", good), ("rejected", rejected))]
-    return parts[0].unionByName(parts[1]).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    rows, kind = s.prescriptions, F.col("hadm_id") % 11
+    drug = F.when(F.col("drug").contains("HCl"), F.lit('"Prazosin, ""HCl"""')).otherwise(F.coalesce("drug", F.lit("")))
+    subject = F.when(kind == 3, F.lit(" ")).otherwise(F.col("subject_id").cast("string"))
+    start = F.when(kind == 0, "not a time").otherwise(F.coalesce(F.col("starttime").cast("string"), F.lit("")))
+    line = F.concat_ws(",", subject, F.col("hadm_id").cast("string"), drug, start)
+    line = (
+        F.when(kind == 1, F.concat_ws(",", subject, F.col("hadm_id").cast("string"), drug)).when(kind == 2, F.concat(line, F.lit(",more")))
+        .when(kind == 4, F.lit("  ")).when(kind == 5, F.concat(F.lit('"'), line)).otherwise(line)
+    )
+    rows.select(line.alias("value")).write.text(path)
+    header = ["subject_id", "hadm_id", "drug", "starttime"]
+    good, rejected = readers.split_rejects(s.spark, "prescriptions", path, ["subject_id", "starttime"], _path(s, "prescriptions"), header)
+    return good.select(F.lit("good").alias("reason")).unionByName(rejected.select("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("json_thresholds", "model:s threshold:d", "SRC7 SNK3",

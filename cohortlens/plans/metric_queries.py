@@ -276,6 +276,9 @@ _PAIRS = """SELECT a.model AS model_a, b.model AS model_b, count(*)::DOUBLE AS n
     WHERE x.i < y.i GROUP BY ALL"""
 
 
+_TESTS = f"""SELECT *, coalesce(pow(abs(b_only_a_correct - c_only_b_correct) - 1, 2) / nullif(b_only_a_correct + c_only_b_correct, 0), 0) AS chi2 FROM ({_PAIRS})"""
+
+
 @query("model_pair_tests", "model_a:s model_b:s b_only_a_correct:l c_only_b_correct:l chi2:d agreement_pct:d cohens_kappa:d pearson_r:d",
        "EV17 EV18 JN11",
        f"""SELECT *, coalesce(pow(abs(b_only_a_correct - c_only_b_correct) - 1, 2) / nullif(b_only_a_correct + c_only_b_correct, 0), 0) AS chi2, e / n * 100 AS agreement_pct,
@@ -285,9 +288,12 @@ def model_pair_tests(s: Study):
     return compare.pair_tests(s.decided, MODELS, p_value=False)
 
 
-@query("mcnemar_p_values", "model_a:s model_b:s chi2:d mcnemar_p:d", "EV17")
+@query("mcnemar_p_values", "model_a:s model_b:s chi2:d mcnemar_p:d log10_p:d", "EV17",
+       f"""SELECT *, CASE WHEN mcnemar_p > 0 THEN log10(mcnemar_p) END AS log10_p FROM (
+               SELECT *, CASE WHEN b_only_a_correct + c_only_b_correct > 0 THEN {sq.erfc('root')} ELSE 1e0 END AS mcnemar_p
+               FROM (SELECT *, sqrt(chi2 / 2) AS root FROM ({_TESTS})))""")
 def mcnemar_p_values(s: Study):
-    return compare.pair_tests(s.decided, MODELS)
+    return compare.pair_tests(s.decided, MODELS).withColumn("log10_p", F.when(F.col("mcnemar_p") > 0, F.log10("mcnemar_p")))
 
 
 _TOP = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY score DESC, md5('42|' || subject_id || '|' || hadm_id)) AS rn,
@@ -454,9 +460,11 @@ def rank_sum_test(s: Study):
     return evaluation.mann_whitney(s.scores, p_value=False)
 
 
-@query("rank_sum_p_values", "model:s u:d p_value:d", "EV25")
+@query("rank_sum_p_values", "model:s u:d p_value:d log10_p:d", "EV25",
+       f"""SELECT *, CASE WHEN p_value > 0 THEN log10(p_value) END AS log10_p FROM (
+               SELECT *, 0.5e0 * {sq.erfc('root')} AS p_value FROM (SELECT *, z / sqrt(2e0) AS root FROM ({_MWU})))""")
 def rank_sum_p_values(s: Study):
-    return evaluation.mann_whitney(s.scores)
+    return evaluation.mann_whitney(s.scores).withColumn("log10_p", F.when(F.col("p_value") > 0, F.log10("p_value")))
 
 
 @query("score_distributions", "model:s label:l n:l mean_score:d q25:d median_score:d q75:d n_above:l frac_above:d", "EV26",

@@ -9,6 +9,7 @@ import re
 
 from cohortlens.functions import codes as cd
 from cohortlens.functions import demographics as dm
+from cohortlens.functions import stats as st_
 from cohortlens.functions import text as tx
 from cohortlens.plans import standins as st
 
@@ -73,6 +74,24 @@ def percentile(column: str, p: float) -> str:
     return f"quantile_cont(CAST({column} AS DOUBLE), {p})"
 
 
+def _rational(x: str, coefficients: tuple[list[float], list[float]]) -> str:
+    top, bottom = coefficients
+    num, den = f"{x} * {top[-1]!r}::DOUBLE", x
+    for a, b in zip(top[:-2], bottom[:-1], strict=True):
+        num, den = f"({num} + {a!r}::DOUBLE) * {x}", f"({den} + {b!r}::DOUBLE) * {x}"
+    return f"(({num} + {top[-2]!r}::DOUBLE) / ({den} + {bottom[-1]!r}::DOUBLE))"
+
+
+def erfc(x: str) -> str:
+    """Complementary error function of a column or bracketed expression."""
+    y, square = f"abs({x})", f"({x} * {x})"
+    inverse = f"(1e0 / greatest({square}, 1e-300))"
+    middle = f"exp(-{square}) * {_rational(y, st_.ERFC_MIDDLE)}"
+    far = f"exp(-{square}) / {y} * (1e0 / sqrt(pi()) - {inverse} * {_rational(inverse, st_.ERFC_FAR)})"
+    upper = f"CASE WHEN {y} <= 4 THEN {middle} WHEN {y} < 27 THEN {far} ELSE 0e0 END"
+    return f"CASE WHEN {y} <= 0.46875e0 THEN 1e0 - {x} * {_rational(square, st_.ERF_NEAR)} WHEN {x} < 0 THEN 2e0 - {upper} ELSE {upper} END"
+
+
 def newton(source: str, grid: list[float], width: int, steps: int = 30) -> str:
     """(k, c, beta): penalised logistic fits of ``source`` (k, y, w, x) by full Newton steps, one recursion for all.
 

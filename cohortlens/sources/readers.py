@@ -30,7 +30,7 @@ def _typed(name: str, kind: T.DataType) -> Column:
     return text.try_cast(kind)
 
 
-def raw_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def raw_csv(spark: SparkSession, path: str | list[str], multiline: bool = False) -> DataFrame:
     """Header CSV with every column as text, selected by header name later."""
     reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
     return reader.option("multiLine", multiline).option("mode", "PERMISSIVE").csv(path)
@@ -52,27 +52,57 @@ def read_table(spark: SparkSession, table: str, path: str, columns: list[str] |
     )
 
 
-def split_rejects(spark: SparkSession, table: str, path: str, required: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(good, rejected) rows: a row is rejected when a required value is blank or invalid.
+def _field_count() -> Column:
+    """Fields of a CSV line: separators outside quotes, plus one."""
+    bare = F.regexp_replace("line", r'"(?:[^"]|"")*"', "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
 
-    Rejected rows keep their original text, to be written aside and counted.
+
+def split_rejects(spark: SparkSession, table: str, path: str, required: list[str], landed: str, header: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(good, rejected) rows of a header CSV, parsed once and written aside under ``landed``.
+
+    A line is rejected, with the first reason that holds, if it is blank, leaves a
+    quote open, has too few or too many fields, or if a ``required`` value is
+    blank or invalid. Rejects are (file, line, reason), the line as it stands in
+    the file; good rows are typed. A value may not hold a line break here. Without
+    ``header`` every file begins with the same header line.
     """
-    raw = raw_csv(spark, path)
-    present = {c: t for c, t in TABLES[table].items() if c in raw.columns}
-    ok = F.lit(True)
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line"))
+    if header is None:
+        first = spark.read.text(path).first()
+        header = [c.strip().strip('"') for c in first.value.split(",")] if first else []
+        lines = lines.where(F.col("line") != F.lit(first.value if first else ""))
+    present = {c: t for c, t in TABLES[table].items() if c in header}
+    if missing := set(required) - set(present):
+        raise ValueError(f"{path} has no column {sorted(missing)}")
+    schema = ", ".join(f"`{c}` string" for c in header)
+    parsed = F.from_csv("line", schema, {"quote": '"', "escape": '"'})
+    rows = lines.withColumn("_v", parsed).select("file", "line", "_v.*")
+    quotes = F.length("line") - F.length(F.replace(F.col("line"), F.lit('"'), F.lit("")))
+    reason = (
+        F.when(F.trim("line") == "", "blank line")
+        .when(quotes % 2 == 1, "open quote")
+        .when(_field_count() < len(header), "too few fields")
+        .when(_field_count() > len(header), "too many fields")
+    )
     for c in required:
-        value = _typed(c, present[c])
-        filled = F.length(F.trim(F.coalesce(F.col(c), F.lit("")))) > 0
-        ok = ok & value.isNotNull() & filled
-    good = raw.where(ok).select(*[_typed(c, t).alias(c) for c, t in present.items()])
-    return good, raw.where(~ok)
+        reason = reason.when(F.trim(F.coalesce(F.col(f"`{c}`"), F.lit(""))) == "", f"blank {c}")
+        reason = reason.when(_typed(c, present[c]).isNull(), f"invalid {c}")
+    typed = [_typed(c, t).alias(c) for c, t in present.items()]
+    judged = rows.select("file", "line", reason.alias("reason"), *typed)
+    rejected = F.col("reason").isNotNull()
+    # The text of good lines is not kept twice.
+    kept = judged.withColumn("line", F.when(rejected, F.col("line"))).withColumn("rejected", rejected)
+    kept.write.partitionBy("rejected").parquet(landed)
+    stored = spark.read.schema(kept.schema).parquet(landed)
+    return stored.where("NOT rejected").select(*present), stored.where("rejected").select("file", "line", "reason")
 
 
 def read_notes(spark: SparkSession, path: str, admissions: DataFrame | None = None) -> DataFrame:
     """Multi-line note CSV as (hadm_id, text), kept to ``admissions`` when given.
 
-    A multi-line CSV file cannot be split between tasks: land the result as
-    Parquet once and read that afterwards.
+    A multi-line CSV file cannot be split between tasks: ``landing.land_notes``
+    parses each file once, and ``landing.landed_notes`` reads the result.
     """
     notes = raw_csv(spark, path, multiline=True).select(
         F.trim("hadm_id").try_cast("bigint").alias("hadm_id"), "text"

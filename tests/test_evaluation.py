@@ -124,7 +124,7 @@ def test_published_rank_test(spark):
     df = spark.createDataFrame([(z,)], "z double")
     from cohortlens.functions import stats
 
-    p = df.select(stats.normal_upper_tail("z").alias("p")).first().p
+    p = df.select(stats.normal_upper_tail(F.col("z")).alias("p")).first().p
     assert p == pytest.approx(8.2856e-22, rel=2e-3) and round(u / (n1 * n2), 4) == 0.799
 
 

@@ -52,7 +52,7 @@ def test_race_first_match_wins(spark):
 def test_published_mcnemar_p_values(spark):
     rows = [(90, 114, 0.10732755776161251), (125, 94, 0.042640722640095774), (60, 115, 4.4646663003300446e-05)]
     df = spark.createDataFrame([(float((abs(b - c) - 1) ** 2) / (b + c), p) for b, c, p in rows], "x double, p double")
-    for r in df.select("p", stats.chi2_1df_upper_tail("x").alias("got")).collect():
+    for r in df.select("p", stats.chi2_1df_upper_tail(F.col("x")).alias("got")).collect():
         assert r.got == pytest.approx(r.p, rel=1e-9)
 
 
@@ -75,3 +75,11 @@ def test_wilson_and_infinities(spark):
 def test_softplus_is_stable(spark):
     r = one(spark, big=stats.softplus(F.lit(800.0)), small=stats.softplus(F.lit(-800.0)), mid=stats.softplus(F.lit(0.0)))
     assert r.big == 800.0 and r.small == 0.0 and r.mid == pytest.approx(math.log(2))
+
+
+def test_error_function_keeps_its_digits_far_into_the_tail(spark):
+    xs = [0.0, -0.0, 0.1, -0.3, 0.46875, 0.5, -1.0, 2.0, 3.999, 4.0, 4.001, -5.0, 6.0, 8.2, 11.0, 20.0, 26.0, 30.0, -30.0]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    for r in df.select("x", stats.erfc(F.col("x")).alias("got")).collect():
+        assert r.got == pytest.approx(math.erfc(r.x), rel=1e-13, abs=1e-300)
+    assert spark.createDataFrame([(None,)], "x double").select(stats.erfc(F.col("x"))).first()[0] is None

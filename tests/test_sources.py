@@ -2,7 +2,7 @@
 
 import pytest
 
-from cohortlens.sources import readers, writers
+from cohortlens.sources import landing, readers, writers
 
 
 @pytest.fixture()
@@ -16,9 +16,48 @@ def test_csv_with_quotes_blank_and_invalid_times(spark, folder):
     rows = {r.subject_id: r for r in readers.read_table(spark, "prescriptions", str(path)).collect()}
     assert rows[1].drug == "Prazosin, oral" and rows[1].starttime is not None
     assert rows[2].starttime is None and rows[3].starttime is None and rows[1].stoptime is None
-    good, bad = readers.split_rejects(spark, "prescriptions", str(path), ["starttime"])
-    assert [r.subject_id for r in good.collect()] == [1]
-    assert sorted(r.starttime or "" for r in bad.collect()) == ["", "not a time"]
+    good, bad = readers.split_rejects(spark, "prescriptions", str(path), ["starttime"], str(folder / "landed"))
+    assert [(r.subject_id, r.drug) for r in good.collect()] == [(1, "Prazosin, oral")]
+    assert sorted((r.line, r.reason) for r in bad.collect()) == [("2,20,Sertraline,,y", "blank starttime"), ("3,30,Saline,not a time,z", "invalid starttime")]
+
+
+def test_every_kind_of_broken_line_is_written_aside(spark, folder):
+    path = folder / "dx.csv"
+    lines = ["1,10,F43", '2,20,"a, ""b"""', "3,30", "4,40,x,y", "", "  ", '5,50,"open', " ,60,I10", "x,70,I10", "8,80,"]
+    path.write_text("\n".join(["subject_id,hadm_id,icd_code", *lines]) + "\n")
+    good, bad = readers.split_rejects(spark, "diagnoses_icd", str(path), ["subject_id"], str(folder / "dx"))
+    assert sorted((r.subject_id, r.icd_code) for r in good.collect()) == [(1, "F43"), (2, 'a, "b"'), (8, None)]
+    reasons = {r.line: r.reason for r in bad.collect()}
+    assert reasons == {
+        "3,30": "too few fields", "4,40,x,y": "too many fields", "": "blank line", "  ": "blank line", '5,50,"open': "open quote",
+        " ,60,I10": "blank subject_id", "x,70,I10": "invalid subject_id",
+    }
+    assert {r.file for r in bad.collect()} == {"dx.csv"}
+    with pytest.raises(ValueError, match="icd_version"):
+        readers.split_rejects(spark, "diagnoses_icd", str(path), ["icd_version"], str(folder / "none"))
+
+
+def test_landing_parses_new_and_changed_files_only(spark, folder):
+    source, target = folder / "in", str(folder / "notes")
+    source.mkdir()
+    (source / "a.csv").write_text('hadm_id,text\n1,"two\nlines"\n2,plain\n')
+    assert landing.land_notes(spark, str(source), target) == 1
+    assert landing.land_notes(spark, str(source), target) == 0
+    (source / "b.csv").write_text("hadm_id,text\n3,more\n")
+    assert landing.land_notes(spark, str(source), target) == 1
+    read = lambda: sorted((r.hadm_id, r.text) for r in landing.landed_notes(spark, target).collect())
+    assert read() == [(1, "two\nlines"), (2, "plain"), (3, "more")]
+    (source / "a.csv").write_text("hadm_id,text\n1,changed and longer than before\n")
+    assert landing.land_notes(spark, str(source), target) == 1
+    assert read() == [(1, "changed and longer than before"), (3, "more")]
+    # A run that failed before its manifest was written leaves rows that nobody sees.
+    spark.createDataFrame([(9, "lost", "x", "dead")], landing.NOTES).write.parquet(f"{target}/batches/dead")
+    assert read() == [(1, "changed and longer than before"), (3, "more")]
+    (source / "a.csv").unlink()
+    (source / "b.csv").unlink()
+    keep = spark.createDataFrame([(3,)], "hadm_id long")
+    assert [r.text for r in landing.landed_notes(spark, target, keep).collect()] == ["more"]
+    assert landing.landed_notes(spark, str(folder / "nothing")).count() == 0
 
 
 def test_multiline_notes(spark, folder):
