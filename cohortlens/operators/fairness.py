@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortlens.functions import demographics, stats
 from cohortlens.operators.cohort import first_rows
-from cohortlens.operators.evaluation import histogram, rank_metrics
-from cohortlens.operators.prefix import key_of, prefix_sums
+from cohortlens.operators.evaluation import clean_scores, histogram, rank_metrics
+from cohortlens.operators.prefix import hash_key, key_of, prefix_sums
 from cohortlens.session import materialise
 
 # Grouping name and its column.
@@ -107,107 +106,116 @@ def equal_opportunity(table: DataFrame, keys: Sequence[str] = ("model", "group")
 # ── bootstrap ───────────────────────────────────────────────────────────────
 
 
-BLOCK_CELLS = 2048
+#: Rows of a block of neighbouring scores; a score that more rows share is a block of its own.
+BLOCK_ROWS = 8192
+#: Replicates that share a row, each in columns of its own; with more, compiled code grows too long.
+CHUNK = 8
+# A row's uniforms are a Lehmer sequence (modulus 2^31 - 1, multiplier 48271) from its hash; whole numbers throughout.
+MODULUS, MULTIPLIER = 2**31 - 1, 48271
 
 
-def _draws(part: pd.DataFrame, replicates: int) -> np.ndarray:
-    """Poisson counts (cell, positives or negatives, replicate); each cell has its own counter-based stream."""
-    return np.stack(
-        [
-            np.random.Generator(np.random.Philox(key=int(s) & (2**64 - 1))).poisson([[p], [n]], size=(2, replicates))
-            for s, p, n in zip(part["_seed"], part["pos"], part["neg"])
-        ]
-    )
-
-
-def _slabs(part: pd.DataFrame, size: int = 256) -> Iterator[pd.DataFrame]:
-    for start in range(0, len(part), size):
-        yield part.iloc[start : start + size]
-
-
-def _block_totals(keys: list[str], replicates: int):
-    """Drawn positives and negatives of a block of cells: one array of replicates each."""
-
-    def totals(cells: pd.DataFrame) -> pd.DataFrame:
-        counts = sum(_draws(part, replicates).sum(axis=0) for part in _slabs(cells))
-        return cells.head(1)[[*keys, "_block"]].assign(tp=[counts[0]], fp=[counts[1]])
+def poisson_limits() -> list[int]:
+    """Largest uniform of each count 0, 1, ... of a Poisson variable of mean 1."""
+    out, share, term = [], 0.0, math.exp(-1.0)
+    for k in range(1, 13):
+        share += term
+        out.append(math.floor(MODULUS * share))
+        term /= k
+    return out
 
-    return totals
 
+def _draw(x: Column) -> Column:
+    """Poisson count of a uniform, by its inverse distribution function."""
+    limits = poisson_limits()
+    out = F.when(x <= limits[0], 0)
+    for k, limit in enumerate(limits[1:], 1):
+        out = out.when(x <= limit, k)
+    return out.otherwise(len(limits))
 
-def _block_precision(keys: list[str], replicates: int):
-    """Average-precision terms of a block, drawn again, on top of the counts of higher scores."""
 
-    def terms(cells: pd.DataFrame, ahead: pd.DataFrame) -> pd.DataFrame:
-        cells = cells.sort_values("score", ascending=False)
-        ahead = ahead.sort_values("_rep")
-        above = np.stack([ahead["tp"].to_numpy(), ahead["fp"].to_numpy()])
-        total = np.zeros(replicates)
-        for part in _slabs(cells):
-            counts = _draws(part, replicates)
-            seen = above + np.cumsum(counts, axis=0)
-            drawn = seen[:, 0] + seen[:, 1]
-            total += (counts[:, 0] * seen[:, 0] / np.maximum(drawn, 1)).sum(axis=0)
-            above = seen[-1]
-        first = cells.head(1)[keys]
-        out = pd.DataFrame({"_rep": np.arange(replicates), "_ap": total})
-        return first.merge(out, how="cross")
+def _blocks(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, score, _b, _order, _hot) per distinct score: the block it is in, ascending within a key by ``_order``."""
+    size = F.col("pos") + F.col("neg")
+    hist = histogram(scores, keys).withColumn("_rows", size).withColumn("_hot", (size > BLOCK_ROWS).cast("long"))
+    order = F.col("_hot_below") * 2**40 + F.col("_hot") * 2**39 + F.floor(F.col("_rows_below") / BLOCK_ROWS)
+    cells = prefix_sums(hist, keys, "score", ["_rows", "_hot"])
+    cells = materialise(cells.select(key_of(keys).alias("_key"), "score", F.col("_hot") == 1, order.alias("_order")).toDF("_key", "score", "_hot", "_order"), "cells")
+    blocks = materialise(cells.select("_key", "_order").distinct().withColumn("_b", F.monotonically_increasing_id()), "blocks")
+    return cells.join(blocks, ["_key", "_order"])
 
-    return terms
 
-
-def bootstrap_auprc(scores: DataFrame, keys: Sequence[str] = SUBGROUP, replicates: int = N_BOOTSTRAP, seed: int = SEED) -> DataFrame:
+def bootstrap_auprc(
+    scores: DataFrame, keys: Sequence[str] = SUBGROUP, replicates: int = N_BOOTSTRAP, seed: int = SEED, row: Sequence[str] = ("hadm_id",)
+) -> DataFrame:
     """Percentile interval of AUPRC per key from Poisson bootstrap replicates.
 
-    A cell of c rows gets Poisson(c) copies: the same law as Poisson(1) per
-    row at the cost of the distinct scores. Replicates with one class are
-    skipped; the interval ends are order statistics of the rest. Cells are cut
-    into blocks of neighbouring scores. A first pass draws and keeps block
-    totals only; their running sums go back to the blocks, where the same draws
-    are repeated for the precision terms. Draws are never shuffled.
+    Each row is taken Poisson(1) times; ``row`` tells the rows of a key apart.
+    Replicates with one class are skipped; the interval ends are order
+    statistics of the rest. Replicates are columns, ``CHUNK`` to a row. Scores
+    are cut into blocks. A first pass keeps block totals, whose running sums say
+    what lies above each block; the second repeats the same draws and adds the
+    running sums inside the block. Scores that many rows share need no second
+    pass, so no window holds more than two blocks' rows.
     """
-    keys = list(keys)
-    hist = histogram(scores, keys).withColumn("_one", F.lit(1))
-    cells = prefix_sums(hist, keys, "score", ["_one"])
-    cells = cells.select(
-        *keys,
-        F.floor(F.col("_one_below") / BLOCK_CELLS).alias("_block"),
-        "score",
-        "pos",
-        "neg",
-        F.xxhash64(F.lit(seed), *keys, "score").alias("_seed"),
-    )
-    cells = materialise(cells, "cells")
-    schema = ", ".join(f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in keys)
-    block = [*keys, "_block"]
-    totals = cells.groupBy(*block).applyInPandas(
-        _block_totals(keys, replicates), f"{schema}, _block bigint, tp array<bigint>, fp array<bigint>"
-    )
-    each = materialise(totals, "totals").select(*block, F.posexplode(F.arrays_zip("tp", "fp")).alias("_rep", "c"))
-    each = each.select(*block, "_rep", "c.tp", "c.fp")
-    higher = W.partitionBy(*keys, "_rep").orderBy(F.desc("_block")).rowsBetween(W.unboundedPreceding, -1)
-    ahead = each.select(
-        *block, "_rep", *[F.coalesce(F.sum(c).over(higher), F.lit(0)).cast("bigint").alias(c) for c in ("tp", "fp")]
-    )
-    terms = (
-        cells.groupBy(*block)
-        .cogroup(ahead.groupBy(*block))
-        .applyInPandas(_block_precision(keys, replicates), f"{schema}, _rep bigint, _ap double")
-    )
-    key = key_of([*keys, "_rep"])
-    whole = each.groupBy(*keys, "_rep").agg(F.sum("tp").alias("p"), F.sum("fp").alias("n"))
-    whole = whole.select(key.alias("_key"), "p", "n")
-    valid = terms.groupBy(*keys, "_rep").agg(F.sum("_ap").alias("_ap")).withColumn("_key", key).join(whole, "_key")
-    valid = valid.where("p > 0 AND n > 0").select(*keys, (F.col("_ap") / F.col("p")).alias("auprc"))
-    values = F.sort_array(F.collect_list("auprc"))  # at most ``replicates`` values per key
+    keys, chunks, spark = list(keys), -(-replicates // CHUNK), scores.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = _blocks(scores, keys)
+    start = F.conv(F.substring(hash_key([*keys, *row], seed), 1, 8), 16, 10).cast("long") % (MODULUS - 1) + 1
+    rows = clean_scores(scores).select(key_of(keys).alias("_key"), "score", (F.col("label") == 1).alias("_y"), start.alias("_x"))
+    rows = materialise(rows.join(cells, ["_key", "score"]).select("_b", "_hot", "score", "_y", "_x"), "rows")
+    numbers = [F.lit(c) for c in range(chunks)]
+    jumps = [F.lit(pow(MULTIPLIER, c * CHUNK, MODULUS)).cast("long") for c in range(chunks)]
+    steps = [F.lit(pow(MULTIPLIER, j + 1, MODULUS)).cast("long") for j in range(CHUNK)]
+    each_chunk = F.explode(F.array(*[F.struct(n.alias("c"), m.alias("m")) for n, m in zip(numbers, jumps, strict=True)]))
+
+    def exploded(part: DataFrame) -> DataFrame:
+        out = part.withColumn("_c", each_chunk)
+        return out.select((F.col("_b") * chunks + F.col("_c.c")).alias("_bc"), "score", "_y", (F.col("_x") * F.col("_c.m") % MODULUS).alias("_x"))
+
+    def drawn(part: DataFrame) -> DataFrame:
+        """Per replicate of the chunk: the positives (_p) and all rows (_a) that a row stands for."""
+        moved = part.select("_bc", "score", "_y", *[(F.col("_x") * m % MODULUS).cast("int").alias(f"_x{j}") for j, m in enumerate(steps)])
+        counts = moved.select("_bc", "score", "_y", *[_draw(F.col(f"_x{j}")).alias(f"_a{j}") for j in range(CHUNK)])
+        return counts.select("*", *[F.when(F.col("_y"), F.col(f"_a{j}")).otherwise(0).alias(f"_p{j}") for j in range(CHUNK)])
+
+    names = [f"{n}{j}" for j in range(CHUNK) for n in ("_p", "_a")]
+    sums = [F.sum(c).alias(c) for c in names]
+    totals = drawn(exploded(rows.repartition(tasks))).groupBy("_bc").agg(*sums)
+    blocks = cells.select("_key", "_order", "_b", "_hot").distinct()
+    totals = totals.withColumn("_b", F.floor(F.col("_bc") / chunks)).withColumn("_chunk", F.col("_bc") % chunks).join(blocks, "_b")
+    totals = materialise(totals, "totals")
+    higher = W.partitionBy("_key", "_chunk").orderBy(F.desc("_order")).rowsBetween(W.unboundedPreceding, -1)
+    ahead = totals.select("*", *[F.coalesce(F.sum(c).over(higher), F.lit(0)).alias(f"{c}a") for c in names])
+    ahead = materialise(ahead, "ahead")
+
+    def term(j: int, p: Column, more: str) -> Column:
+        """Precision at a place times the positives drawn there."""
+        seen = F.col(f"_a{j}a") + F.col(f"_a{j}{more}")
+        return F.when(p > 0, p * (F.col(f"_p{j}a") + F.col(f"_p{j}{more}")) / seen).otherwise(0.0)
+
+    # The narrow rows are sorted before anything is drawn; rows of one score are peers and share their sums.
+    inside = W.partitionBy("_bc").orderBy(F.desc("score"))
+    sorted_rows = exploded(rows.where("NOT _hot")).repartition(tasks, "_bc").sortWithinPartitions("_bc", F.desc("score"))
+    running = drawn(sorted_rows).select("_bc", *[f"_p{j}" for j in range(CHUNK)], *[F.sum(c).over(inside).alias(f"{c}r") for c in names])
+    running = running.join(ahead.select("_bc", *[f"{c}a" for c in names]), "_bc")
+    terms = running.groupBy("_bc").agg(*[F.sum(term(j, F.col(f"_p{j}"), "r")).alias(f"_s{j}") for j in range(CHUNK)])
+    own = ahead.where("_hot").select("_bc", *[term(j, F.col(f"_p{j}"), "").alias(f"_s{j}") for j in range(CHUNK)])
+    whole = totals.join(terms.unionByName(own), "_bc")
+
+    def replicate(j: int) -> Column:
+        p, n = F.sum(f"_p{j}"), F.sum(f"_a{j}") - F.sum(f"_p{j}")
+        return F.when((p > 0) & (n > 0) & (F.col("_chunk") * CHUNK + j < replicates), F.sum(f"_s{j}") / p)
+
+    each = whole.groupBy("_key", "_chunk").agg(F.array(*[replicate(j) for j in range(CHUNK)]).alias("_v"))
+    values = F.sort_array(F.filter(F.flatten(F.collect_list("_v")), lambda v: v.isNotNull()))  # ``replicates`` values per key
+    bounds = each.groupBy("_key").agg(values.alias("_v"))
     size = F.size("_v")
 
     def place(share: float) -> Column:
         return F.get(F.col("_v"), F.floor(size * F.lit(share)).cast("int"))
 
-    bounds = valid.groupBy(*keys).agg(values.alias("_v"))
-    return bounds.select(
-        *keys, size.alias("n_valid"), place(0.025).alias("auprc_ci_lo"), place(0.975).alias("auprc_ci_hi")
+    return bounds.where(size > 0).select(
+        *[F.col(f"_key.{k}") for k in keys], size.cast("long").alias("n_valid"), place(0.025).alias("auprc_ci_lo"), place(0.975).alias("auprc_ci_hi")
     )
 
 

@@ -419,12 +419,30 @@ def equal_opportunity_difference(s: Study):
     return fairness.equal_opportunity(fairness.fairness_table(s.decided_demo))
 
 
-@query("bootstrap_intervals", "model:s group:s value:s n_valid:l auprc_ci_lo:d auprc_ci_hi:d", "EV22")
+_LIMITS = fairness.poisson_limits()
+_POISSON = "CASE " + " ".join(f"WHEN x <= {limit} THEN {k}" for k, limit in enumerate(_LIMITS)) + f" ELSE {len(_LIMITS)} END"
+_BOOT = f"""WITH RECURSIVE jumps(r, m) AS (
+        SELECT 0, {fairness.MULTIPLIER}::BIGINT UNION ALL SELECT r + 1, m * {fairness.MULTIPLIER} % {fairness.MODULUS} FROM jumps WHERE r + 1 < {fairness.N_BOOTSTRAP}),
+    started AS (
+        SELECT {_GROUP_KEYS}, score, label, 1 + ('0x' || substr(md5('42|' || model || '|' || "group" || '|' || value || '|' || hadm_id), 1, 8))::BIGINT % {fairness.MODULUS - 1} AS x0
+        FROM grouped),
+    drawn AS (SELECT {_GROUP_KEYS}, r, score, label, {_POISSON} AS d FROM (SELECT *, x0 * m % {fairness.MODULUS} AS x FROM started CROSS JOIN jumps)),
+    cells AS (SELECT {_GROUP_KEYS}, r, score, sum(d * label) AS pos, sum(d * (1 - label)) AS neg FROM drawn WHERE d > 0 GROUP BY ALL),
+    ranked AS (SELECT *, sum(pos) OVER w AS tp, sum(pos + neg) OVER w AS seen FROM cells WINDOW w AS (PARTITION BY {_GROUP_KEYS}, r ORDER BY score DESC)),
+    replicated AS (SELECT {_GROUP_KEYS}, r, sum(pos * tp / seen::DOUBLE) / sum(pos) AS auprc FROM ranked GROUP BY ALL HAVING sum(pos) > 0 AND sum(neg) > 0)
+    SELECT {_GROUP_KEYS}, len(v) AS n_valid, v[floor(len(v) * 0.025e0)::INT + 1] AS auprc_ci_lo, v[floor(len(v) * 0.975e0)::INT + 1] AS auprc_ci_hi
+    FROM (SELECT {_GROUP_KEYS}, list_sort(list(auprc)) AS v FROM replicated GROUP BY ALL)"""
+
+
+@query("bootstrap_intervals", "model:s group:s value:s n_valid:l auprc_ci_lo:d auprc_ci_hi:d", "EV22", _BOOT)
 def bootstrap_intervals(s: Study):
     return fairness.bootstrap_auprc(fairness.by_subgroup(s.decided_demo))
 
 
-@query("fairness_with_intervals", "model:s group:s value:s auprc:d auprc_ci_lo:d auprc_ci_hi:d auprc_ci_width:d auprc_reliable:l", "EV21 EV22")
+@query("fairness_with_intervals", "model:s group:s value:s auprc:d auprc_ci_lo:d auprc_ci_hi:d auprc_ci_width:d auprc_reliable:l", "EV21 EV22",
+       f"""SELECT {_GROUP_KEYS}, auprc, auprc_ci_lo, auprc_ci_hi, auprc_ci_hi - auprc_ci_lo AS auprc_ci_width,
+                  coalesce(auprc_ci_hi - auprc_ci_lo < {fairness.RELIABLE_WIDTH}e0, false) AS auprc_reliable
+           FROM ({_FAIR}) LEFT JOIN ({_BOOT}) USING ({_GROUP_KEYS})""")
 def fairness_with_intervals(s: Study):
     intervals = fairness.bootstrap_auprc(fairness.by_subgroup(s.decided_demo))
     return fairness.with_intervals(fairness.fairness_table(s.decided_demo), intervals)

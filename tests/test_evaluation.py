@@ -217,7 +217,7 @@ def test_pu_risk_falls_back_on_one_class(spark):
 def test_bootstrap_does_not_depend_on_the_blocks(scores, monkeypatch):
     rows = scores.where("model <> 'flat'").withColumn("model", F.when(F.col("model") != "ties", F.col("model")))
     whole = fairness.bootstrap_auprc(rows, ["model"], 50).orderBy("model").collect()
-    monkeypatch.setattr(fairness, "BLOCK_CELLS", 7)
+    monkeypatch.setattr(fairness, "BLOCK_ROWS", 7)  # many blocks, and tied scores as blocks of their own
     parts = fairness.bootstrap_auprc(rows, ["model"], 50).orderBy("model").collect()
     assert {r.model for r in whole} >= {None} and [r.n_valid for r in whole] == [r.n_valid for r in parts]
     for a, b in zip(whole, parts):
