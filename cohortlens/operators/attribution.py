@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortlens.functions import text as tx
-from cohortlens.operators.prefix import percentiles
+from cohortlens.operators.prefix import join_parameters, percentiles
 
 UNKNOWN = "unknown"
 
@@ -80,10 +80,10 @@ def top_by_mean(terms: DataFrame, term: str = "word", k: int = 50) -> DataFrame:
     return terms.orderBy(F.col("mean_attribution").desc(), term).limit(k)
 
 
-def top_decile(rows: DataFrame, score: str = "score", level: float = 0.9) -> DataFrame:
-    """Rows at or above the exact percentile of their score."""
-    cut = percentiles(rows.withColumn("_k", F.lit(0)), ["_k"], score, {"_cut": level})
-    return rows.where(F.col(score) >= cut.select("_cut").scalar())
+def top_decile(rows: DataFrame, score: str = "score", level: float = 0.9, keys: Sequence[str] = ("model",)) -> DataFrame:
+    """Rows at or above the exact percentile of their score within their key."""
+    cut = percentiles(rows, list(keys), score, {"_cut": level})
+    return join_parameters(rows, cut, list(keys)).where(F.col(score) >= F.col("_cut")).drop("_cut")
 
 
 def windows(notes: DataFrame, text: str, length: int, stride: int, key: Sequence[str] = ("hadm_id",)) -> DataFrame:

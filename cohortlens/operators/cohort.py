@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortlens.functions import codes, demographics
+from cohortlens.session import materialise
 
 # Group labels.
 POSITIVE, PROXY, UNLABELED = "ptsd_pos", "proxy", "unlabeled"
@@ -329,24 +330,23 @@ def group_summary(extract: DataFrame) -> DataFrame:
     )
 
 
-def reconcile_counts(actual: DataFrame, expected: dict[str, int]) -> DataFrame:
-    """Actual against expected counts per group with an OK/MISMATCH status."""
-    table = F.create_map(*[c for g, n in expected.items() for c in (F.lit(g), F.lit(n).cast("long"))])
-    wanted = F.try_element_at(table, F.col("group"))
-    return actual.select(
-        "group", F.col("n").cast("long").alias("actual"), wanted.alias("expected")
-    ).withColumn("status", F.when(F.col("actual") == F.col("expected"), "OK").otherwise("MISMATCH"))
+def reconcile_counts(actual: DataFrame, expected: DataFrame) -> DataFrame:
+    """Actual against expected counts (group, n) with an OK/MISMATCH status; a group that only one side has is a mismatch."""
+    wanted = expected.select(F.col("group").alias("_g"), F.col("n").cast("long").alias("expected"))
+    found = actual.select("group", F.col("n").cast("long").alias("actual"))
+    joined = found.join(wanted, F.col("group").eqNullSafe(F.col("_g")), "full")
+    same = F.coalesce(F.col("actual") == F.col("expected"), F.lit(False))
+    return joined.select(F.coalesce("group", "_g").alias("group"), "actual", "expected", F.when(same, "OK").otherwise("MISMATCH").alias("status"))
 
 
 def value_profile(df: DataFrame, columns: dict[str, int | None]) -> DataFrame:
-    """Sorted distinct values per column, at most N each where N is given."""
-    parts = []
+    """Sorted distinct values per column, at most N each where N is given; the rows are read once."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns]))
+    distinct = df.select(cells.alias("c")).select("c.*").where("value IS NOT NULL").distinct()
+    distinct = materialise(distinct, "values")
+    out = None
     for name, limit in columns.items():
-        values = df.where(F.col(name).isNotNull()).select(F.col(name).alias("value")).distinct()
-        if limit is not None:
-            values = values.orderBy("value").limit(limit)
-        parts.append(values.select(F.lit(name).alias("column_name"), "value"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+        part = distinct.where(F.col("column_name") == name)
+        part = part if limit is None else part.orderBy("value").limit(limit)
+        out = part if out is None else out.unionByName(part)
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions import codes, demographics
+from cohortlens.functions import codes, demographics, text
 from cohortlens.operators import cohort, sampling
 
 
@@ -44,6 +44,22 @@ def control_index(diagnoses: DataFrame, admissions: DataFrame, controls: DataFra
     return cohort.first_rows(timed, "subject_id", "admittime", "hadm_id", ["hadm_id", "admittime"])
 
 
+def hard_control_corpus(corpus: DataFrame, index: DataFrame, discharge: DataFrame) -> DataFrame:
+    """subject_id, hadm_id, label, note_text and split of positives (1) and controls (0).
+
+    Positives bring the notes of ``corpus``; a control brings the joined sections of
+    its note at ``index`` (subject_id, hadm_id), if it has one. Subjects are split
+    80/10/10 within their label.
+    """
+    columns = ["subject_id", "hadm_id", "label", "note_text"]
+    noted = discharge.join(index, "hadm_id")
+    noted = text.with_sections(noted, "text").withColumn("note_text", text.joined_sections(F.col("sections")))
+    noted = noted.where("note_text IS NOT NULL").withColumn("label", F.lit(0))
+    rows = corpus.where("label = 1").select(*columns).unionByName(noted.select(*columns))
+    labels = rows.groupBy("subject_id").agg(F.min("label").alias("label"))
+    return sampling.assign_rows(rows, sampling.stratified_split(labels), "subject_id")
+
+
 def external_groups(corpus: DataFrame, proxies: DataFrame, n_unlabeled: int = 500, seed: int = 42) -> DataFrame:
     """Proxy notes (label 1) against one note each of sampled unlabeled subjects (label 0)."""
     pool = sampling.one_row_per_key(

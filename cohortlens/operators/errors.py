@@ -146,10 +146,10 @@ def trauma_term_share(decided: DataFrame, text: str = "note_text", substrings: S
     )
 
 
-def formatted_records(sample: DataFrame) -> DataFrame:
+def formatted_records(sample: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """One text block per sampled row: a header of fields, then the note."""
     line = "-" * 70
     fields = ["subject_id", "hadm_id", "score", "label", "gender", "age_group", "race_cat"]
     head = [F.concat(F.lit(f"  {f + ':':<16}"), F.coalesce(F.col(f).cast("string"), F.lit("Unknown"))) for f in fields]
     size = F.concat(F.lit(f"  {'note_length:':<16}"), F.length("note_text").cast("string"), F.lit(" chars"))
-    return sample.select(F.concat_ws("\n", F.lit(line), *head, size, F.lit(line), F.lit(""), "note_text", F.lit("")).alias("value"))
+    return sample.select(*keys, F.concat_ws("\n", F.lit(line), *head, size, F.lit(line), F.lit(""), "note_text", F.lit("")).alias("value"))

@@ -140,6 +140,12 @@ def fixed_sample(rows: DataFrame, n: int, key: Sequence[str], seed: int = 42) ->
     return rows.withColumn("_h", hash_key(key, seed)).orderBy("_h", *key).limit(n).drop("_h")
 
 
+def sample_per_group(rows: DataFrame, groups: Sequence[str], n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
+    """Up to ``n`` rows of each group in hash order; no group is sorted in one task."""
+    ranked = hash_ranks(rows, groups, key, seed)
+    return ranked.where(F.col("hash_rank") <= n).drop("hash_rank", "stratum_size")
+
+
 def one_row_per_key(rows: DataFrame, key: str, order: str, columns: Sequence[str]) -> DataFrame:
     """The row with the smallest ``order`` of each key, without a window."""
     best = rows.groupBy(key).agg(F.min_by(F.struct(*columns), order).alias("_b"))

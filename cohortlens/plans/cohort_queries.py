@@ -301,13 +301,25 @@ def group_summary(s: Study):
     return cohort.group_summary(s.extract)
 
 
-@query("count_reconciliation", "group:s actual:l expected:l status:s", "AGG12",
-       """SELECT g."group", actual, expected, CASE WHEN actual = expected THEN 'OK' ELSE 'MISMATCH' END AS status
-          FROM (SELECT "group", count(*) AS actual FROM members GROUP BY 1) g
-          JOIN (VALUES ('ptsd_pos', 259), ('proxy', 163), ('unlabeled', 17133)) e("group", expected) ON g."group" = e."group\"""")
+@query("count_reconciliation", "group:s actual:l expected:l status:s", "AGG12 SMP1",
+       """WITH wanted AS (
+              SELECT 'ptsd_pos' AS "group", count(*) AS n FROM positives UNION ALL SELECT 'proxy', count(*) FROM proxies
+              UNION ALL SELECT 'unlabeled', sum(least(needed, available)) FROM (
+                  SELECT d.needed, count(c.subject_id) AS available FROM demand d LEFT JOIN candidates c ON c.decade = d.decade AND c.gender = d.gender
+                  GROUP BY d.decade, d.gender, d.needed))
+          SELECT g."group", actual, n AS expected, CASE WHEN actual = n THEN 'OK' ELSE 'MISMATCH' END AS status
+          FROM (SELECT "group", count(*) AS actual FROM members GROUP BY 1) g JOIN wanted e ON g."group" = e."group" """)
 def count_reconciliation(s: Study):
+    """Group sizes against what the code sets and the matching demand let expect."""
     actual = s.members.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    return cohort.reconcile_counts(actual, {"ptsd_pos": 259, "proxy": 163, "unlabeled": 17133})
+    size = F.count(F.lit(1)).alias("n")
+    taken = sampling.match_shortfall(s.cases, s.candidates, 3).agg(F.coalesce(F.sum("taken"), F.lit(0)).alias("n"))
+    parts = ((cohort.POSITIVE, s.positives.agg(size)), (cohort.PROXY, s.proxies.agg(size)), (cohort.UNLABELED, taken))
+    expected = None
+    for name, part in parts:
+        part = part.select(F.lit(name).alias("group"), "n")
+        expected = part if expected is None else expected.unionByName(part)
+    return cohort.reconcile_counts(actual, expected)
 
 
 @query("category_values", "column_name:s value:s", "AGG13",
@@ -441,6 +453,28 @@ def control_index_admissions(s: Study):
     return controls.control_index(s.diagnoses, s.admissions, _control_parts(s))
 
 
+_CONTROL_INDEX = f"""SELECT subject_id, hadm_id FROM (
+        SELECT c.subject_id, c.hadm_id, row_number() OVER (PARTITION BY c.subject_id ORDER BY a.admittime NULLS LAST, c.hadm_id) AS rn
+        FROM (SELECT DISTINCT subject_id, hadm_id FROM coded WHERE {_CONTROL}) c
+        JOIN ({_MATCHED_CONTROLS}) m ON c.subject_id = m.subject_id LEFT JOIN admissions a ON a.hadm_id = c.hadm_id) WHERE rn = 1"""
+
+
+def hard_control_rows(s: Study):
+    """Positives' notes against the notes of matched controls at their control admission, split 80/10/10 by subject."""
+    index = controls.control_index(s.diagnoses, s.admissions, _control_parts(s)).select("subject_id", "hadm_id")
+    return materialise(controls.hard_control_corpus(s.corpus, index, s.discharge), "hard-controls")
+
+
+@query("hard_control_corpus", "subject_id:l hadm_id:l label:l split:s n_chars:l", "ML9 SMP2 TXT1 SET4",
+       f"""WITH noted AS (
+               SELECT subject_id, hadm_id, 1 AS label, note_text FROM corpus WHERE label = 1
+               UNION ALL SELECT i.subject_id, i.hadm_id, 0, j.note_text FROM ({_CONTROL_INDEX}) i JOIN all_joined j ON j.hadm_id = i.hadm_id),
+           parts AS ({_split_sql("(SELECT subject_id, min(label) AS label FROM noted GROUP BY 1)", [("train", 0.8), ("val", 0.1)], "test")})
+           SELECT n.subject_id, hadm_id, n.label, split, length(note_text) AS n_chars FROM noted n JOIN parts p ON p.subject_id = n.subject_id""")
+def hard_control_corpus(s: Study):
+    return hard_control_rows(s).withColumn("n_chars", F.length("note_text"))
+
+
 # ── features and percentiles ────────────────────────────────────────────────
 
 _FEATURE_SQL = f"""

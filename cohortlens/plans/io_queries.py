@@ -128,20 +128,23 @@ def metric_csv(s: Study):
     return readers.raw_csv(s.spark, path)
 
 
-@query("record_dump", "n_records:l n_note_chars:l", "SNK4 SMP5",
-       """SELECT count(*) AS n_records, sum(length(x.text)) AS n_note_chars FROM (
-              SELECT hadm_id FROM decided WHERE model = 'hash' AND predicted = 0 AND label = 1
-              ORDER BY md5('42|' || subject_id || '|' || hadm_id), subject_id, hadm_id LIMIT 25) s JOIN documents x ON x.doc_id = s.hadm_id""")
+@query("record_dump", "model:s error_side:s n_records:l n_note_chars:l", "SNK4 SMP5 TOP4",
+       """SELECT model, error_side, count(*) AS n_records, sum(length(x.text)) AS n_note_chars FROM (
+              SELECT *, row_number() OVER (PARTITION BY model, error_side ORDER BY md5('42|' || subject_id || '|' || hadm_id), subject_id, hadm_id) AS rn
+              FROM (SELECT *, CASE WHEN label = 1 THEN 'FN' ELSE 'FP' END AS error_side FROM decided WHERE predicted <> label)) s
+          JOIN documents x ON x.doc_id = s.hadm_id WHERE rn <= 25 GROUP BY model, error_side""")
 def record_dump(s: Study):
+    """Both error sides of every model: 25 annotated notes each, one folder per model and side."""
     path = _path(s, "records")
     docs = standins.table(s.spark, s.sf_dir, "documents").select(F.col("doc_id").alias("hadm_id"), F.col("text").alias("note_text"))
-    missed = s.decided_demo.where("model = 'hash' AND predicted = 0 AND label = 1")
-    sample = sampling.fixed_sample(missed, 25, ["subject_id", "hadm_id"]).join(docs, "hadm_id")
-    writers.write_records(errors.formatted_records(sample), path)
+    wrong = s.decided_demo.where("predicted <> label").withColumn("error_side", F.when(F.col("label") == 1, "FN").otherwise("FP"))
+    sides = ["model", "error_side"]
+    sample = sampling.sample_per_group(wrong, sides, 25, ["subject_id", "hadm_id"]).join(docs, "hadm_id")
+    writers.write_records(errors.formatted_records(sample, sides), path, sides)
     text = s.spark.read.text(path, wholetext=True)
     size = F.regexp_extract_all("value", F.lit(r"(?m)^  note_length:\s+(\d+) chars$"), 1)
-    each = text.select(F.explode(size).alias("n"))
-    return each.agg(F.count(F.lit(1)).alias("n_records"), F.sum(F.col("n").cast("long")).alias("n_note_chars"))
+    each = text.select(*sides, F.explode(size).alias("n"))
+    return each.groupBy(*sides).agg(F.count(F.lit(1)).alias("n_records"), F.sum(F.col("n").cast("long")).alias("n_note_chars"))
 
 
 @query("split_manifest", "split:s n:l", "SNK3 SMP2",

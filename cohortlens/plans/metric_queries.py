@@ -20,7 +20,6 @@ from cohortlens.operators import (
 )
 from cohortlens.operators.attribution import top_decile
 from cohortlens.operators.prefix import join_parameters
-from cohortlens.operators.sampling import fixed_sample
 from cohortlens.plans import sql as sq
 from cohortlens.plans import standins
 from cohortlens.plans.cohort_queries import RANDOM_SPLIT, TEMPORAL_SPLIT, flagged_subjects
@@ -740,10 +739,10 @@ def sweep_leaderboard(s: Study):
 
 
 @query("top_decile_rows", "model:s hadm_id:l score:d", "WIN6",
-       """SELECT model, hadm_id, score FROM scores WHERE model = 'hash' AND label = 1
-          AND score >= (SELECT quantile_cont(score, 0.9) FROM scores WHERE model = 'hash' AND label = 1)""")
+       """SELECT s.model, hadm_id, score FROM scores s
+          JOIN (SELECT model, quantile_cont(score, 0.9) AS cut FROM scores WHERE label = 1 GROUP BY model) c ON c.model = s.model WHERE label = 1 AND score >= cut""")
 def top_decile_rows(s: Study):
-    return top_decile(s.scores.where("model = 'hash' AND label = 1"))
+    return top_decile(s.scores.where("label = 1"))
 
 
 @query("top_unlabeled_rows", "patient_number:l subject_id:l hadm_id:l model_score:d reviewer_rating:s reviewer_notes:s", "TOP1 SNK5",
@@ -754,9 +753,13 @@ def top_unlabeled_rows(s: Study):
     return review_form(s.scores.where("model = 'hash' AND label = 0"))
 
 
-@query("sampled_errors_sorted", "hadm_id:l score:d", "TOP4 SMP5",
-       """SELECT hadm_id, score FROM (SELECT * FROM decided WHERE model = 'hash' AND predicted = 1 AND label = 0
-              ORDER BY md5('42|' || subject_id || '|' || hadm_id), subject_id, hadm_id LIMIT 25) ORDER BY score DESC""")
+@query("sampled_errors_sorted", "model:s error_side:s hadm_id:l score:d", "TOP4 SMP5",
+       """SELECT model, error_side, hadm_id, score FROM (
+              SELECT *, row_number() OVER (PARTITION BY model, error_side ORDER BY md5('42|' || subject_id || '|' || hadm_id), subject_id, hadm_id) AS rn
+              FROM (SELECT *, CASE WHEN label = 1 THEN 'FN' ELSE 'FP' END AS error_side FROM decided WHERE predicted <> label)) WHERE rn <= 25""")
 def sampled_errors_sorted(s: Study):
-    wrong = s.decided.where("model = 'hash' AND predicted = 1 AND label = 0")
-    return fixed_sample(wrong, 25, ["subject_id", "hadm_id"]).orderBy(F.col("score").desc(), "hadm_id")
+    """Both error sides of every model, most confident errors first."""
+    wrong = s.decided.where("predicted <> label").withColumn("error_side", F.when(F.col("label") == 1, "FN").otherwise("FP"))
+    sample = sampling.sample_per_group(wrong, ["model", "error_side"], 25, ["subject_id", "hadm_id"])
+    gap = F.when(F.col("label") == 1, F.col("score")).otherwise(-F.col("score"))
+    return sample.orderBy("model", "error_side", gap, "hadm_id")

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlens.functions import codes
 from cohortlens.operators import calibration, descent, errors, evaluation, features, models, newton, sampling
-from cohortlens.operators import cohort as ch
 from cohortlens.plans import sql as sq
 from cohortlens.plans import standins
-from cohortlens.plans.cohort_queries import _FEATURE_SQL, _split_sql, cohort_features
+from cohortlens.plans.cohort_queries import _FEATURE_SQL, _split_sql, cohort_features, hard_control_rows
 from cohortlens.plans.metric_queries import rank_sql
 from cohortlens.plans.registry import query
 from cohortlens.plans.study import Study
@@ -135,6 +133,10 @@ def _text_rows(s: Study):
 def text_classifier(s: Study):
     """Term weights into a balanced linear model; one row per held-out split."""
     _, rows, words = _text_rows(s)
+    return _text_fit(rows, words)
+
+
+def _text_fit(rows, words):
     train = models.balanced(rows.where("split = 'train'"))
     train = materialise(train.select(F.col("label").cast("double").alias("y"), F.col("weight").alias("w"), "idx", "val"), "train")
     fitted = descent.fit_sparse_logistic(train, words.count())
@@ -214,16 +216,12 @@ def linear_attribution(s: Study):
     )
 
 
-@query("control_classifier", "c:d n:l n_pos:l auprc:d auroc:d", "ML9 AGG15")
+@query("control_classifier", "model:s n:l n_pos:l auprc:d auroc:d", "ML9 AGG15 TXT16")
 def control_classifier(s: Study):
-    """Positives against subjects with a control code, class-weighted linear model."""
-    coded = ch.coded_rows(s.diagnoses)
-    rows = _split_features(s)
-    psych = ch.keys_where(coded, codes.has_prefix(F.col("icd_code"), codes.CONTROL_PREFIXES), "subject_id")
-    kept = rows.where("label = 1").unionByName(ch.keep_members(rows.where("label = 0"), psych, "subject_id"))
-    kept = materialise(kept, "controls")
-    _, results = models.sweep_c(kept.where("split = 'train'"), kept.where("split <> 'train'"), _COLUMNS, [1.0])
-    return results
+    """Term weights of positives against matched controls, balanced linear model; one row per held-out split."""
+    rows = hard_control_rows(s)
+    vectors, words = models.text_vectors(rows, "hadm_id", "note_text")
+    return _text_fit(rows.join(vectors, "hadm_id"), words)
 
 
 @query("scored_error_groups", "error_group:s n:l mean_score:d", "ML5 EV28",

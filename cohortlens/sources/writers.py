@@ -39,9 +39,9 @@ def write_split_manifest(splits: DataFrame, path: str, mode: str, key: str = "su
     splits.select("split", key, F.lit(mode).alias("split_mode")).write.partitionBy("split").json(path)
 
 
-def write_records(blocks: DataFrame, path: str) -> None:
-    """One formatted text block per row, column ``value``."""
-    blocks.select("value").write.option("lineSep", "\n").text(path)
+def write_records(blocks: DataFrame, path: str, by: Sequence[str] = ()) -> None:
+    """One formatted text block per row, column ``value``; a folder per value of ``by``."""
+    blocks.select(*by, "value").write.option("lineSep", "\n").partitionBy(*by).text(path)
 
 
 def review_form(scores: DataFrame, n: int = 50, key: Sequence[str] = ("subject_id", "hadm_id")) -> DataFrame:
