@@ -19,6 +19,8 @@ DEFAULT = [
     "admission_columns", "drug_band_join", "characteristics_table", "stratified_split", "note_sections",
     "training_corpus", "lexicon_scores", "rank_metrics", "equal_frequency_bins", "decision_curves",
     "model_pair_tests", "top_quintile_overlap", "fairness_table", "structured_features", "csv_notes",
+    "logistic_c_sweep", "subject_propensities", "platt_scaling", "text_term_attributions", "mcnemar_p_values", "rank_sum_p_values",
+    "bootstrap_intervals", "malformed_rows", "landed_notes", "hard_control_corpus", "record_dump", "count_reconciliation",
 ]
 NAMES = list(entry.oracle_sql()) if os.environ.get("CHECK_ALL") else DEFAULT
 
