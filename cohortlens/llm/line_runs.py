@@ -59,11 +59,13 @@ class Runs:
         self.spark, self.fanout = spark, fanout
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
+        self.paths: dict[str, str] = {}
 
     def _write(self, keys: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
         path = scratch_path(self.spark, "line-run")
         keys.write.format("parquet").bucketBy(self.buckets, "hi", "lo").sortBy("hi", "lo").option("path", path).saveAsTable(name)
+        self.paths[name] = path
         return name
 
     def add(self, lines: DataFrame) -> DataFrame:
@@ -79,7 +81,10 @@ class Runs:
         owner = F.coalesce(*known, F.col("owner"))
         fresh = F.coalesce(*known).isNull() if known else F.lit(True)
         name = self._write(keys.select("hi", "lo", owner.alias("owner"), "n", fresh.alias("fresh")))
-        shared = self.spark.table(name).where("not fresh or n > 1").select("hi", "lo", "owner")
+        # Read by its path and not by its buckets: both sides of the join are exchanged, so adaptive
+        # execution splits the lines of a key that very many documents have.
+        run = self.spark.read.schema("hi long, lo long, owner long, n long, fresh boolean").parquet(self.paths[name])
+        shared = run.where("not fresh or n > 1").select("hi", "lo", "owner")
         dropped = materialise(lines.join(shared, ["hi", "lo"]).where("ord > owner").select("ord", "mark", "line"), "dropped")
         self._place(name, 0)
         return dropped
@@ -127,16 +132,19 @@ def deduplicate_lines(docs: DataFrame, least: int = LEAST_CODE_POINTS, batches:
     mark = F.xxhash64("doc_id", "text")
     facts = docs.select(_ord().alias("ord"), mark.alias("mark"), "text")
     schema = "ord long, mark long, hi long, lo long, line int"
-    cuts = [c for c in docs.select(_ord().cast("double").alias("o")).approxQuantile("o", [i / batches for i in range(1, batches)], 0.01)]
+    shares = [i / batches for i in range(1, batches)]
+    cuts = docs.select(_ord().cast("double").alias("o")).approxQuantile("o", shares, 0.01) if shares else []
     number = sum(((F.col("ord") > F.lit(c)).cast("int") for c in cuts), F.lit(0))
     path = scratch_path(spark, "lines")
     arrow_map(facts, _keys(least), schema).withColumn("batch", number).write.partitionBy("batch").parquet(path)
     lines = spark.read.schema(f"{schema}, batch int").parquet(path)
     runs, dropped = Runs(spark, fanout), None
-    for number in range(len(cuts) + 1):
-        found = runs.add(lines.where(F.col("batch") == number).drop("batch"))
-        dropped = found if dropped is None else dropped.union(found)
-    runs.close()
+    try:
+        for number in range(len(cuts) + 1):
+            found = runs.add(lines.where(F.col("batch") == number).drop("batch"))
+            dropped = found if dropped is None else dropped.union(found)
+    finally:
+        runs.close()
     per_row = dropped.groupBy("ord", "mark").agg(F.collect_set("line").alias("_gone"))
     per_row = per_row.select(F.col("ord").alias("_o"), F.col("mark").alias("_m"), "_gone")
     rows = docs.select(F.struct("*").alias("row"), _ord().alias("_ord"), mark.alias("_mark"))
