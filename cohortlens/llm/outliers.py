@@ -139,10 +139,21 @@ def _with_distance(rows: DataFrame, p: int) -> DataFrame:
     return rows.withColumn("d2", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(p)), F.lit(0.0)))
 
 
+_HALF = 20  # products are summed in two parts, so that no number of rows makes a sum too long for 64 bits
+
+
 def _sums(rows: DataFrame, keys: list[str], p: int) -> DataFrame:
+    """Count, sums and sums of products per key; the sums are exact before they become doubles."""
+    pairs = [(i, j) for i in range(p) for j in range(i + 1)]
     parts = [F.sum(f"x{i}").alias(f"s{i}") for i in range(p)]
-    parts += [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i in range(p) for j in range(i + 1)]
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *parts)
+    for i, j in pairs:
+        product = F.col(f"x{i}") * F.col(f"x{j}")
+        parts.append(F.sum(F.shiftright(product, _HALF)).alias(f"high{i}{j}"))
+        parts.append(F.sum(product.bitwiseAND(F.lit((1 << _HALF) - 1))).alias(f"low{i}{j}"))
+    wide = lambda c: F.col(c).cast("decimal(28,0)")
+    whole = [(wide(f"high{i}{j}") * F.lit(1 << _HALF) + wide(f"low{i}{j}")).cast("double").alias(f"s{i}{j}") for i, j in pairs]
+    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *parts)
+    return sums.select(*keys, "n", *[f"s{i}" for i in range(p)], *whole)
 
 
 def judge(docs: DataFrame, rules: Rules | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
