@@ -7,16 +7,23 @@ to a 64-bit band, serve as band keys and as a Jaccard estimator whose expected
 chance collisions are taken off.
 
 1. Documents with equal shingle sets are one class; classes are compared.
-2. Each band's bucket links its classes to its smallest one if the estimate
+2. Empty registers borrow from others in a fixed order before they are banded, so
+   that a band's key has the bits of four registers in short texts too. Sets of up
+   to ``SHORT`` shingles are keyed by shingles instead: of each set the smallest
+   hashes, as many as two linked sets cannot both lack. Sets that such a set may
+   be linked with have both kinds of key.
+3. Each key's bucket links its classes to its smallest one if the estimate
    allows. Buckets in which some class fails that are compared in full, in
    tiles, so that no pair of a bucket is missed whatever its size.
-3. Classes linked so far form families. Each family's full sets are compared
+4. Classes linked so far form families. Each family's full sets are compared
    in tiles of bounded size; only links that hold on the full sets stay, and a
    tile gives a spanning forest of them, never all its pairs.
-4. Components of the links give the groups.
+5. Components of the links give the groups.
 
 A pair at the threshold itself escapes all bands with probability 3e-7 and the
-estimate with 3e-7; both fall fast above it.
+estimate with 3e-7; both fall fast above it. Pairs with a set of up to ``SHORT``
+shingles escape no key, and the estimate only where several of a few shingles
+share one register.
 """
 
 from __future__ import annotations
@@ -36,22 +43,38 @@ from cohortlens.llm.components import Forest, components
 from cohortlens.llm.shingles import shingle_sets, slices, utf8
 
 BUCKETS, BAND, MANTISSA = 160, 4, 10
+BANDS = BUCKETS // BAND
+#: Sets of so many shingles are keyed by shingles.
+SHORT = 32
 #: Text that is sketched at a time, shingles in a tile of full sets, registers in a tile of sketches.
 SLICE_BYTES, TILE_SHINGLES, TILE_CLASSES = 2 << 20, 1_500_000, 4096
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Shingle width, least Jaccard in hundredths, and how many deviations below it an estimate may lie."""
+    """Shingle width, least Jaccard in hundredths, and how many deviations below it an estimate may lie.
+
+    Shingles of a short set that share a register count once: its estimates may lie twice as far below.
+    """
 
     width: int = 5
     percent: int = 75
     deviations: float = 5.0
 
-    @property
-    def least_estimate(self) -> float:
+    def least_estimate(self, n: np.ndarray) -> np.ndarray:
+        """The least estimate of pairs whose smaller set has ``n`` shingles."""
         j = self.percent / 100
-        return j - self.deviations * (j * (1 - j) / BUCKETS) ** 0.5
+        far = self.deviations * (j * (1 - j) / BUCKETS) ** 0.5
+        return np.where(np.asarray(n) <= SHORT, j - 2 * far, j - far)
+
+    @property
+    def most_keyed(self) -> int:
+        """The largest set that can be linked with a short one."""
+        return 100 * SHORT // self.percent
+
+    def prefix(self, n: int) -> int:
+        """How many smallest shingles of n hold a shared one, whatever set it is linked with; n itself shares percent of n or more."""
+        return n + (-self.percent * n // 100) + 1
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
@@ -69,6 +92,27 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _borrowing() -> np.ndarray:
+    """For each register the order in which it borrows from the others: a shuffle that is the same everywhere."""
+    order = np.random.Generator(np.random.PCG64(1)).permuted(np.tile(np.arange(BUCKETS), (BUCKETS, 1)), axis=1)
+    return order[order != np.arange(BUCKETS)[:, None]].reshape(BUCKETS, BUCKETS - 1)
+
+
+def filled(sketch: np.ndarray) -> np.ndarray:
+    """Registers with each empty one replaced by the first that is in use in its own order; sets without a shingle stay empty.
+
+    Two sets then agree in any register with their Jaccard similarity as probability, however small they are.
+    """
+    out, order = sketch.copy(), _borrowing()
+    some = sketch.any(1)
+    for step in range(BUCKETS - 1):
+        row, column = np.nonzero((out == 0) & some[:, None])
+        if not len(row):
+            break
+        out[row, column] = sketch[row, order[column, step]]
+    return out
+
+
 def expected_collisions(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Registers in which two unrelated sets of n and m members agree by chance.
 
@@ -102,15 +146,19 @@ def _sketch(rule: Rule):
                 bands = registers(sets).view(np.int64)
                 n = np.array([len(s) for s in sets], np.int64)
                 flat = pa.array(bands.reshape(-1))
+                short = [s[: rule.prefix(len(s))] if len(s) <= rule.most_keyed else s[:0] for s in sets]
+                ends = np.cumsum([0, *map(len, short)], dtype=np.int32)
+                prefix = np.concatenate([*short, np.zeros(0, np.uint64)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(a, b - a),
                         pa.array(n),
                         pa.array(names[:, 0]),
                         pa.array(names[:, 1]),
-                        pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * (BUCKETS // BAND)), flat),
+                        pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), flat),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(prefix)),
                     ],
-                    ["doc_id", "n", "h1", "h2", "bands"],
+                    ["doc_id", "n", "h1", "h2", "bands", "prefix"],
                 )
 
     return work
@@ -121,6 +169,21 @@ def _sketches(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).view(np.uint16).reshape(-1, BUCKETS)
 
 
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bucket keys (band, code) of each class: its filled bands, or band ``BANDS`` and the shingles of its prefix."""
+    for batch in batches:
+        cid, n = batch.column("cid").to_numpy(), batch.column("n").to_numpy()
+        prefix = batch.column("prefix")
+        banded = np.flatnonzero(n > SHORT)
+        codes = filled(_sketches(batch.column("bands").take(pa.array(banded)))).view(np.int64).reshape(-1)
+        shingles = prefix.flatten().to_numpy(zero_copy_only=False)
+        counts = prefix.value_lengths().to_numpy(zero_copy_only=False)
+        ids = np.concatenate([np.repeat(cid[banded], BANDS), np.repeat(cid, counts)])
+        band = np.concatenate([np.tile(np.arange(BANDS), len(banded)), np.full(len(shingles), BANDS)])
+        columns = [pa.array(ids), pa.array(band.astype(np.int32)), pa.array(np.concatenate([codes, shingles]))]
+        yield pa.RecordBatch.from_arrays(columns, ["cid", "band", "code"])
+
+
 def _star_estimates(rule: Rule):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,7 +191,7 @@ def _star_estimates(rule: Rule):
             n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
             same = ((x == y) & (x != 0)).sum(1)
             used = ((x != 0) | (y != 0)).sum(1)
-            near = (same - expected_collisions(n, m)) / np.maximum(used, 1) >= rule.least_estimate
+            near = (same - expected_collisions(n, m)) / np.maximum(used, 1) >= rule.least_estimate(np.minimum(n, m))
             near &= 100 * np.minimum(n, m) >= rule.percent * np.maximum(n, m)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near)], ["a", "b", "near"])
 
@@ -148,8 +211,10 @@ def _candidates(i: int, labels: np.ndarray, sketch: np.ndarray, n: np.ndarray, u
     # Without the union of registers in use and chance collisions the estimate is only higher.
     own = np.flatnonzero(sketch[i])
     same = (sketch[rest][:, own] == sketch[i, own]).sum(1)
-    rest = rest[same >= rule.least_estimate * np.maximum(used[rest], used[i])]
-    return rest[estimate(sketch[i], n[i], sketch[rest], n[rest]) >= rule.least_estimate] if len(rest) else rest
+    least = rule.least_estimate(np.minimum(n[rest], n[i]))
+    likely = same >= least * np.maximum(used[rest], used[i])
+    rest, least = rest[likely], least[likely]
+    return rest[estimate(sketch[i], n[i], sketch[rest], n[rest]) >= least] if len(rest) else rest
 
 
 def _join(labels: np.ndarray, i: int, hits: np.ndarray, ids: np.ndarray, found: list[tuple[int, int]]) -> None:
@@ -216,6 +281,9 @@ def _tile_pairs(df: DataFrame, tiles: str) -> DataFrame:
     return df.withColumn("t", F.least("tile", "other")).withColumn("u", F.greatest("tile", "other"))
 
 
+_SKETCH = "doc_id long, n long, h1 long, h2 long, bands array<long>, prefix array<long>"
+
+
 def near_duplicates(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text).
 
@@ -229,15 +297,14 @@ def near_duplicates(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     rule = rule or Rule()
     ready(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sketches = materialise(arrow_map(docs, _sketch(rule), "doc_id long, n long, h1 long, h2 long, bands array<long>"), "sketches")
-    classes = sketches.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    sketches = materialise(arrow_map(docs, _sketch(rule), _SKETCH), "sketches")
+    classes = sketches.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("prefix").alias("prefix"))
     classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    codes = classes.select("cid", F.posexplode("bands").alias("band", "code")).where("code <> 0")
-    # A code is one band's: a bucket of a group that holds a third of the rows is at most 1/120 of these.
-    by = W.partitionBy("band", "code")
-    members = codes.select("*", F.count(F.lit(1)).over(by).alias("size"), F.min("cid").over(by).alias("a")).where("size > 1")
-    members = materialise(members.withColumnRenamed("cid", "b"), "buckets")
+    codes = arrow_map(classes.select("cid", "n", "bands", "prefix"), _keys, "cid long, band int, code long")
+    # Counted before they are joined back: a bucket that very many classes share is split by adaptive execution.
+    sizes = codes.groupBy("band", "code").agg(F.count(F.lit(1)).alias("size"), F.min("cid").alias("a")).where("size > 1")
+    members = materialise(codes.withColumnRenamed("cid", "b").join(sizes, ["band", "code"]).select("band", "code", "b", "size", "a"), "buckets")
 
     one = classes.select(F.col("cid").alias("a"), "n", F.col("bands").alias("x"))
     two = classes.select(F.col("cid").alias("b"), F.col("n").alias("m"), F.col("bands").alias("y"))
