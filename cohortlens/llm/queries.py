@@ -133,12 +133,12 @@ _URL_KEYS = """
 pages_h AS (
   SELECT page_id, url, (page_id * 37) % 730 AS day,
     nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\\.$', ''), '') AS host,
-    regexp_extract(url, '^[^:]+://[^/?#]*/([^/?#]+)', 1) AS segment
+    list_filter(string_split(regexp_extract(url, '^[^:]+://[^/?#]*/([^?#]*)', 1), '/'), lambda x: x <> '')[1:2] AS segments
   FROM pages),
 pages_k AS (
   SELECT *, CASE WHEN host IS NULL THEN [] ELSE list_concat(
     list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
-    CASE WHEN segment <> '' THEN [host || '/' || segment] ELSE [] END) END AS keys
+    list_transform(range(1, len(segments) + 1), lambda i: host || '/' || array_to_string(segments[:i], '/'))) END AS keys
   FROM pages_h),
 numbers AS (
   SELECT key, ('0x' || substr(h, 1, 6))::BIGINT AS a, ('0x' || substr(h, 7, 6))::BIGINT % 730 AS first,

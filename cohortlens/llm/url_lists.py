@@ -3,7 +3,7 @@
 List entries (key, list, day, action) become validity intervals: an added entry
 holds until its key is next removed or added again. A capture is evaluated
 against the entries that were active on the day it was fetched, for its host, its parent domains
-and its host with the first path segment.
+and its host with each prefix of its path, as deep as the list goes.
 
 The join never compares a capture with a whole history: captures shrink to
 different (key, day) pairs first, and time is cut into periods, so that the join
@@ -29,23 +29,34 @@ def url_host(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def url_keys(url: Column, host: Column) -> Column:
-    """List keys of a URL: its host, each parent domain of two labels or more, host/first path segment."""
+def url_keys(url: Column, host: Column, depth: int) -> Column:
+    """List keys of a URL: its host, each parent domain of two labels or more, host with up to ``depth`` path segments."""
     labels = F.split(host, "\\.")
     n = F.size(labels)
     tails = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n), "."))
-    segment = F.regexp_extract(url, "^[^:]+://[^/?#]*/([^/?#]+)", 1)
-    page = F.when(segment != "", F.array(F.concat(host, F.lit("/"), segment))).otherwise(F.array().cast("array<string>"))
-    return F.when(host.isNotNull(), F.concat(tails, page)).otherwise(F.array().cast("array<string>"))
+    path = F.split(F.regexp_extract(url, "^[^:]+://[^/?#]*/([^?#]*)", 1), "/")
+    segments = F.slice(F.filter(path, lambda x: x != ""), 1, depth)
+    pages = F.transform(segments, lambda _, i: F.concat(host, F.lit("/"), F.array_join(F.slice(segments, 1, i + 1), "/")))
+    return F.when(host.isNotNull(), F.concat(tails, pages)).otherwise(F.array().cast("array<string>"))
+
+
+def list_key(key: Column) -> Column:
+    """A list entry's key as ``url_keys`` writes it: no scheme, query, final dot or empty segment, a lower-case host; null if no host is left."""
+    bare = F.regexp_replace(F.regexp_replace(key, "^[A-Za-z][A-Za-z0-9+.-]*://", ""), "(?s)[?#].*", "")
+    parts = F.filter(F.split(bare, "/"), lambda x: x != "")
+    host = F.regexp_replace(F.lower(F.get(parts, F.lit(0))), "\\.$", "")
+    return F.when(host != "", F.array_join(F.concat(F.array(host), F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))), "/"))
 
 
 def validity(entries: DataFrame) -> DataFrame:
     """(key, list, since, until) of entries (key, list, day, action add or remove); until is exclusive.
 
     Of entries of one key, list and day, remove counts. An entry repeated while
-    it holds renews it. Entries with a null field are void.
+    it holds renews it. Keys are brought into one form (``list_key``), lists and
+    actions count in any case. Entries with a null field are void.
     """
-    sound = entries.select("key", "list", F.col("day").cast("long"), "action").dropna()
+    plain = lambda c: F.lower(F.trim(F.col(c))).alias(c)
+    sound = entries.select(list_key(F.col("key")).alias("key"), plain("list"), F.col("day").cast("long").alias("day"), plain("action")).dropna()
     daily = sound.groupBy("key", "list", "day").agg(F.max("action").alias("action"))
     until = F.lead("day").over(W.partitionBy("key", "list").orderBy("day"))
     daily = daily.withColumn("until", F.coalesce(until, F.lit(_FOREVER)))
@@ -77,11 +88,14 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     are not read. No rows give no rows; no entries keep everything.
     """
     ready(captures.sparkSession)
-    host = url_host(F.col("url"))
-    rows = captures.select(F.col("page_id").cast("long"), F.col("day").cast("long"), host.alias("host"), url_keys(F.col("url"), host).alias("keys"))
+    host, intervals = url_host(F.col("url")), validity(entries)
+    # No key is made that is deeper than any entry.
+    depth = intervals.agg(F.max(F.size(F.split("key", "/")) - 1)).first()[0] or 0
+    keys = url_keys(F.col("url"), host, depth)
+    rows = captures.select(F.col("page_id").cast("long"), F.col("day").cast("long"), host.alias("host"), keys.alias("keys"))
     moments = rows.select(F.explode("keys").alias("key"), "day")
-    active = active_entries(moments, validity(entries))
-    # A capture's keys are a function of host and segment: judge each different (keys, day) once.
+    active = active_entries(moments, intervals)
+    # A capture's keys are a function of host and path: judge each different (keys, day) once.
     cases = rows.where("size(keys) > 0 and day is not null").select("keys", "day").distinct()
     spread = cases.select("keys", "day", F.explode("keys").alias("key")).join(active, ["key", "day"])
     order = F.struct(F.length("key").alias("n"), (F.col("list") == "allow").alias("allows"), F.col("key"), F.col("since"))
@@ -105,14 +119,14 @@ def own_captures(pages: DataFrame, days: int = 730) -> DataFrame:
     return pages.select("page_id", "url", F.pmod(F.col("page_id") * 37, F.lit(days)).alias("day"))
 
 
-def own_lists(pages: DataFrame, days: int = 730) -> DataFrame:
-    """A dated list over the keys that occur in ``pages``, since no list table is given.
+def own_lists(pages: DataFrame, days: int = 730, depth: int = 2) -> DataFrame:
+    """A dated list over the keys of up to ``depth`` path segments that occur in ``pages``, since no list table is given.
 
     md5 of the key decides: a third of the keys are blocked, removed later and
     blocked again; a fifth are allowed from some day on.
     """
     host = url_host(F.col("url"))
-    keys = pages.select(F.explode(url_keys(F.col("url"), host)).alias("key")).distinct()
+    keys = pages.select(F.explode(url_keys(F.col("url"), host, depth)).alias("key")).distinct()
     number = lambda at: F.conv(F.substring(F.md5("key"), at, 6), 16, 10).cast("long")
     first = F.pmod(number(7), F.lit(days))
     gone = first + 30 + F.pmod(number(13), F.lit(200))
