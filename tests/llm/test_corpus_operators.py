@@ -277,3 +277,40 @@ def test_top_k_equals_all_pairs(spark, shard_rows):
     whole = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in [*data, (3250, [1.0, 2.0])]]
     assert sorted(map(tuple, got.collect())) == plain_top(whole)
     assert kd_search.top_inner_products(df.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
+
+
+def test_top_k_of_components_beyond_64_bits(spark):
+    clip = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    rng = random.Random(5)
+    data = [(i, [rng.choice([-1, 1]) * 10.0 ** rng.randrange(-2, 24) for _ in range(3)]) for i in range(200)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = kd_search.top_inner_products(df, F.col("vec_id") % 50 == 0, 5, shard_rows=32)
+    whole = [(i, [clip(int(np.floor(256 * x))) for x in v]) for i, v in data]
+    want = []
+    for a, x in whole[::50]:
+        best = sorted((-clip(sum(p * q for p, q in zip(x, y, strict=True))), b) for b, y in whole if a != b)
+        want += [(a, r + 1, b, -s) for r, (s, b) in enumerate(best[:5])]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_regions_of_cuts_are_even_and_ties_stay_together():
+    points = np.random.default_rng(1).normal(0, 1000, (4096, 5)).astype(np.int64)
+    counts = np.bincount(kd_search.Cuts(points, 64).regions(points), minlength=64)
+    assert counts.sum() == 4096 and counts.min() >= 56 and counts.max() <= 72
+    same = np.tile(points[:1], (500, 1))
+    assert len(set(kd_search.Cuts(same, 16).regions(same).tolist())) == 1
+    assert kd_search.Cuts(points[:0], 16).regions(points).tolist() == [0] * 4096
+
+
+def test_a_query_visits_only_shards_in_reach(spark, monkeypatch):
+    visited = []
+    true_visit = kd_search._visit
+    monkeypatch.setattr(kd_search, "_visit", lambda visits, *rest: (visited.append(visits.count()), true_visit(visits, *rest))[1])
+    rng = np.random.default_rng(2)
+    centres = rng.normal(0, 20, (16, 3))
+    data = [(i, (centres[i % 16] + rng.normal(0, 0.1, 3)).tolist()) for i in range(1600)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = kd_search.top_inner_products(df, F.col("vec_id") % 50 == 0, 5, shard_rows=50)
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in data]
+    assert sorted(map(tuple, got.collect())) == plain_top(whole)
+    assert sum(visited) < 32 * 32 / 4

@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cohortlens.llm import anchors, hyperminhash, line_runs, outliers, shingles, url_lists
 from helpers import DOCS, documents, line_dedup, near_groups, prose, statistics, words
@@ -52,6 +54,43 @@ def test_near_duplicates_tiles(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == near_groups(rows)
 
 
+def bucket_keys(sets, rule=hyperminhash.Rule()):
+    """(band, code) of each set, as the operator makes them."""
+    n = np.array([len(s) for s in sets])
+    codes = hyperminhash.filled(hyperminhash.registers(sets)).view(np.int64)
+    keys = [{(b, c) for b, c in enumerate(row)} if k > hyperminhash.SHORT else set() for row, k in zip(codes.tolist(), n, strict=True)]
+    for s, own in zip(sets, keys, strict=True):
+        if len(s) <= rule.most_keyed:
+            own |= {(hyperminhash.BANDS, int(h)) for h in s[: rule.prefix(len(s))]}
+    return keys
+
+
+@pytest.mark.parametrize("size", [3, 10, 32, 33, 60, 100, 300])
+def test_chance_buckets_do_not_grow_with_the_corpus(size):
+    rng = np.random.default_rng(size)
+    for n in (2000, 8000):
+        sets = [np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64)) for _ in range(n)]
+        counts = Counter(k for keys in bucket_keys(sets) for k in keys)
+        assert sum(c * (c - 1) // 2 for c in counts.values()) <= n // 1000
+
+
+@pytest.mark.parametrize("size", [3, 4, 7, 15, 29, 32, 33, 36, 42, 43, 60, 150, 600])
+def test_pairs_at_the_threshold_share_a_bucket_and_pass_the_estimate(size):
+    rng, rule, missed, turns = np.random.default_rng(size), hyperminhash.Rule(), 0, 400
+    for _ in range(turns):
+        # |A & B| = i, |A | B| = size with 100 i >= 75 size, the rest dealt to either side.
+        union = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))
+        shared = -(-75 * len(union) // 100)
+        picks = rng.permutation(len(union))
+        cut = shared + rng.integers(0, len(union) - shared + 1)
+        one, two = np.sort(union[picks[:cut]]), np.sort(union[np.concatenate([picks[:shared], picks[cut:]])])
+        a, b = bucket_keys([one, two])
+        sketch = hyperminhash.registers([one, two])
+        near = hyperminhash.estimate(sketch[0], len(one), sketch[1:], np.array([len(two)]))[0] >= rule.least_estimate(min(len(one), len(two)))
+        missed += not (a & b and near)
+    assert missed == 0
+
+
 def test_near_duplicates_ids(spark):
     text, other = prose(random.Random(1), 40), prose(random.Random(2), 40)
     rows = [(5, text, 1), (None, text, 2), (5, other, 3), (9, other, 4), (None, "alone by itself", 5), (7, None, 6)]
@@ -90,6 +129,35 @@ def test_line_dedup_equals_plain_python(docs, rows):
     assert sorted(got, key=str) == line_dedup([(r[0], r[1]) for r in rows])
 
 
+def test_line_that_most_documents_have(spark, monkeypatch):
+    """One hot line is split over tasks and still counted whole."""
+    for key, value in (("skewJoin.skewedPartitionThresholdInBytes", "16k"), ("advisoryPartitionSizeInBytes", "16k"), ("autoBroadcastJoinThreshold", "-1")):
+        spark.conf.set(f"spark.sql.adaptive.{key}", value)
+    plans = []
+    true_materialise = line_runs.materialise
+
+    def stored(df, name):
+        out = true_materialise(df, name)
+        if name == "dropped":
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(line_runs, "materialise", stored)
+    for key, value in (("autoBroadcastJoinThreshold", "-1"), ("files.maxPartitionBytes", "32k"), ("files.openCostInBytes", "1k")):
+        spark.conf.set(f"spark.sql.{key}", value)
+    try:
+        rows = [(i, "the very common line" + f"\nown line number {i}" * (i % 16 == 0)) for i in range(12000)]
+        got = line_runs.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(24), batches=1).select("row.doc_id", "n_dropped").collect()
+    finally:
+        for key in ("skewJoin.skewedPartitionThresholdInBytes", "advisoryPartitionSizeInBytes", "autoBroadcastJoinThreshold"):
+            spark.conf.unset(f"spark.sql.adaptive.{key}")
+        for key in ("autoBroadcastJoinThreshold", "files.maxPartitionBytes", "files.openCostInBytes"):
+            spark.conf.unset(f"spark.sql.{key}")
+    assert sorted((r.doc_id, r.n_dropped) for r in got) == [(i, int(i > 0)) for i in range(12000)]
+    assert any("skew=true" in p for p in plans)
+
+
 def test_line_dedup_empty(spark):
     assert line_runs.deduplicate_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -114,6 +182,46 @@ def test_outliers_are_rejected_and_clean_rows_kept(spark):
     assert outliers.judge(spark.createDataFrame(rows[:1], DOCS)).first().kept
 
 
+def test_outlier_distances_equal_numpy(spark, monkeypatch):
+    """Concentration steps, core by histogram cells, and distances, against NumPy on exact integers."""
+    stored = {}
+    true_materialise = outliers.materialise
+    monkeypatch.setattr(outliers, "materialise", lambda df, name: stored.setdefault(name, true_materialise(df, name)))
+    rng, rules = random.Random(11), outliers.Rules()
+    rows = [(i, prose(rng, rng.randrange(60, 500), 3000) + " #$%" * rng.choice([0, 0, 0, 5, 40]), "en", rng.choice(["a", "b"]), i) for i in range(240)]
+    got = {r.doc_id: r for r in outliers.judge(spark.createDataFrame(rows, DOCS)).collect()}
+    p = len(rules.spreads)
+    xs = [f"x{i}" for i in range(p)]
+    facts = stored["statistics"].where("not base_failed").select("grp", "doc_id", *xs, F.xxhash64("doc_id", *xs).alias("spot")).collect()
+    shrink = rules.core / outliers._cdf(outliers._quantile(rules.core, p), p + 2)
+    limit = outliers._quantile(1 - rules.tail, p)
+    for group in {r.grp for r in facts}:
+        own = [r for r in facts if r.grp == group]
+        points, spots = np.array([[r[x] for x in xs] for r in own], float), np.array([r.spot for r in own]).view(np.uint64)
+        ends = []
+        for start in range(3):
+            core = np.ones(len(own), bool) if start == 0 else (spots >> np.uint64(start)) & np.uint64(1) == 0
+            for step in range(rules.steps + 1):
+                centre, part = points[core].mean(0), points[core]
+                scatter = shrink * (part.T @ part / len(part) - np.outer(centre, centre)) + np.diag([(x * outliers.UNIT) ** 2 for x in rules.spreads])
+                away = points - centre
+                d2 = np.einsum("ij,jk,ik->i", away, np.linalg.inv(scatter), away)
+                cell = np.floor(np.log(np.maximum(d2, 1e-9)) * 64)
+                core = cell <= np.sort(cell)[int(np.ceil(rules.core * len(own))) - 1]
+            ends.append((np.linalg.slogdet(scatter)[1], start, d2))
+        d2 = min(ends, key=lambda x: x[:2])[2]
+        for r, want in zip(own, d2, strict=True):
+            assert got[r.doc_id].distance == pytest.approx(want, rel=1e-6)
+            assert got[r.doc_id].kept == (want <= limit)
+
+
+def test_outlier_sums_pass_64_bits(spark):
+    big = 1 << 31
+    rows = spark.range(4).select(F.lit("g").alias("grp"), F.lit(big).cast("long").alias("x0"), F.lit(-big).cast("long").alias("x1"))
+    got = outliers._sums(rows, ["grp"], 2).first()
+    assert (got.n, got.s0, got.s1, got.s00, got.s10, got.s11) == (4, 4 * big, -4 * big, 4.0 * big**2, -4.0 * big**2, 4.0 * big**2)
+
+
 def test_anchor_spans_equal_patterns():
     patterns = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -149,6 +257,43 @@ def test_anchor_cues(spark):
     assert by[None].n_email == 1 and by[None].spans.startswith("email:2:8")
 
 
+@pytest.mark.parametrize(
+    "text,kind,part",
+    [
+        ("HTTPS://user:pw@host.org", "login", "user:pw@host.org"), ("see postgres://u:p@h/db", "login", "u:p@h"), ("://a:b@c", "login", None),
+        ("IBAN is GB82WEST12345698765432", "account", "GB82WEST12345698765432"), ("iban-no. GB82 WEST 1234 5698 7654 32!", "account", "GB82 WEST 1234 5698 7654 32"),
+        ("pay DE89 3704 0044 0532 0130 00.", "account", "DE89 3704 0044 0532 0130 00"), ("DE89370400440532013001", "account", None), ("XDE89370400440532013000", "account", None),
+        ("Account no. 123456789", "account", "123456789"), ("account 123456789", "account", None), ("account no. 12345", "account", None),
+        ("at 12 Main Street, Apt 4B.", "address", "12 Main Street, Apt 4B"), ("221B Baker St", "address", "221B Baker St"), ("350 5th Avenue", "address", "350 5th Avenue"),
+        ("12 of the Main Street", "address", None), ("no way", "address", None), ("in der Hauptstraße 12a, Ulm", "address", "Hauptstraße 12a"), ("Hauptstraße", "address", None),
+    ],
+)
+def test_added_kinds(text, kind, part):
+    for text, shift in ((text, 0), (f"é ß {text} x", 4)):
+        spans = anchors.find_spans(text, anchors.build_automaton())[kind]
+        assert [text[a:b] for a, b in spans] == ([part] if part else [])
+        assert all(a >= shift for a, _ in spans)
+
+
+def test_added_spans_never_overlap():
+    rng, automaton = random.Random(8), anchors.build_automaton()
+    parts = [*"aA1 0.#:-@+/éß", "Street ", " st", "iban ", "GB82", "account no ", "://", "weg ", "straße ", " Apt ", "DE89"]
+    for _ in range(5000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(25)))
+        for spans in anchors.find_spans(text, automaton).values():
+            assert all(0 <= a < b <= len(text) for a, b in spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
+
+
+def test_url_lists_take_deep_paths_and_any_spelling(spark):
+    entries = [("BAD.org", "Block", 10, "Add"), ("bad.org", "block", 20, "Remove"), ("http://deep.org./a//b/?q", "block", 1, "add"), ("deep.org/a/b/c/d", "allow", 1, "add"), ("/", "block", 1, "add")]
+    cases = [("http://bad.org/", 15, "block"), ("http://bad.org/", 25, "none"), ("http://deep.org/a/b/c", 5, "block"), ("http://deep.org//a/b?x", 5, "block"),
+             ("http://deep.org/a/bc", 5, "none"), ("http://deep.org/a/b/c/d/e", 5, "allow"), ("http://x.org" + "/y" * 50000, 5, "none")]
+    pages = spark.createDataFrame([(i, u, d) for i, (u, d, _) in enumerate(cases)], "page_id long, url string, day long")
+    listed = spark.createDataFrame(entries, "key string, list string, day long, action string")
+    got = {r.page_id: r.verdict for r in url_lists.filter_urls(pages, listed).collect()}
+    assert [got[i] for i in range(len(cases))] == [v for _, _, v in cases]
+
+
 def test_url_lists(spark):
     entries = [("bad.org", "block", 10, "add"), ("bad.org", "block", 100, "remove"), ("bad.org", "block", 300, "add"), ("ok.bad.org", "allow", 0, "add"),
                ("bad.org/x", "block", 50, "add"), ("tie.org", "block", 5, "add"), ("tie.org", "allow", 5, "add"), ("gone.org", "block", 7, "add"),
