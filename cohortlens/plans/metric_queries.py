@@ -535,15 +535,16 @@ def external_score_table(s: Study):
 
 # ── errors ──────────────────────────────────────────────────────────────────
 
+_WORDS = tx.CLINICAL_TERMS
+
 
-def _decided_notes(s: Study):
-    """Decisions of the text model next to the whole note."""
-    notes = s.discharge.select("hadm_id", F.col("text").alias("note_text"))
-    rows = s.decided_demo.where("model = 'kw_norm'").join(notes, "hadm_id")
-    return materialise(rows, "decided-notes")
+def _decided_notes(s: Study, fact: str):
+    """Decisions of all models next to one fact of the whole note, which is taken from its text once."""
+    facts = errors.note_facts(s.discharge, "text", terms=_WORDS).select("hadm_id", fact)
+    return s.decided_demo.join(materialise(facts, "note-facts"), "hadm_id")
 
 
-_NOTED = "(SELECT d.*, x.text AS note_text FROM decided_demo d JOIN discharge x ON x.hadm_id = d.hadm_id WHERE d.model = 'kw_norm')"
+_NOTED = "(SELECT d.*, x.text AS note_text FROM decided_demo d JOIN discharge x ON x.hadm_id = d.hadm_id)"
 _ERR = f"""(SELECT *, 'overall_test' AS error_group FROM {_NOTED}
     UNION ALL SELECT *, 'false_positive' FROM {_NOTED} WHERE predicted = 1 AND label = 0
     UNION ALL SELECT *, 'false_negative' FROM {_NOTED} WHERE predicted = 0 AND label = 1)"""
@@ -555,49 +556,50 @@ _PROFILE = {
 }
 
 
-@query("error_profile", "error_group:s n:l mean_score:d mean_length:d median_score:d median_length:d " + " ".join(f"{k}:d" for k in _PROFILE), "EV28 PRJ20",
-       "SELECT error_group, count(*) AS n, avg(score) AS mean_score, avg(length(note_text)) AS mean_length, "
+@query("error_profile", "model:s error_group:s n:l mean_score:d mean_length:d median_score:d median_length:d " + " ".join(f"{k}:d" for k in _PROFILE), "EV28 PRJ20",
+       "SELECT model, error_group, count(*) AS n, avg(score) AS mean_score, avg(length(note_text)) AS mean_length, "
        f"{sq.percentile('score', 0.5)} AS median_score, {sq.percentile('length(note_text)', 0.5)} AS median_length, "
        + ", ".join(f'count(*) FILTER (WHERE {c}) / count(*)::DOUBLE * 100 AS "{k}"' for k, c in _PROFILE.items())
-       + f" FROM {_ERR} GROUP BY error_group")
+       + f" FROM {_ERR} GROUP BY model, error_group")
 def error_profile(s: Study):
-    return errors.error_profile(_decided_notes(s))
+    return errors.error_profile(_decided_notes(s, "note_length"))
 
 
-_WORDS = tx.CLINICAL_TERMS
-_RATES = "SELECT term, " + ", ".join(
+_RATES = "SELECT model, term, " + ", ".join(
     f"coalesce(avg(h) FILTER (WHERE {c}), 0) AS {n}" for n, c in
     (("fp_rate", "predicted = 1 AND label = 0"), ("fn_rate", "predicted = 0 AND label = 1"), ("overall_rate", "true"))
 ) + " FROM (" + " UNION ALL ".join(
-    f"SELECT {sq.q(t)} AS term, predicted, label, CASE WHEN regexp_matches({sq.folded('note_text')}, {sq.q('(?i)' + p)}) THEN 1 ELSE 0 END AS h FROM {_NOTED}" for t, p in _WORDS.items()
-) + ") GROUP BY term"
+    f"SELECT hadm_id, {sq.q(t)} AS term, CASE WHEN regexp_matches({sq.folded('text')}, {sq.q('(?i)' + p)}) THEN 1 ELSE 0 END AS h FROM discharge" for t, p in _WORDS.items()
+) + ") x JOIN decided_demo d ON d.hadm_id = x.hadm_id GROUP BY model, term"
 _OVER = f"""SELECT *, coalesce(fp_rate / nullif(overall_rate, 0), 0) AS fp_over_overall, coalesce(fn_rate / nullif(overall_rate, 0), 0) AS fn_over_overall FROM ({_RATES})"""
 
 
-@query("term_over_representation", "term:s fp_rate:d fn_rate:d overall_rate:d fp_over_overall:d fn_over_overall:d", "EV29 TXT11", _OVER)
+@query("term_over_representation", "model:s term:s fp_rate:d fn_rate:d overall_rate:d fp_over_overall:d fn_over_overall:d", "EV29 TXT11", _OVER)
 def term_over_representation(s: Study):
-    return errors.term_rates(_decided_notes(s), "note_text", _WORDS)
+    return errors.term_rates(_decided_notes(s, "note_terms"), list(_WORDS))
 
 
-@query("top_error_terms", "side:s term:s ratio:d place:l", "TOP3",
-       f"""SELECT * FROM (SELECT side, term, ratio, row_number() OVER (PARTITION BY side ORDER BY round(ratio, 9) DESC, term) AS place FROM (
-               SELECT 'fp' AS side, term, fp_over_overall AS ratio FROM ({_OVER}) UNION ALL SELECT 'fn', term, fn_over_overall FROM ({_OVER}))) WHERE place <= 3""")
+@query("top_error_terms", "model:s side:s term:s ratio:d place:l", "TOP3",
+       f"""SELECT * FROM (SELECT model, side, term, ratio, row_number() OVER (PARTITION BY model, side ORDER BY round(ratio, 9) DESC, term) AS place FROM (
+               SELECT model, 'fp' AS side, term, fp_over_overall AS ratio FROM ({_OVER}) UNION ALL SELECT model, 'fn', term, fn_over_overall FROM ({_OVER}))) WHERE place <= 3""")
 def top_error_terms(s: Study):
-    return errors.top_terms(errors.term_rates(_decided_notes(s), "note_text", _WORDS), 3)
+    return errors.top_terms(errors.term_rates(_decided_notes(s, "note_terms"), list(_WORDS)), 3)
 
 
-@query("false_negative_sparsity", "n_fn:l n_below_q1:l n_short:l share_below_q1:d share_short:d", "EV30",
+@query("false_negative_sparsity", "model:s n_fn:l n_below_q1:l n_short:l share_below_q1:d share_short:d", "EV30",
        f"""SELECT *, coalesce(n_below_q1 / nullif(n_fn, 0)::DOUBLE, 0) AS share_below_q1, coalesce(n_short / nullif(n_fn, 0)::DOUBLE, 0) AS share_short FROM (
-               SELECT count(*) AS n_fn, count(*) FILTER (WHERE length(note_text) < q1) AS n_below_q1, count(*) FILTER (WHERE length(note_text) < 500) AS n_short
-               FROM {_NOTED} CROSS JOIN (SELECT {sq.percentile('length(note_text)', 0.25)} AS q1 FROM {_NOTED}) WHERE predicted = 0 AND label = 1)""")
+               SELECT n.model, count(*) FILTER (WHERE fn) AS n_fn, count(*) FILTER (WHERE fn AND length(note_text) < q1) AS n_below_q1,
+                      count(*) FILTER (WHERE fn AND length(note_text) < 500) AS n_short
+               FROM (SELECT *, predicted = 0 AND label = 1 AS fn FROM {_NOTED}) n
+               JOIN (SELECT model, {sq.percentile('length(note_text)', 0.25)} AS q1 FROM {_NOTED} GROUP BY model) q ON q.model = n.model GROUP BY n.model)""")
 def false_negative_sparsity(s: Study):
-    return errors.false_negative_sparsity(_decided_notes(s))
+    return errors.false_negative_sparsity(_decided_notes(s, "note_length"))
 
 
-@query("trauma_term_share", "error_group:s n:l pct_with_term:d", "TXT11 EV28",
-       f"SELECT error_group, count(*) AS n, avg(CASE WHEN {sq.any_substring('note_text', tx.TRAUMA_SUBSTRINGS)} THEN 1 ELSE 0 END) * 100 AS pct_with_term FROM {_ERR} GROUP BY 1")
+@query("trauma_term_share", "model:s error_group:s n:l pct_with_term:d", "TXT11 EV28",
+       f"SELECT model, error_group, count(*) AS n, avg(CASE WHEN {sq.any_substring('note_text', tx.TRAUMA_SUBSTRINGS)} THEN 1 ELSE 0 END) * 100 AS pct_with_term FROM {_ERR} GROUP BY 1, 2")
 def trauma_term_share(s: Study):
-    return errors.trauma_term_share(_decided_notes(s))
+    return errors.trauma_term_share(_decided_notes(s, "note_trauma"))
 
 
 _CRIT = ["A", "B", "C", "D", "E"]
@@ -745,12 +747,12 @@ def top_decile_rows(s: Study):
     return top_decile(s.scores.where("label = 1"))
 
 
-@query("top_unlabeled_rows", "patient_number:l subject_id:l hadm_id:l model_score:d reviewer_rating:s reviewer_notes:s", "TOP1 SNK5",
-       """SELECT row_number() OVER (ORDER BY score DESC, subject_id, hadm_id) AS patient_number, subject_id, hadm_id, score AS model_score,
-                 NULL AS reviewer_rating, NULL AS reviewer_notes FROM (
-              SELECT * FROM scores WHERE model = 'hash' AND label = 0 ORDER BY score DESC, subject_id, hadm_id LIMIT 50)""")
+@query("top_unlabeled_rows", "model:s patient_number:l subject_id:l hadm_id:l model_score:d reviewer_rating:s reviewer_notes:s", "TOP1 SNK5",
+       """SELECT model, patient_number, subject_id, hadm_id, score AS model_score, NULL AS reviewer_rating, NULL AS reviewer_notes FROM (
+              SELECT *, row_number() OVER (PARTITION BY model ORDER BY score DESC, subject_id, hadm_id) AS patient_number FROM scores WHERE label = 0)
+          WHERE patient_number <= 50""")
 def top_unlabeled_rows(s: Study):
-    return review_form(s.scores.where("model = 'hash' AND label = 0"))
+    return review_form(s.scores.where("label = 0"), by=["model"])
 
 
 @query("sampled_errors_sorted", "model:s error_side:s hadm_id:l score:d", "TOP4 SMP5",

@@ -44,13 +44,14 @@ def write_records(blocks: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     blocks.select(*by, "value").write.option("lineSep", "\n").partitionBy(*by).text(path)
 
 
-def review_form(scores: DataFrame, n: int = 50, key: Sequence[str] = ("subject_id", "hadm_id")) -> DataFrame:
-    """The n best-scored rows, numbered, with blank reviewer columns."""
-    top = scores.orderBy(F.col("score").desc(), *key).limit(n)
-    # At most n rows: the numbering window is as small as the form.
-    number = F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.col("score").desc(), *key))
-    return top.select(
-        number.alias("patient_number"), *key, F.col("score").alias("model_score"),
+def review_form(scores: DataFrame, n: int = 50, key: Sequence[str] = ("subject_id", "hadm_id"), by: Sequence[str] = ()) -> DataFrame:
+    """The n best-scored rows of each ``by`` group, numbered, with blank reviewer columns.
+
+    The rank filter becomes a limit in front of the shuffle: a task sends at most n rows of a group.
+    """
+    number = F.row_number().over(W.partitionBy(*by).orderBy(F.col("score").desc(), *key))
+    return scores.withColumn("patient_number", number).where(F.col("patient_number") <= n).select(
+        *by, "patient_number", *key, F.col("score").alias("model_score"),
         F.lit(None).cast("string").alias("reviewer_rating"),
         F.lit(None).cast("string").alias("reviewer_notes"),
     )

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.operators import calibration, compare, decision, evaluation, fairness
+from cohortlens.operators import calibration, compare, decision, errors, evaluation, fairness
 
 
 def average_precision(y, s):
@@ -222,3 +222,29 @@ def test_bootstrap_does_not_depend_on_the_blocks(scores, monkeypatch):
     assert {r.model for r in whole} >= {None} and [r.n_valid for r in whole] == [r.n_valid for r in parts]
     for a, b in zip(whole, parts):
         assert a.auprc_ci_lo == pytest.approx(b.auprc_ci_lo) and a.auprc_ci_hi == pytest.approx(b.auprc_ci_hi)
+
+
+def test_error_tables_per_key(spark):
+    """Missing keys are a key of their own, a key without lengths keeps its row, medians and quartiles are per key."""
+    rows = [("a", 1, 0, 0.9, 100.0), ("a", 0, 1, 0.1, 400.0), ("a", 0, 1, 0.2, 40.0), ("a", 1, 1, 0.8, 900.0),
+            (None, 0, 1, 0.3, 10.0), (None, 0, 0, 0.2, 30.0), ("b", 0, 1, None, None)]
+    df = spark.createDataFrame(rows, "model string, predicted int, label int, score double, note_length double")
+    got = {r.model: r for r in errors.false_negative_sparsity(df).collect()}
+    assert {k: (r.n_fn, r.n_below_q1, r.n_short) for k, r in got.items()} == {"a": (2, 1, 2), None: (1, 1, 1), "b": (1, 0, 0)}
+    demo = df.selectExpr("*", "'F' gender", "'20s' age_group", "'White' race_cat", "true is_emergency")
+    table = {(r.model, r.error_group): r for r in errors.error_profile(demo).collect()}
+    assert table["a", errors.OVERALL].median_length == 250.0 and table["a", errors.FALSE_NEGATIVE].n == 2
+    assert table[None, errors.OVERALL].n == 2 and table["b", errors.OVERALL].median_length is None
+    assert errors.error_profile(demo.limit(0)).count() == 0
+
+
+def test_term_rates_per_key(spark):
+    notes = spark.createDataFrame([(1, "nightmare"), (2, None), (3, "calm nightmare")], "hadm_id int, text string")
+    facts = errors.note_facts(notes, "text", terms={"n": "nightmare", "c": "calm"})
+    rows = [("x", 1, 1, 0), ("x", 2, 0, 1), ("x", 3, 1, 1), ("y", 3, 0, 1)]
+    decided = spark.createDataFrame(rows, "model string, hadm_id int, predicted int, label int").join(facts, "hadm_id")
+    rates = errors.term_rates(decided, ["n", "c"])
+    got = {(r.model, r.term): (r.fp_rate, r.fn_rate, round(r.overall_rate, 6)) for r in rates.collect()}
+    assert got == {("x", "n"): (1.0, 0.0, 0.666667), ("x", "c"): (0.0, 0.0, 0.333333), ("y", "n"): (0.0, 1.0, 1.0), ("y", "c"): (0.0, 1.0, 1.0)}
+    top = {(r.model, r.side): r.term for r in errors.top_terms(rates, 1).collect()}
+    assert top == {("x", "fp"): "n", ("x", "fn"): "c", ("y", "fp"): "c", ("y", "fn"): "c"}

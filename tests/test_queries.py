@@ -21,6 +21,7 @@ DEFAULT = [
     "model_pair_tests", "top_quintile_overlap", "fairness_table", "structured_features", "csv_notes",
     "logistic_c_sweep", "subject_propensities", "platt_scaling", "text_term_attributions", "mcnemar_p_values", "rank_sum_p_values",
     "bootstrap_intervals", "malformed_rows", "landed_notes", "hard_control_corpus", "record_dump", "count_reconciliation",
+    "error_profile", "top_error_terms", "false_negative_sparsity", "trauma_term_share", "top_unlabeled_rows",
 ]
 NAMES = list(entry.oracle_sql()) if os.environ.get("CHECK_ALL") else DEFAULT
 

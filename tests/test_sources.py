@@ -103,6 +103,15 @@ def test_review_form(spark):
     assert len(rows) == 50 and rows[0].subject_id == 79 and rows[0].reviewer_rating is None
 
 
+def test_review_form_per_group(spark):
+    """Each group has its own form, ties go by key, and rows are limited before they are shuffled."""
+    df = spark.createDataFrame([("a" if i % 3 else None, i, i, 0.5) for i in range(30)], "model string, subject_id long, hadm_id long, score double")
+    form = writers.review_form(df, 4, by=["model"])
+    assert "WindowGroupLimit" in form._jdf.queryExecution().toString()
+    got = sorted((str(r.model), r.patient_number, r.subject_id) for r in form.collect())
+    assert got == [("None", 1, 0), ("None", 2, 3), ("None", 3, 6), ("None", 4, 9), ("a", 1, 1), ("a", 2, 2), ("a", 3, 4), ("a", 4, 5)]
+
+
 def test_reuse_repairs_a_broken_write_and_keys_by_model_and_input(spark, folder):
     path = str(folder / "broken")
     (folder / "broken").mkdir()
