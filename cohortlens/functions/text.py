@@ -258,11 +258,21 @@ def contains_any(text: Column, substrings: Sequence[str]) -> Column:
     return F.lower(F.coalesce(text, F.lit(""))).rlike("|".join(re.escape(s) for s in substrings))
 
 
-def term_flags(text: Column, terms: dict[str, str] = CLINICAL_TERMS) -> Column:
-    """``map<term, 0/1>`` of the terms present in ``text``."""
-    return F.create_map(
-        *[c for t, p in terms.items() for c in (F.lit(t), mentions(text, [p]).cast("int"))]
-    )
+def with_term_flags(df: DataFrame, text: str, terms: dict[str, str] = CLINICAL_TERMS, out: str = "term_flags") -> DataFrame:
+    """Add ``out``: ``map<term, 0/1>`` of the terms present in ``text``.
+
+    A pattern is run only on texts that hold the letters each of its matches must
+    have. The text is folded once, as the patterns ignore case, so every flag
+    stays what a full scan gives.
+    """
+    folded = F.lower(F.translate(F.coalesce(F.col(text), F.lit("")), _ODD_LETTERS, _PLAIN_LETTERS))
+    flags = []
+    for term, pattern in terms.items():
+        found, letters = mentions(F.col(text), [pattern]), _required_literal(pattern)
+        if letters is not None:
+            found = F.contains(F.col("_folded"), F.lit(letters)) & found
+        flags += [F.lit(term), found.cast("int")]
+    return df.withColumn("_folded", folded).withColumn(out, evaluated_once(F.create_map(*flags))).drop("_folded")
 
 
 # ── weighted lexicon ────────────────────────────────────────────────────────

@@ -35,10 +35,10 @@ def note_facts(notes: DataFrame, text: str = "note_text", key: Sequence[str] = (
 
     Joined with the decisions of all models: no text is read or moved once per model.
     """
-    return notes.select(
+    return tx.with_term_flags(notes, text, terms, "_flags").select(
         *key,
         F.length(text).cast("double").alias("note_length"),
-        F.map_values(tx.term_flags(F.col(text), terms)).alias("note_terms"),
+        F.map_values("_flags").alias("note_terms"),
         tx.contains_any(F.col(text), substrings).cast("double").alias("note_trauma"),
     )
 

@@ -166,7 +166,7 @@ def stopword_scores(s: Study):
            f"SELECT {sq.q(t)} AS term FROM {_FOLDED_NOTES} WHERE regexp_matches(folded, {sq.q('(?i)' + p)})" for t, p in tx.CLINICAL_TERMS.items()
        ) + ") GROUP BY term")
 def clinical_term_flags(s: Study):
-    flags = s.discharge.select(F.explode(tx.term_flags(F.col("text"))).alias("term", "flag"))
+    flags = tx.with_term_flags(s.discharge, "text").select(F.explode("term_flags").alias("term", "flag"))
     return flags.where("flag = 1").groupBy("term").agg(F.count(F.lit(1)).alias("n_notes"))
 
 

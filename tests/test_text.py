@@ -150,3 +150,15 @@ def test_lexicon_counts_equal_a_full_scan(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     got = {r.i: list(r.lexicon_hits) for r in tx.with_lexicon_scores(df, "text", lexicon).collect()}
     assert got == {i: [len(re.findall(p, t, re.IGNORECASE)) for p, _, _ in lexicon] for i, t in enumerate(texts)}
+
+
+def test_a_term_is_looked_for_only_where_its_letters_stand(spark):
+    texts = ["Stabbed; ſelf-harm, overſe", "İNTRUSIVE sıde", "Detoxé MVC mv ama", "", None, "aétrauma Trauma", "panİc HEROİN COKAINE"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    gated = tx.with_term_flags(rows, "text").select("id", "term_flags")
+    plain = {t: tx.mentions(F.col("text"), [p]).cast("int") for t, p in tx.CLINICAL_TERMS.items()}
+    wanted = {r.id: {t: r[t] for t in plain} for r in rows.select("id", *[c.alias(t) for t, c in plain.items()]).collect()}
+    assert {r.id: r.term_flags for r in gated.collect()} == wanted
+    assert sum(map(sum, (w.values() for w in wanted.values()))) > 4
+    plan = gated._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Contains\(_folded#\d+, trauma\) AND RLIKE", plan)
