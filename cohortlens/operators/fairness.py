@@ -155,14 +155,16 @@ def bootstrap_auprc(
     are cut into blocks. A first pass keeps block totals, whose running sums say
     what lies above each block; the second repeats the same draws and adds the
     running sums inside the block. Scores that many rows share need no second
-    pass, so no window holds more than two blocks' rows.
+    pass, so no window holds more than two blocks' rows. Tables that grow with
+    the scores are never broadcast, and both passes spread the rows before they
+    are multiplied.
     """
     keys, chunks, spark = list(keys), -(-replicates // CHUNK), scores.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cells = _blocks(scores, keys)
     start = F.conv(F.substring(hash_key([*keys, *row], seed), 1, 8), 16, 10).cast("long") % (MODULUS - 1) + 1
     rows = clean_scores(scores).select(key_of(keys).alias("_key"), "score", (F.col("label") == 1).alias("_y"), start.alias("_x"))
-    rows = materialise(rows.join(cells, ["_key", "score"]).select("_b", "_hot", "score", "_y", "_x"), "rows")
+    rows = materialise(rows.join(cells.hint("merge"), ["_key", "score"]).select("_b", "_hot", "score", "_y", "_x"), "rows")
     numbers = [F.lit(c) for c in range(chunks)]
     jumps = [F.lit(pow(MULTIPLIER, c * CHUNK, MODULUS)).cast("long") for c in range(chunks)]
     steps = [F.lit(pow(MULTIPLIER, j + 1, MODULUS)).cast("long") for j in range(CHUNK)]
@@ -195,12 +197,12 @@ def bootstrap_auprc(
 
     # The narrow rows are sorted before anything is drawn; rows of one score are peers and share their sums.
     inside = W.partitionBy("_bc").orderBy(F.desc("score"))
-    sorted_rows = exploded(rows.where("NOT _hot")).repartition(tasks, "_bc").sortWithinPartitions("_bc", F.desc("score"))
+    sorted_rows = exploded(rows.where("NOT _hot").repartition(tasks)).repartition(tasks, "_bc").sortWithinPartitions("_bc", F.desc("score"))
     running = drawn(sorted_rows).select("_bc", *[f"_p{j}" for j in range(CHUNK)], *[F.sum(c).over(inside).alias(f"{c}r") for c in names])
-    running = running.join(ahead.select("_bc", *[f"{c}a" for c in names]), "_bc")
+    running = running.join(ahead.select("_bc", *[f"{c}a" for c in names]).hint("merge"), "_bc")
     terms = running.groupBy("_bc").agg(*[F.sum(term(j, F.col(f"_p{j}"), "r")).alias(f"_s{j}") for j in range(CHUNK)])
     own = ahead.where("_hot").select("_bc", *[term(j, F.col(f"_p{j}"), "").alias(f"_s{j}") for j in range(CHUNK)])
-    whole = totals.join(terms.unionByName(own), "_bc")
+    whole = totals.join(terms.unionByName(own).hint("merge"), "_bc")
 
     def replicate(j: int) -> Column:
         p, n = F.sum(f"_p{j}"), F.sum(f"_a{j}") - F.sum(f"_p{j}")

@@ -57,7 +57,9 @@ def prefix_sums(hist: DataFrame, keys: Sequence[str], order: str, measures: Sequ
     """Add ``<m>_below`` and ``<m>_total`` for each measure of a histogram.
 
     ``hist`` holds one row per (keys, order). ``<m>_below`` sums the measure
-    over strictly smaller ``order`` values of the same keys.
+    over strictly smaller ``order`` values of the same keys. Both sides of the
+    joins grow with the distinct values, so neither is broadcast: the file size
+    of a stored table says little about its rows here.
     """
     coarse, fine = value_cells(F.col(order))
     cells = hist.withColumn("_k", key_of(list(keys))).withColumn("_c", coarse).withColumn("_f", fine)
@@ -75,14 +77,14 @@ def prefix_sums(hist: DataFrame, keys: Sequence[str], order: str, measures: Sequ
         *[before(m, ["_k"], "_c").alias(f"_{m}_top") for m in measures],
         *[F.sum(m).over(W.partitionBy("_k")).alias(f"{m}_total") for m in measures],
     )
-    middle = middle.join(top, ["_k", "_c"]).select(
+    middle = middle.join(top.hint("merge"), ["_k", "_c"]).select(
         "_k",
         "_c",
         "_f",
         *[(F.col(f"_{m}_top") + before(m, ["_k", "_c"], "_f")).alias(f"_{m}_mid") for m in measures],
         *[f"{m}_total" for m in measures],
     )
-    return cells.join(middle, ["_k", "_c", "_f"]).select(
+    return cells.join(middle.hint("merge"), ["_k", "_c", "_f"]).select(
         *hist.columns,
         *[
             (F.col(f"_{m}_mid") + before(m, ["_k", "_c", "_f"], order)).alias(f"{m}_below")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.operators import calibration, compare, decision, errors, evaluation, fairness
+from cohortlens.session import materialise
 
 
 def average_precision(y, s):
@@ -248,3 +249,19 @@ def test_term_rates_per_key(spark):
     assert got == {("x", "n"): (1.0, 0.0, 0.666667), ("x", "c"): (0.0, 0.0, 0.333333), ("y", "n"): (0.0, 1.0, 1.0), ("y", "c"): (0.0, 1.0, 1.0)}
     top = {(r.model, r.side): r.term for r in errors.top_terms(rates, 1).collect()}
     assert top == {("x", "fp"): "n", ("x", "fn"): "c", ("y", "fp"): "c", ("y", "fn"): "c"}
+
+
+def test_bootstrap_broadcasts_no_row_tables_and_spreads_both_passes(scores, monkeypatch):
+    seen = {}
+
+    def noted(df, name):
+        seen[name] = df._jdf.queryExecution().executedPlan().toString()
+        return materialise(df, name)
+
+    monkeypatch.setattr(fairness, "materialise", noted)
+    out = fairness.bootstrap_auprc(scores, ["model"], replicates=16, row=("hadm_id",))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert seen["rows"].count("BroadcastHashJoin") <= 1  # the block numbers
+    assert "SortMergeJoin" in seen["rows"]
+    assert "BroadcastHashJoin" not in plan
+    assert plan.count("REPARTITION_BY_NUM") >= 2  # before the rows are multiplied, and by block

@@ -74,3 +74,10 @@ def test_missing_keys_and_odd_values(spark):
     assert got == {"a": 1.5, None: 1.5}
     ranks = hash_ranks(hist.where("not isnan(v)"), ["g"], ["n"]).groupBy("g").agg(F.sum("hash_rank").alias("s"), F.max("stratum_size").alias("m"))
     assert {(r.g, r.s, r.m) for r in ranks.collect()} == {("a", 28, 7), (None, 28, 7)}
+
+
+def test_no_side_that_grows_is_broadcast(spark):
+    hist = spark.range(1000).selectExpr("id % 3 AS k", "rand(1) AS v", "1L AS n")
+    out = prefix_sums(hist, ["k"], "v", ["n"])
+    out.count()
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
