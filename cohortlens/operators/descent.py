@@ -1,8 +1,9 @@
 """Linear models over sparse or dense rows by full-batch descent, with partial gradients per task.
 
 Rows are (y, w, idx, val): label, weight, and the vector as places and values; a null
-``idx`` is a dense vector. Each evaluation reads the rows once. A task adds up its part
-of the losses and gradients and emits them in blocks of places; Spark adds the blocks.
+``idx`` is a dense vector. The rows are stored once as blocks of plain numbers, and each
+evaluation reads the blocks once. A task adds up its part of the losses and gradients and
+emits them in blocks of places; Spark adds the blocks.
 The driver holds vectors of the model's length only, never rows. Steps are accepted
 only if they lower the objective, so every path falls.
 """
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.operators.newton import summed
+from cohortlens.operators.newton import numbers, stored_blocks, summed
 
 BLOCK = 1 << 14
 Objective = Callable[[np.ndarray], tuple[float, np.ndarray]]
@@ -54,34 +55,74 @@ def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, place, value
 
 
+def _packed(entries: int):
+    """Blocks of rows with at most ``entries`` entries (a longer row is a block of its own)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            y, w, dense = batch.column("y").to_numpy(), batch.column("w").to_numpy(), batch.column("idx").null_count > 0
+            _, place, value = _matrix(batch)
+            ends = np.diff(batch.column("val").offsets.to_numpy()).cumsum()
+            a = 0
+            while a < batch.num_rows:
+                first = ends[a - 1] if a else 0
+                b = max(a + 1, int(np.searchsorted(ends, first + entries, "right")))
+                part = slice(first, ends[b - 1])
+                block = {
+                    "y": y[a:b], "w": w[a:b], "sizes": np.diff(ends[a:b], prepend=first).astype(np.int64),
+                    "idx": None if dense else place[part].astype(np.int32), "val": value[part].astype(np.float64),
+                }
+                yield pa.RecordBatch.from_pydict({k: pa.array([None if v is None else v.tobytes()], pa.binary()) for k, v in block.items()})
+                a = b
+
+    return work
+
+
+def blocks_of(rows: DataFrame, entries: int = BLOCK) -> DataFrame:
+    """The rows as stored blocks of numbers (y, w, sizes, idx, val), spread over the tasks."""
+    return stored_blocks(rows.select("y", "w", "idx", "val").mapInArrow(_packed(entries), "y binary, w binary, sizes binary, idx binary, val binary"))
+
+
 def _evaluation(beta: np.ndarray, n_sums: int, n_gradients: int, residuals: Callable):
-    """Adds ``residuals(y, w, z) -> (sums, [row weights per gradient])`` over a task's rows."""
+    """Adds ``residuals(y, w, z) -> (sums, [row weights per gradient])`` over a task's blocks."""
     width = len(beta)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, gradients = np.zeros(n_sums), np.zeros((n_gradients, width))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            row, place, value = _matrix(batch)
-            z = np.bincount(row, value * beta[place], batch.num_rows) + beta[-1]
-            more, weights = residuals(batch.column("y").to_numpy(), batch.column("w").to_numpy(), z)
-            sums += more
-            for k, r in enumerate(weights):
-                gradients[k] += np.bincount(place, value * r[row], width)
-                gradients[k, -1] += r.sum()
+            for block in zip(*[batch.column(c) for c in ("y", "w", "sizes", "idx", "val")], strict=True):
+                y, w, value = (numbers(block[i], np.float64) for i in (0, 1, 4))
+                dense = not block[3].is_valid and len(value) == len(y) * (width - 1)
+                if dense:
+                    x = value.reshape(len(y), width - 1)
+                    z = x @ beta[:-1] + beta[-1]
+                else:
+                    sizes = numbers(block[2], np.int64)
+                    row = np.repeat(np.arange(len(y)), sizes)
+                    place = numbers(block[3], np.int32) if block[3].is_valid else np.arange(len(value)) - np.repeat(sizes.cumsum() - sizes, sizes)
+                    z = np.bincount(row, value * beta[place], len(y)) + beta[-1]
+                more, weights = residuals(y, w, z)
+                sums += more
+                for k, r in enumerate(weights):
+                    if dense:
+                        gradients[k, :-1] += r @ x
+                    else:
+                        gradients[k] += np.bincount(place, value * r[row], width)
+                    gradients[k, -1] += r.sum()
         whole = np.concatenate([sums, gradients.ravel()])
-        blocks = [whole[a : a + BLOCK] for a in range(0, len(whole), BLOCK)]
-        yield pa.RecordBatch.from_pydict({"slot": pa.array(range(len(blocks)), pa.int32()), "v": pa.array(blocks, pa.list_(pa.float64()))})
+        parts = [whole[a : a + BLOCK] for a in range(0, len(whole), BLOCK)]
+        yield pa.RecordBatch.from_pydict({"slot": pa.array(range(len(parts)), pa.int32()), "v": pa.array(parts, pa.list_(pa.float64()))})
 
     return work
 
 
-def _evaluate(rows: DataFrame, beta: np.ndarray, n_sums: int, n_gradients: int, residuals: Callable) -> tuple[np.ndarray, np.ndarray]:
-    blocks = summed(rows.select("y", "w", "idx", "val").mapInArrow(_evaluation(beta, n_sums, n_gradients, residuals), "slot int, v array<double>"))
-    if not blocks:
+def _evaluate(blocks: DataFrame, beta: np.ndarray, n_sums: int, n_gradients: int, residuals: Callable) -> tuple[np.ndarray, np.ndarray]:
+    parts = summed(blocks.mapInArrow(_evaluation(beta, n_sums, n_gradients, residuals), "slot int, v array<double>"))
+    if not parts:
         return np.zeros(n_sums), np.zeros((n_gradients, len(beta)))
-    whole = np.concatenate([blocks[k] for k in sorted(blocks)])
+    whole = np.concatenate([parts[k] for k in sorted(parts)])
     return whole[:n_sums], whole[n_sums:].reshape(n_gradients, -1)
 
 
@@ -111,9 +152,10 @@ def pu_residuals(y, w, z):
 
 def logistic_objective(rows: DataFrame, c: float) -> Objective:
     """C * sum(weight * log-loss) + |coefficients|^2 / 2; the intercept is not penalised."""
+    blocks = blocks_of(rows)
 
     def at(beta: np.ndarray) -> tuple[float, np.ndarray]:
-        sums, gradients = _evaluate(rows, beta, 1, 1, logistic_residuals)
+        sums, gradients = _evaluate(blocks, beta, 1, 1, logistic_residuals)
         ridge = np.append(beta[:-1], 0.0)
         return c * sums[0] + 0.5 * (ridge @ ridge), c * gradients[0] + ridge
 
@@ -127,9 +169,10 @@ def pu_objective(rows: DataFrame, prior: float, penalty: float) -> Objective:
     known once all tasks' parts are added up. With one class missing the
     objective is plain cross-entropy.
     """
+    blocks = blocks_of(rows)
 
     def at(beta: np.ndarray) -> tuple[float, np.ndarray]:
-        (wp, nu, up, down, unl, n_pos, plain), (g_up, g_down, g_unl, g_plain) = _evaluate(rows, beta, 7, 4, pu_residuals)
+        (wp, nu, up, down, unl, n_pos, plain), (g_up, g_down, g_unl, g_plain) = _evaluate(blocks, beta, 7, 4, pu_residuals)
         ridge = np.append(beta[:-1], 0.0)
         value, gradient = 0.5 * penalty * (ridge @ ridge), penalty * ridge
         if not wp or not nu:

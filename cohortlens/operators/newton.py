@@ -1,6 +1,7 @@
 """Logistic regression paths by Newton steps that share one pass over the rows.
 
-A step reads the rows once. Tasks turn each batch into the gradient and the Gram
+The rows are stored once as blocks of plain numbers, and a step reads the blocks once.
+Tasks turn each block into the gradient and the Gram
 matrix of every open model (each key at each penalty) and emit one array per model;
 Spark adds the arrays, and what reaches the driver is one (d + 1) x (d + 2) system per
 model, however many rows there are. A step that raises a model's loss is halved.
@@ -17,9 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.operators.prefix import join_parameters
+from cohortlens.session import materialise
 
 INTERCEPT = "(intercept)"
 MAX_STEPS, TOLERANCE = 60, 1e-7
+#: Rows of a block.
+BLOCK_ROWS = 4096
 KINDS = {str: "string", int: "bigint", float: "double"}
 
 
@@ -41,6 +45,16 @@ def summed(partials: DataFrame) -> dict[int, np.ndarray]:
     return {r.slot: np.array(r.v) for r in rows}
 
 
+def numbers(block: pa.BinaryScalar, kind: type) -> np.ndarray:
+    """The numbers of a block's column."""
+    return np.frombuffer(block.as_buffer(), kind)
+
+
+def stored_blocks(blocks: DataFrame) -> DataFrame:
+    """Blocks of rows, written once over as many tasks as shuffles have: every step of a fit reads them."""
+    return materialise(blocks.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "blocks")
+
+
 @dataclass(frozen=True)
 class Fitted:
     """Coefficients of one model: ``key`` names it, ``c`` is its inverse penalty."""
@@ -60,20 +74,38 @@ class Fitted:
         return F.lit(1.0) / (1.0 + F.exp(-self.logit()))
 
 
-def _partials(state: dict, width: int):
-    """One array per open model: loss, gradient, Gram matrix."""
+def _packed(width: int):
+    """Rows (k, x, y, w) as blocks of one key each; rows without a key are left out."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             x_all = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
             y_all, w_all = batch.column("y").to_numpy(), batch.column("w").to_numpy()
-            keys = batch.column("k").to_pylist()
-            for key in set(keys) & set(state):
-                here = np.array([k == key for k in keys])
-                x, y, w = x_all[here], y_all[here], w_all[here]
+            coded = batch.column("k").dictionary_encode()
+            codes = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            for code, key in enumerate(coded.dictionary.to_pylist()):
+                here = np.flatnonzero(codes == code)
+                for a in range(0, len(here), BLOCK_ROWS):
+                    rows = here[a : a + BLOCK_ROWS]
+                    block = {n: pa.array([v[rows].astype(np.float64).tobytes()], pa.binary()) for n, v in (("x", x_all), ("y", y_all), ("w", w_all))}
+                    yield pa.RecordBatch.from_pydict({"k": pa.array([key], coded.dictionary.type), **block})
+
+    return work
+
+
+def _partials(state: dict, width: int):
+    """One array per open model: loss, gradient, Gram matrix."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for key, *block in zip(batch.column("k").to_pylist(), *[batch.column(c) for c in "xyw"], strict=True):
+                if key not in state:
+                    continue
+                x, y, w = (numbers(b, np.float64) for b in block)
+                x = x.reshape(-1, width)
                 for slot, beta in state[key]:
                     z = x @ beta
                     p = 1.0 / (1.0 + np.exp(-np.clip(z, -700, 700)))
@@ -91,14 +123,16 @@ def fit_logistic(
 ) -> list[Fitted]:
     """Minimises C * sum(weight * log-loss) + |coefficients|^2 / 2 for each value of ``key`` and each C of ``grid``.
 
-    ``rows`` should be stored, as each step reads it. Features and label must not
-    be null. ``key`` has few values (models). The intercept is not penalised.
+    Features and label must not be null. ``key`` has few values (models). The
+    intercept is not penalised.
     """
     width = len(features) + 1
     x = F.array(*[F.col(f"`{f}`").cast("double") for f in features], F.lit(1.0))
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     table = rows.select(F.col(key).alias("k") if key else F.lit("").alias("k"), x.alias("x"), F.col(label).cast("double").alias("y"), w.alias("w"))
-    names = sorted(r.k for r in table.select("k").where("k IS NOT NULL").distinct().collect()) if key else [""]
+    kind = table.schema["k"].dataType.simpleString()
+    blocks = stored_blocks(table.mapInArrow(_packed(width), f"k {kind}, x binary, y binary, w binary"))
+    names = sorted(r.k for r in blocks.select("k").where("k IS NOT NULL").distinct().collect()) if key else [""]
     models = [(k, float(c)) for k in names for c in grid]
     ridge = np.append(np.ones(width - 1), 0.0)
     beta = {i: np.zeros(width) for i in range(len(models))}
@@ -110,7 +144,7 @@ def fit_logistic(
         state: dict = {}
         for i in still:
             state.setdefault(models[i][0], []).append((i, beta[i]))
-        sums = summed(table.mapInArrow(_partials(state, width), "slot int, v array<double>"))
+        sums = summed(blocks.mapInArrow(_partials(state, width), "slot int, v array<double>"))
         for i in list(still):
             if i not in sums:  # a key without rows
                 still.discard(i)

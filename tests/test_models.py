@@ -169,3 +169,21 @@ def test_vocabulary_ties_go_by_the_hash(spark):
     assert {r.term for r in got} == {"aa", *first} and sorted(r.idx for r in got) == [0, 1, 2, 3]
     assert models.vocabulary(counts, "n", 100).count() == 9
     assert models.vocabulary(counts.limit(0), "n", 100).count() == 0
+
+
+def test_fits_read_stored_blocks_that_hold_every_row_once(spark):
+    data = [(float(i % 2), 1.0 + i, list(range(i % 5)) + [9], [float(j) for j in range(i % 5)] + [0.5]) for i in range(40)] + [(1.0, 2.0, list(range(30)), [1.0] * 30), (0.0, 3.0, [], [])]
+    rows = spark.createDataFrame(data, "y double, w double, idx array<int>, val array<double>")
+    found = descent.blocks_of(rows, 8).collect()
+    sizes = [np.frombuffer(b.sizes, np.int64) for b in found]
+    assert all(s.sum() <= 8 or len(s) == 1 for s in sizes)
+    flat = []
+    for b, s in zip(found, sizes):
+        ends = s.cumsum()
+        y, w, idx, val = (np.frombuffer(v, k) for v, k in ((b.y, float), (b.w, float), (b.idx, np.int32), (b.val, float)))
+        flat += [(y[i], w[i], tuple(idx[e - n : e]), tuple(val[e - n : e])) for i, (e, n) in enumerate(zip(ends, s))]
+    assert sorted(flat) == sorted((y, w, tuple(i), tuple(v)) for y, w, i, v in data)
+    keyed = spark.createDataFrame([("a", [1.0, 2.0], 1.0, 1.0), ("b", [3.0, 4.0], 0.0, 2.0), (None, [5.0, 6.0], 1.0, 1.0), ("a", [7.0, 8.0], 0.0, 1.0)], "k string, x array<double>, y double, w double")
+    packed = keyed.mapInArrow(newton._packed(2), "k string, x binary, y binary, w binary").collect()
+    per_key = {k: sorted(v for b in packed if b.k == k for v in np.frombuffer(b.x, float)) for k in {b.k for b in packed}}
+    assert per_key == {"a": [1.0, 2.0, 7.0, 8.0], "b": [3.0, 4.0]}
