@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortlens.functions.demographics import clip
-from cohortlens.functions.text import evaluated_once
-from cohortlens.operators import newton
+from cohortlens.operators import newton, terms
 from cohortlens.operators.evaluation import rank_metrics
 from cohortlens.operators.newton import Fitted
 from cohortlens.operators.prefix import hash_ranks, join_parameters
@@ -77,37 +77,36 @@ def linear_attribution(rows: DataFrame, table: DataFrame, columns: Sequence[str]
 # ── text features ───────────────────────────────────────────────────────────
 
 
+def text_words(notes: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, _words): each note's words of two or more characters, lower case; a missing text has no list."""
+    return notes.select(key, F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)\w{2,}"), 0).alias("_words"))
+
+
+def _kind(df: DataFrame, key: str) -> str:
+    return f"`{key}` {df.schema[key].dataType.simpleString()}"
+
+
 def text_counts(notes: DataFrame, key: str, text: str) -> DataFrame:
     """(key, terms): each note's words of two or more characters and adjacent pairs, counted, lower case.
 
-    Terms are sorted and their stretches measured inside the row, so no text or
-    token is shuffled.
+    A note is counted in its own row, so no text or token is shuffled. A
+    missing text has no list.
     """
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)\b(\w\w+)\b"), 1)
-    tokens = notes.select(key, evaluated_once(words).alias("_w"))
-    pairs = F.transform(
-        F.slice(F.col("_w"), F.lit(2), F.greatest(F.size("_w") - 1, F.lit(0))),
-        lambda w, i: F.concat_ws(" ", F.get(F.col("_w"), i), w),
-    )
-    ordered = tokens.select(key, evaluated_once(F.sort_array(F.concat(F.col("_w"), pairs))).alias("_s"))
-    begins = F.filter(
-        F.transform("_s", lambda t, i: F.when((i == 0) | (t != F.get(F.col("_s"), i - 1)), i)), lambda i: i.isNotNull()
-    )
-    cut = ordered.select(key, "_s", evaluated_once(begins).alias("_b"))
-    end = lambda k: F.coalesce(F.get(F.col("_b"), k + 1), F.size("_s"))
-    counted = F.transform("_b", lambda b, k: F.struct(F.get(F.col("_s"), b).alias("term"), (end(k) - b).alias("tf")))
-    return cut.select(key, counted.alias("terms"))
+    words = text_words(notes, key, text)
+    return words.mapInArrow(terms.counted(key), f"{_kind(words, key)}, terms array<struct<term: string, tf: int>>")
 
 
 def vocabulary(counts: DataFrame, key: str, max_features: int) -> DataFrame:
     """(term, df, idx) of the terms with the highest total count; ties go by the hash of the term.
 
+    ``counts`` holds the terms of ``text_counts`` or the words of ``text_words``.
     The histogram of counts gives the count at the boundary and how many of its
     terms still fit; only those are ranked, in even slices of their hashes. No
     task sorts the terms.
     """
-    rows = counts.select(F.explode("terms").alias("t")).select("t.term", "t.tf")
-    totals = materialise(rows.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df")), "terms")
+    column, count = ("terms", terms.totals) if "terms" in counts.columns else ("_words", terms.word_totals)
+    parts = counts.select(column).mapInArrow(count, "term string, cf bigint, df bigint")
+    totals = materialise(parts.groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df")), "terms")
     hist = totals.groupBy("cf").agg(F.count(F.lit(1)).alias("n"))
     # Different counts are at most the root of twice the tokens: a window over them is small for any corpus.
     upto = F.sum("n").over(W.orderBy(F.desc("cf")))
@@ -121,25 +120,32 @@ def vocabulary(counts: DataFrame, key: str, max_features: int) -> DataFrame:
     return materialise(kept.select("term", "df", (place - 1).alias("idx")), "vocabulary")
 
 
+def _texts_of_key(words: DataFrame, key: str) -> DataFrame:
+    """(key, texts): per row of ``words``, the words of each row of its key; a row without a key has none."""
+    none = F.array().cast("array<array<string>>")
+    own = words.select(key, F.when(F.col(key).isNotNull() & F.col("_words").isNotNull(), F.array("_words")).otherwise(none).alias("texts"))
+    again = words.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key)
+    again = materialise(again, "repeated")
+    if again.isEmpty():
+        return own
+    together = own.join(again, key, "left_semi").groupBy(key).agg(F.flatten(F.collect_list("texts")).alias("_all"))
+    return own.join(together, key, "left").select(key, F.coalesce("_all", "texts").alias("texts"))
+
+
 def text_vectors(notes: DataFrame, key: str, text: str, max_features: int = 50_000) -> tuple[DataFrame, DataFrame]:
     """Sparse unit vectors (key, idx, val) of the notes, and the vocabulary (term, df, idx).
 
     tf = 1 + ln(count), idf = 1 + ln((1 + n) / (1 + df)). A note without a term of
-    the vocabulary has an empty vector. ``key`` is unique.
+    the vocabulary has an empty vector. ``key`` is unique. The vocabulary, at most
+    ``max_features`` rows, goes to every task, so no term of a note is shuffled.
     """
-    counts = materialise(text_counts(notes, key, text), "counts")
-    words = vocabulary(counts, key, max_features)
-    n = float(counts.count())
-    idf = words.select("term", "idx", (1 + F.log((1 + F.lit(n)) / (1 + F.col("df")))).alias("idf"))
-    long = counts.select(key, F.explode("terms").alias("t")).select(key, "t.term", "t.tf")
-    raw = join_parameters(long, idf, ["term"]).select(key, F.struct("idx", ((1 + F.log(F.col("tf"))) * F.col("idf")).alias("w")).alias("e"))
-    vectors = raw.groupBy(key).agg(F.sort_array(F.collect_list("e")).alias("_e"))  # the terms of one note
-    vectors = counts.select(key).join(vectors, key, "left")
-    entries = F.coalesce(F.col("_e"), F.array().cast("array<struct<idx:int,w:double>>"))
-    norm = F.sqrt(F.aggregate(entries, F.lit(0.0), lambda a, e: a + e["w"] * e["w"]))
-    out = vectors.select(key, entries.alias("_e"), evaluated_once(F.array(norm)).alias("_n"))
-    unit = F.transform("_e", lambda e: e["w"] / F.get(F.col("_n"), F.lit(0)))
-    return out.select(key, F.transform("_e", lambda e: e["idx"]).alias("idx"), unit.alias("val")), words
+    found = materialise(text_words(notes, key, text), "words")
+    words = vocabulary(found, key, max_features)
+    n = float(found.count())
+    known = words.select("term", "df", "idx").toArrow().sort_by("idx")
+    idf = 1 + np.log((1 + n) / (1 + known["df"].to_numpy()))
+    weigh = terms.weighted(key, known["term"].combine_chunks(), idf)
+    return _texts_of_key(found, key).mapInArrow(weigh, f"{_kind(found, key)}, idx array<int>, val array<double>"), words
 
 
 def tfidf(notes: DataFrame, key: str, text: str, max_features: int = 50_000) -> DataFrame:
@@ -152,7 +158,7 @@ def tfidf(notes: DataFrame, key: str, text: str, max_features: int = 50_000) ->
 def vector_attribution(vectors: DataFrame, key: str, words: DataFrame, table: DataFrame) -> DataFrame:
     """(key, term, value): coefficient * value of each term of sparse text vectors.
 
-    ``table`` is (term, coefficient); terms without a coefficient are left out.
+    ``table`` is (term, coefficient), one row per term; terms without a coefficient are left out.
     """
     named = words.select("term", "idx").join(table.select("term", "coefficient"), "term").select("idx", "term", "coefficient")
     long = vectors.select(key, F.explode(F.arrays_zip("idx", "val")).alias("e")).select(key, "e.idx", "e.val")

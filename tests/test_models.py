@@ -1,5 +1,7 @@
 """Linear models: the penalty convention, propensity defaults and PU weights."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -187,3 +189,55 @@ def test_fits_read_stored_blocks_that_hold_every_row_once(spark):
     packed = keyed.mapInArrow(newton._packed(2), "k string, x binary, y binary, w binary").collect()
     per_key = {k: sorted(v for b in packed if b.k == k for v in np.frombuffer(b.x, float)) for k in {b.k for b in packed}}
     assert per_key == {"a": [1.0, 2.0, 7.0, 8.0], "b": [3.0, 4.0]}
+
+
+def test_text_vectors_move_no_terms_and_take_any_key(spark):
+    """Vectors equal plain Python, also for repeated and missing keys, and no entry of a note is shuffled."""
+    from collections import Counter
+
+    texts = [(1, "Aa bb aa bb, CC x dd"), (2, None), (3, ""), (None, "aa bb"), (4, "cc dd aa"), (5, "Ünïcode_1 ünïcode_1 x 𝔘𝔫 aa"), (6, "zz")]
+    twice = [*texts, (4, "aa aa dd"), (None, "aa")]
+
+    def count(text):
+        w = [t for t in re.findall(r"\w+", (text or "").lower()) if len(t) > 1]
+        return Counter([*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))])
+
+    for rows in (texts, twice):
+        frame = spark.createDataFrame(rows, "k long, t string").repartition(3)
+        vectors, vocabulary = models.text_vectors(frame, "k", "t", 12)
+        words = {r.idx: r for r in vocabulary.collect()}
+        assert len(words) == 12 and all(r.df == sum(r.term in count(t) for _, t in rows) for r in words.values())
+        want = []
+        for k, _ in rows:
+            each = [] if k is None else [count(t) for other, t in rows if other == k]
+            w = [(i, (1 + np.log(c[r.term])) * (1 + np.log((1 + len(rows)) / (1 + r.df)))) for i, r in words.items() for c in each if r.term in c]
+            norm = np.sqrt(sum(x * x for _, x in w))
+            want.append((k or 0, [(i, round(x / norm, 9)) for i, x in sorted(w)]))
+        got = [(r.k or 0, [(i, round(v, 9)) for i, v in zip(r.idx, r.val, strict=True)]) for r in vectors.collect()]
+        assert sorted(got) == sorted(want)
+        if rows is texts:
+            assert "Exchange" not in vectors._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_are_counted_alike_in_small_slices(monkeypatch):
+    import pyarrow as pa
+
+    from cohortlens.operators import terms
+
+    words = [["aa", "bb", "aa"], None, [], ["bb", "aa", "bb", "aa"], ["cc"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(words, pa.list_(pa.string()))], ["k", "_words"])
+
+    def summed(part):
+        out = {}
+        for r in pa.Table.from_batches(part).to_pylist():
+            cf, df = out.get(r["term"], (0, 0))
+            out[r["term"]] = (cf + r["cf"], df + r["df"])
+        return out
+
+    want = {"aa": (4, 2), "bb": (3, 2), "cc": (1, 1), "aa bb": (2, 2), "bb aa": (3, 2)}
+    for size in (1, 3, 1 << 21):
+        monkeypatch.setattr(terms, "SLICE", size)
+        assert summed(terms.word_totals(iter([batch, batch.slice(0, 0)]))) == want
+        counted = list(terms.counted("k")(iter([batch])))
+        assert summed(terms.totals(iter(counted))) == want
+        assert [r["terms"] is None for p in counted for r in p.to_pylist()] == [False, True, False, False, False]
