@@ -162,7 +162,8 @@ def vector_attribution(vectors: DataFrame, key: str, words: DataFrame, table: Da
     """
     named = words.select("term", "idx").join(table.select("term", "coefficient"), "term").select("idx", "term", "coefficient")
     long = vectors.select(key, F.explode(F.arrays_zip("idx", "val")).alias("e")).select(key, "e.idx", "e.val")
-    return join_parameters(long, named, ["idx"]).select(key, "term", (F.col("coefficient") * F.col("val")).alias("value"))
+    # A vocabulary is bounded: its join spreads it, and the entries stay where they are.
+    return join_parameters(long, F.broadcast(named), ["idx"]).select(key, "term", (F.col("coefficient") * F.col("val")).alias("value"))
 
 
 def term_odds(rows: DataFrame) -> DataFrame:

@@ -217,6 +217,9 @@ def test_text_vectors_move_no_terms_and_take_any_key(spark):
         assert sorted(got) == sorted(want)
         if rows is texts:
             assert "Exchange" not in vectors._jdf.queryExecution().executedPlan().toString()
+    long = models.vector_attribution(vectors, "k", vocabulary, vocabulary.select("term", F.lit(2.0).alias("coefficient")))
+    assert sum(r.value for r in long.collect()) == pytest.approx(2 * sum(sum(r.val) for r in vectors.collect()))
+    assert "SortMergeJoin" not in long._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
 
 
 def test_terms_are_counted_alike_in_small_slices(monkeypatch):
