@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortlens.functions import text as tx
+from cohortlens.operators import spans
 from cohortlens.operators.prefix import join_parameters, percentiles
 
 UNKNOWN = "unknown"
@@ -50,19 +51,17 @@ def whole_words(tokens: DataFrame, note: str = "hadm_id") -> DataFrame:
 
     A sub-span continues the word when it starts where the previous one ended
     and the previous character is a letter, "-" or "'". Words keep two or more
-    characters, all of them letters, "-" or "'". The window spans one note.
+    characters, all of them letters, "-" or "'". The pieces of a note are sorted,
+    then merged in one pass.
     """
-    order = W.partitionBy(note).orderBy("tok_start")
-    joined = (F.lag("tok_end").over(order) == F.col("tok_start")) & F.lag("token").over(order).rlike(r"[\p{L}'\-]$")
-    starts = F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1)
-    numbered = tokens.withColumn("_new", starts).withColumn("_word", F.sum("_new").over(order))
-    pieces = F.array_sort(F.collect_list(F.struct("tok_start", "token")))  # pieces of one word
-    merged = numbered.groupBy(note, "_word").agg(
-        F.lower(F.array_join(F.transform(pieces, lambda p: p["token"]), "")).alias("word"),
-        F.sum("value").alias("value"),
-        F.min("tok_start").alias("word_start"),
+    pieces = tokens.select(
+        note, F.col("tok_start").cast("long").alias("tok_start"), F.col("tok_end").cast("long").alias("tok_end"),
+        "token", F.col("value").cast("double").alias("value"), F.col("token").rlike(r"[\p{L}'\-]$").alias("_open"),
     )
-    return merged.where(F.col("word").rlike(r"^[\p{L}'\-]{2,}$")).drop("_word")
+    ordered = pieces.repartition(note).sortWithinPartitions(note, "tok_start", "token")
+    kind = tokens.schema[note].dataType.simpleString()
+    merged = ordered.mapInArrow(spans.merged(note), f"`{note}` {kind}, word string, value double, word_start bigint")
+    return merged.withColumn("word", F.lower("word")).where(F.col("word").rlike(r"^[\p{L}'\-]{2,}$"))
 
 
 def by_term(words: DataFrame, term: str = "word", min_count: int = 3) -> DataFrame:

@@ -7,10 +7,10 @@ with the data. ``sql.py`` holds the same definitions for the SQL check.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortlens.functions import text as tx
+from cohortlens.operators import spans
 from cohortlens.session import spread
 
 ERAS = ["2008 - 2010", "2011 - 2013", "2014 - 2016", "2017 - 2019"]
@@ -197,26 +197,20 @@ def token_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word pieces of every note with a stand-in attribution value.
 
     Pieces are at most five characters; offsets count characters of the note's
-    joined sections.
+    joined sections. Notes are cut in their row and then dealt by their key, so
+    what follows per note moves no piece again.
     """
     notes = tx.with_sections(discharge(spark, sf_dir), "text").select(
         "hadm_id", tx.joined_sections(F.col("sections")).alias("note_text")
     ).where("note_text IS NOT NULL")
-    runs = F.regexp_extract_all("note_text", F.lit(r"(\S+|\s+)"), 1)
-    placed = notes.select("hadm_id", tx.evaluated_once(runs).alias("runs")).select(
-        "hadm_id", F.posexplode("runs").alias("pos", "run")
-    )
-    before = W.partitionBy("hadm_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    placed = placed.withColumn("base", F.coalesce(F.sum(F.length("run")).over(before), F.lit(0)))
-    words = placed.where(F.trim(F.translate("run", "\n\t\r", "   ")) != "")
-    offsets = F.sequence(F.lit(0), F.length("run") - 1, F.lit(5))
-    pieces = words.select("hadm_id", "base", "run", F.explode(offsets).alias("o"))
-    start = (F.col("base") + F.col("o")).cast("long")
-    token = F.expr("substring(run, o + 1, 5)")
-    return pieces.select(
+    texts = notes.groupBy("hadm_id").agg(F.collect_list("note_text").alias("texts"))  # of one key
+    cut = texts.mapInArrow(spans.cut("hadm_id", 5), "hadm_id bigint, starts array<bigint>, tokens array<string>")
+    pieces = cut.repartition("hadm_id").select("hadm_id", "starts", F.posexplode("tokens").alias("i", "token"))
+    start = F.get(F.col("starts"), F.col("i"))
+    return pieces.select("hadm_id", start.alias("tok_start"), "token").select(
         "hadm_id",
-        start.alias("tok_start"),
-        (start + F.length(token)).alias("tok_end"),
-        token.alias("token"),
-        md5_uniform("9", F.col("hadm_id"), start).alias("value"),
+        "tok_start",
+        (F.col("tok_start") + F.length("token")).alias("tok_end"),
+        "token",
+        md5_uniform("9", F.col("hadm_id"), F.col("tok_start")).alias("value"),
     )

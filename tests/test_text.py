@@ -162,3 +162,68 @@ def test_a_term_is_looked_for_only_where_its_letters_stand(spark):
     assert sum(map(sum, (w.values() for w in wanted.values()))) > 4
     plan = gated._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Contains\(_folded#\d+, trauma\) AND RLIKE", plan)
+
+
+def test_words_merge_in_one_pass_whatever_the_batches(spark):
+    """Repeated, missing and shared starts, missing values, words over batch ends; no window over a note."""
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for note in (1, 2, 3, None):
+        at = 0
+        for _ in range(60):
+            token = rng.choice(["ab", "c-", "d'", "e", "9", "é", "x."])
+            rows.append((note, at, at + len(token), token, rng.choice([0.5, 1.0, None])))
+            at += len(token) + rng.choice([0, 0, 0, 1])
+    rows += [(4, 0, 2, "ab", 1.0), (4, 2, 4, "cd", 1.0), (4, 2, 4, "cd", 2.0), (4, 4, 5, "e", 4.0), (5, 3, 4, "ab\n", 1.0), (5, 4, 6, "cd", 1.0)]
+    want, held = [], None
+    for r in sorted(rows, key=lambda r: (r[0] or 0, r[1])):  # nothing joins the second of two equal starts but its peer
+        peer = held and held["note"] == r[0] and held["start"] == r[1]
+        joins = held and held["note"] == r[0] and held["end"] == r[1] and re.search(r"[^\W\d_'\-]$|['\-]$", held["token"].rstrip("\n"))
+        if not (peer or joins):
+            held = {"note": r[0], "first": r[1], "text": "", "values": []}
+            want.append(held)
+        held.update(start=r[1], end=r[2], token=r[3], text=held["text"] + r[3], values=[*held["values"], r[4]])
+    want = [w for w in want if w["note"] != 4 and re.fullmatch(r"(?:[^\W\d_]|['\-]){2,}", w["text"])]
+    total = lambda v: -1.0 if all(x is None for x in v) else sum(x for x in v if x is not None)
+    want = [(w["note"] or 0, w["first"], w["text"], total(w["values"])) for w in want]
+    # The second of two pieces with one start begins a word, and its peer goes with it.
+    want += [(4, 0, "ab", 1.0), (4, 2, "cdcde", 7.0)]
+    df = spark.createDataFrame(rows, "hadm_id long, tok_start long, tok_end long, token string, value double").repartition(5)
+    words = attribution.whole_words(df)
+    assert "Window" not in words._jdf.queryExecution().executedPlan().toString()
+    usual = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("3", usual):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = [(r.hadm_id or 0, r.word_start, r.word, -1.0 if r.value is None else r.value) for r in words.collect()]
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", usual)
+        assert sorted(got) == sorted(want)
+
+
+def test_pieces_are_cut_without_a_window(spark, tmp_path):
+    from cohortlens.functions import text as tx
+    from cohortlens.plans import standins
+
+    texts = [(7, "Plan:\nwordlonger than\tfive\x0b é𝔘𝔘𝔘𝔘𝔘x\n", "en"), (14, "one\ntwo", "en"), (14, "three four\n", "en"), (21, None, "en"), (28, "", "en")]
+    docs = spark.createDataFrame([(i, t, g, "s", len(t or "")) for i, t, g in texts], standins.SCHEMAS["documents"])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    tokens = standins.token_pieces(spark, str(tmp_path))
+    assert "Window" not in tokens._jdf.queryExecution().executedPlan().toString()
+    parsed = tx.with_sections(standins.discharge(spark, str(tmp_path)), "text").select("hadm_id", tx.joined_sections(F.col("sections")).alias("t"))
+    notes = {}
+    for r in parsed.where("t IS NOT NULL").collect():
+        notes.setdefault(r.hadm_id, []).append(re.findall(r"[^ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+", r.t))
+    want = []
+    for key, lists in notes.items():
+        base = 0
+        for turn in range(max(map(len, lists))):
+            for run in (part[turn] for part in lists if turn < len(part)):
+                if run.strip(" \n\t\r"):
+                    want += [(key, base + o, base + o + len(run[o : o + 5]), run[o : o + 5]) for o in range(0, len(run), 5)]
+                base += len(run)
+    got = [(r.hadm_id, r.tok_start, r.tok_end, r.token) for r in tokens.collect()]
+    assert len(got) > 20 and sorted((k, e - s) for k, s, e, _ in got) == sorted((k, e - s) for k, s, e, _ in want)
+    assert sorted(x for x in got if x[0] != 14) == sorted(x for x in want if x[0] != 14)
