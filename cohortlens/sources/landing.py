@@ -1,7 +1,7 @@
 """Incremental landing of multi-line note files as Parquet.
 
-A CSV file with line breaks inside values is parsed by one task, so it should be
-parsed once. A manifest names every landed file by path, size and time with the
+A CSV file with line breaks inside values takes two passes to be split between
+tasks, so it should be parsed once. A manifest names every landed file by path, size and time with the
 batch that holds its rows. A run parses only files that the manifest does not know;
 a batch counts from the moment its manifest rows are committed, so readers never
 see the rows of a run that failed. A file that changed is landed again, and its
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.operators.prefix import join_parameters
-from cohortlens.sources.readers import raw_csv
+from cohortlens.sources.readers import split_csv
 
 MANIFEST = "path string, length bigint, modified timestamp, batch string, landed_at timestamp"
 NOTES = "hadm_id bigint, text string, path string, batch string"
@@ -46,8 +46,8 @@ def land_notes(spark: SparkSession, source: str, target: str) -> int:
     if not new:
         return 0
     batch = uuid.uuid4().hex
-    notes = raw_csv(spark, [r.path for r in new], multiline=True)
-    notes = notes.select(F.trim("hadm_id").try_cast("bigint").alias("hadm_id"), "text", F.col("_metadata.file_path").alias("path"))
+    notes = split_csv(spark, [r.path for r in new])
+    notes = notes.select(F.trim("hadm_id").try_cast("bigint").alias("hadm_id"), "text", "path")
     notes.withColumn("batch", F.lit(batch)).write.parquet(f"{target}/batches/{batch}")
     rows = spark.createDataFrame([(r.path, r.length, r.modified, batch) for r in new], "path string, length bigint, modified timestamp, batch string")
     rows.withColumn("landed_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{target}/manifest")

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.session import materialise
+from cohortlens.sources import records
+
 _S, _L, _I, _TS = T.StringType(), T.LongType(), T.IntegerType(), T.TimestampType()
 
 # Column name and type per hospital table.
@@ -36,6 +39,23 @@ def raw_csv(spark: SparkSession, path: str | list[str], multiline: bool = False)
     return reader.option("multiLine", multiline).option("mode", "PERMISSIVE").csv(path)
 
 
+def split_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``raw_csv`` of files with line breaks inside values plus ``path``; a regular file is parsed by a task per split.
+
+    The records are stored once. A file that holds any irregular one is parsed whole, by one task.
+    """
+    header = raw_csv(spark, paths, multiline=True)
+    rows = records.joined(materialise(records.found(spark, paths), "records"))
+    odd = [r.path for r in rows.where("NOT regular").select("path").distinct().collect()]  # at most one row per file
+    schema = ", ".join(f"`{c}` string" for c in header.columns)
+    parsed = F.from_csv("record", schema, {"quote": '"', "escape": '"', "multiLine": "true"})
+    out = rows.where(~F.col("header") & ~F.col("path").isin(odd)).select("path", parsed.alias("_v")).select("_v.*", "path")
+    if odd:
+        whole = raw_csv(spark, paths, multiline=True).withColumn("path", F.col("_metadata.file_path")).where(F.col("path").isin(odd))
+        out = out.unionByName(whole)
+    return out
+
+
 def read_table(spark: SparkSession, table: str, path: str, columns: list[str] | None = None) -> DataFrame:
     """Hospital table with declared types, pruned to ``columns``.
 

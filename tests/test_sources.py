@@ -120,3 +120,41 @@ def test_reuse_repairs_a_broken_write_and_keys_by_model_and_input(spark, folder)
     assert writers.is_complete(spark, path)
     paths = {writers.stored_path("/r", m, i) for m in ("a", "b") for i in ("x", "y")}
     assert len(paths) == 4
+
+
+def test_a_file_with_breaks_in_values_is_parsed_in_splits(spark, folder):
+    """Any split size gives the rows of Spark's whole-file parser, for regular and irregular files."""
+    long = "".join(f"line {i} with ""quotes"" and, commas\n" for i in range(40)).replace('"', '""')
+    files = {
+        "a": 'hadm_id,text\n1,"two\nlines, ""quoted"" \n\n"\n\n2,plain\n3,\n4,""\n5,"x",extra\n6\n' + f'7,"{long}"\n8,"\r\nreturn"\n9,"ünï\n""\n"\n',
+        "b": 'hadm_id,text\n' + "".join(f'{i},"note {i}\n""{i}"""\n' for i in range(100, 140)),
+        "mid": 'hadm_id,text\n11,5" pipe\n12,"a\nb"\n13,6" pipe\n', "windows": 'hadm_id,text\r\n21,"a\r\nb"\r\n22,c\r\n', "open": 'hadm_id,text\n31,a\n32,"never\nclosed\n',
+        "blank": 'hadm_id,text\n41,a\n  \n42,"b\n"', "bom": '﻿hadm_id,text\n51,"a\nb"\n',
+    }
+    source = folder / "splits"
+    source.mkdir()
+    for name, text in files.items():
+        (source / f"{name}.csv").write_bytes(text.encode())
+    (source / "bytes.csv").write_bytes(b'hadm_id,text\n61,"a\xff\nb"\n62,c\n')
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size, groups in (("23", [["a", "b"], ["mid"], ["windows"], ["open"], ["blank"], ["bom"], ["bytes"]]), ("300", [["a", "b"]])):
+        for names in groups:
+            paths = [str(source / f"{n}.csv") for n in names]
+            whole = readers.raw_csv(spark, paths, multiline=True)
+            want = sorted(map(str, whole.collect()))
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            try:
+                got = readers.split_csv(spark, paths)
+                assert sorted(map(str, got.drop("path").collect())) == want, (names, size)
+            finally:
+                spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+    target = str(folder / "splits-landed")
+    for n in ("a", "mid", "windows", "open", "blank", "bom", "bytes"):
+        (source / f"{n}.csv").unlink()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        assert landing.land_notes(spark, str(source), target) == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+    rows = spark.read.parquet(f"{target}/batches/*")
+    assert rows.count() == 40 and rows.select("_metadata.file_name").distinct().count() > 1
