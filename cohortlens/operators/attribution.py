@@ -7,12 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from cohortlens.functions import text as tx
 from cohortlens.operators import spans
 from cohortlens.operators.prefix import join_parameters, percentiles
 
 UNKNOWN = "unknown"
+_OPEN = r"[\p{L}'\-]$"
 
 
 def section_of(tokens: DataFrame, notes: DataFrame, note: str = "hadm_id") -> DataFrame:
@@ -52,15 +54,21 @@ def whole_words(tokens: DataFrame, note: str = "hadm_id") -> DataFrame:
     A sub-span continues the word when it starts where the previous one ended
     and the previous character is a letter, "-" or "'". Words keep two or more
     characters, all of them letters, "-" or "'". The pieces of a note are sorted,
-    then merged in one pass.
+    then merged in one pass. ``tokens`` has a row per piece, which are brought
+    together by note, or a row per note with an array per column, in which the
+    pieces stay.
     """
+    arrays = isinstance(tokens.schema["token"].dataType, ArrayType)
+    many = (lambda kind: f"array<{kind}>") if arrays else (lambda kind: kind)
+    is_open = F.transform("token", lambda t: t.rlike(_OPEN)) if arrays else F.col("token").rlike(_OPEN)
     pieces = tokens.select(
-        note, F.col("tok_start").cast("long").alias("tok_start"), F.col("tok_end").cast("long").alias("tok_end"),
-        "token", F.col("value").cast("double").alias("value"), F.col("token").rlike(r"[\p{L}'\-]$").alias("_open"),
+        note, F.col("tok_start").cast(many("bigint")).alias("tok_start"), F.col("tok_end").cast(many("bigint")).alias("tok_end"),
+        "token", F.col("value").cast(many("double")).alias("value"), is_open.alias("_open"),
     )
-    ordered = pieces.repartition(note).sortWithinPartitions(note, "tok_start", "token")
+    if not arrays:
+        pieces = pieces.repartition(note).sortWithinPartitions(note, "tok_start", "token")
     kind = tokens.schema[note].dataType.simpleString()
-    merged = ordered.mapInArrow(spans.merged(note), f"`{note}` {kind}, word string, value double, word_start bigint")
+    merged = pieces.mapInArrow(spans.merged(note, arrays), f"`{note}` {kind}, word string, value double, word_start bigint")
     return merged.withColumn("word", F.lower("word")).where(F.col("word").rlike(r"^[\p{L}'\-]{2,}$"))
 
 

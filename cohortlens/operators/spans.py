@@ -12,38 +12,55 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 
+try:
+    from _md5 import md5  # for short keys less than half the time of the general constructor
+except ImportError:
+    from hashlib import md5
+
 # Executors need not have this package installed: what runs there is sent with the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 RUN = re.compile(r"[^ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+")
+PIECES = ("tok_start", "tok_end", "token", "value")  # one array each in a note's row
 
 
-def cut(key: str, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(key, texts) to (key, starts, tokens): pieces of at most ``size`` characters of the runs that are not blank.
+def cut(key: str, size: int, seed: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, texts) to (key, tok_start, tok_end, token, value): pieces of at most ``size`` characters of the runs that are not blank.
 
     The runs of several texts of a key take turns; offsets count the characters of all runs before.
+    The value is uniform: the first 32 bits of the md5 of ``seed``, key and start.
     """
-
-    def pieces(texts: list[str]) -> tuple[list[int], list[str]]:
-        lists = [RUN.findall(t) for t in texts]
-        runs = lists[0] if len(lists) == 1 else [r for turn in zip_longest(*lists) for r in turn if r is not None]
-        starts, tokens, base = [], [], 0
-        for run in runs:
-            n = len(run)
+    piece = re.compile(rf"[^ \t\n\x0b\f\r]{{1,{size}}}")
+
+    def pieces(texts: list[str], starts: list[int], tokens: list[str]) -> None:
+        if len(texts) == 1 and "\x0b" not in texts[0] and "\f" not in texts[0]:  # every space is blank
+            for found in piece.finditer(texts[0]):
+                starts.append(found.start())
+                tokens.append(found[0])
+            return
+        base = 0
+        for run in (r for turn in zip_longest(*map(RUN.findall, texts)) for r in turn if r is not None):
             if run.strip(" \n\t\r"):
-                for o in range(0, n, size):
+                for o in range(0, len(run), size):
                     starts.append(base + o)
                     tokens.append(run[o : o + size])
-            base += n
-        return starts, tokens
+            base += len(run)
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found = [pieces(texts) for texts in part.column("texts").to_pylist()]
-                starts, tokens = pa.array([s for s, _ in found], pa.list_(pa.int64())), pa.array([t for _, t in found], pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([part.column(key), starts, tokens], [key, "starts", "tokens"])
+                starts, tokens, bits, ends = [], [], [], [0]
+                for note, texts in zip(part.column(key).to_pylist(), part.column("texts").to_pylist()):
+                    pieces(texts, starts, tokens)
+                    head = "|".join([seed, *([] if note is None else [str(note)]), ""]).encode()
+                    bits += [md5(head + b"%d" % s).digest()[:4] for s in starts[ends[-1] :]]
+                    ends.append(len(starts))
+                start, token = pa.array(starts, pa.int64()), pa.array(tokens, pa.string())
+                value = pa.array(np.frombuffer(b"".join(bits), ">u4") / 4294967296.0)
+                flat = [start, pc.add(start, pc.utf8_length(token).cast(pa.int64())), token, value]
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), c) for c in flat]
+                yield pa.RecordBatch.from_arrays([part.column(key), *lists], [key, *PIECES])
 
     return run
 
@@ -55,11 +72,24 @@ def _follows(column: pa.Array) -> np.ndarray:
     return np.concatenate([[False], same.to_numpy(zero_copy_only=False)])
 
 
-def merged(note: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _flat(rows: pa.RecordBatch, note: str) -> pa.Table:
+    """Notes with arrays of pieces to one row per piece, sorted by note row, start and token."""
+    of = np.repeat(np.arange(rows.num_rows), pc.fill_null(pc.list_value_length(rows.column("token")), 0))
+    names = [*PIECES, "_open"]
+    flat = pa.Table.from_arrays([pa.array(of), rows.column(note).take(pa.array(of)), *[pc.list_flatten(rows.column(c)) for c in names]], ["_of", note, *names])
+    start = pc.fill_null(flat.column("tok_start").combine_chunks(), np.iinfo(np.int64).min).to_numpy()
+    if ((of[1:] == of[:-1]) & (start[1:] <= start[:-1])).any():
+        keys = [(c, "ascending") for c in ("_of", "tok_start", "token")]
+        flat = flat.take(pc.sort_indices(flat, sort_keys=keys, null_placement="at_start"))
+    return flat.drop_columns("_of")
+
+
+def merged(note: str, arrays: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Pieces (note, tok_start, tok_end, token, value, _open), sorted by note and start, to words (note, word, value, word_start).
 
     A piece continues a word when the piece before is ``_open`` and ends where it
     starts. Pieces with one start stay together. Only the last word of a batch is held.
+    With ``arrays`` a row is a whole note and its pieces are arrays, in any order.
     """
 
     def words(rows: pa.Table, last: bool) -> tuple[pa.RecordBatch | None, int]:
@@ -105,4 +135,11 @@ def merged(note: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
         if rest is not None:
             yield words(rest, True)[0]
 
-    return run
+    def run_notes(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                rows = _flat(batch.slice(at, 500), note)
+                if rows.num_rows:
+                    yield words(rows, True)[0]
+
+    return run_notes if arrays else run

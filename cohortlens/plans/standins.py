@@ -193,24 +193,26 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def token_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word pieces of every note with a stand-in attribution value.
+def token_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word pieces of every note with a stand-in attribution value: a row per note, an array per column.
 
     Pieces are at most five characters; offsets count characters of the note's
-    joined sections. Notes are cut in their row and then dealt by their key, so
-    what follows per note moves no piece again.
+    joined sections. Notes are cut in their row.
     """
     notes = tx.with_sections(discharge(spark, sf_dir), "text").select(
         "hadm_id", tx.joined_sections(F.col("sections")).alias("note_text")
     ).where("note_text IS NOT NULL")
     texts = notes.groupBy("hadm_id").agg(F.collect_list("note_text").alias("texts"))  # of one key
-    cut = texts.mapInArrow(spans.cut("hadm_id", 5), "hadm_id bigint, starts array<bigint>, tokens array<string>")
-    pieces = cut.repartition("hadm_id").select("hadm_id", "starts", F.posexplode("tokens").alias("i", "token"))
-    start = F.get(F.col("starts"), F.col("i"))
-    return pieces.select("hadm_id", start.alias("tok_start"), "token").select(
-        "hadm_id",
-        "tok_start",
-        (F.col("tok_start") + F.length("token")).alias("tok_end"),
-        "token",
-        md5_uniform("9", F.col("hadm_id"), F.col("tok_start")).alias("value"),
-    )
+    schema = "hadm_id bigint, tok_start array<bigint>, tok_end array<bigint>, token array<string>, value array<double>"
+    return texts.mapInArrow(spans.cut("hadm_id", 5, "9"), schema)
+
+
+def token_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``token_notes`` with a row per piece, dealt by their note: what follows per note moves no piece again."""
+    notes = token_notes(spark, sf_dir).repartition("hadm_id")
+    pieces = notes.select("hadm_id", "tok_start", "tok_end", "value", F.posexplode("token").alias("i", "piece"))
+
+    def at(name: str) -> Column:
+        return F.get(F.col(name), F.col("i")).alias(name)
+
+    return pieces.select("hadm_id", at("tok_start"), at("tok_end"), F.col("piece").alias("token"), at("value"))

@@ -236,6 +236,10 @@ def _tokens(s: Study):
     return standins.token_pieces(s.spark, s.sf_dir)
 
 
+def _words(s: Study):
+    return attribution.whole_words(standins.token_notes(s.spark, s.sf_dir))
+
+
 def _spans(s: Study):
     return tx.with_sections(s.discharge, "text").select("hadm_id", tx.section_spans(F.col("sections")).alias("spans"))
 
@@ -266,7 +270,7 @@ _WORDS_MERGED = rf"""SELECT hadm_id, word, value, word_start FROM (
 
 @query("whole_word_values", "hadm_id:l word:s value:d word_start:l", "TXT17", _WORDS_MERGED)
 def whole_word_values(s: Study):
-    return attribution.whole_words(_tokens(s))
+    return _words(s)
 
 
 _TERMS = f"""SELECT word, avg(value) AS mean_attribution, stddev_pop(value) AS std_attribution, count(*) AS n_occurrences,
@@ -275,13 +279,13 @@ _TERMS = f"""SELECT word, avg(value) AS mean_attribution, stddev_pop(value) AS s
 
 @query("attribution_by_term", "word:s mean_attribution:d std_attribution:d n_occurrences:l total_attribution:d", "ML12", _TERMS)
 def attribution_by_term(s: Study):
-    return attribution.by_term(attribution.whole_words(_tokens(s)))
+    return attribution.by_term(_words(s))
 
 
 @query("top_terms_by_attribution", "word:s n_occurrences:l mean_attribution:d", "TOP2 ML12",
        f"SELECT word, n_occurrences, mean_attribution FROM ({_TERMS}) ORDER BY mean_attribution DESC, word LIMIT 50")
 def top_terms_by_attribution(s: Study):
-    return attribution.top_by_mean(attribution.by_term(attribution.whole_words(_tokens(s))))
+    return attribution.top_by_mean(attribution.by_term(_words(s)))
 
 
 # ── text features ───────────────────────────────────────────────────────────

@@ -227,3 +227,64 @@ def test_pieces_are_cut_without_a_window(spark, tmp_path):
     got = [(r.hadm_id, r.tok_start, r.tok_end, r.token) for r in tokens.collect()]
     assert len(got) > 20 and sorted((k, e - s) for k, s, e, _ in got) == sorted((k, e - s) for k, s, e, _ in want)
     assert sorted(x for x in got if x[0] != 14) == sorted(x for x in want if x[0] != 14)
+
+
+def test_words_of_notes_in_one_row_are_those_of_their_pieces(spark):
+    """Arrays in any order, missing notes, starts and values; small batches."""
+    import random
+
+    rng = random.Random(6)
+    rows = []
+    for note in (1, 2, 3, 4, 5, None):
+        at = 0
+        for _ in range(50):
+            token = rng.choice(["ab", "c-", "D'", "e", "9", "é", "x.", "ab\n"])
+            rows.append((note, at, at + len(token), token, rng.choice([0.5, 1.0, None])))
+            at += len(token) + rng.choice([0, 0, 0, 1])
+        rows += rng.sample(rows, 3) + [(note, None, 4, "abc", 1.0)]
+    df = spark.createDataFrame(rows, "hadm_id long, tok_start int, tok_end long, token string, value double")
+    packed = df.orderBy(F.rand(3)).groupBy("hadm_id").agg(*[F.collect_list(F.struct(c)).getField(c).alias(c) for c in df.columns[1:]])
+    blank = packed.limit(1).select(F.lit(9).cast("long").alias("hadm_id"), *[F.slice(c, 1, 0).alias(c) for c in df.columns[1:]])
+    words = attribution.whole_words(packed.union(blank).coalesce(1))
+    plan = words._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+
+    def found(words):
+        return sorted((r.hadm_id or 0, r.word_start if r.word_start is not None else -1, r.word, -1.0 if r.value is None else r.value) for r in words.collect())
+
+    want = found(attribution.whole_words(df))
+    assert len(want) > 30
+    usual = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("2", usual):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            assert found(words) == want
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", usual)
+
+
+def test_values_of_pieces_follow_their_note_and_start(spark, tmp_path):
+    from cohortlens.plans import standins
+
+    texts = [(7, "Plan:\nwordlonger than\tfive\x0b é𝔘𝔘𝔘𝔘𝔘x\n"), (14, "one two\nPlan:\nthe é𝔘𝔘𝔘𝔘𝔘𝔘 word\n\tend"), (None, "Plan:\nno key here"), (21, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], standins.SCHEMAS["documents"])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    tokens = standins.token_pieces(spark, str(tmp_path))
+    rows = tokens.withColumn("want", standins.md5_uniform("9", F.col("hadm_id"), F.col("tok_start"))).collect()
+    assert len(rows) > 10 and all(r.value == r.want and r.tok_end == r.tok_start + len(r.token) for r in rows)
+    assert any("𝔘" in r.token for r in rows)
+
+
+def test_terms_by_attribution_move_no_piece(spark, tmp_path):
+    """Pieces stay in their note's row: none is a row that is sorted or shuffled on the way to its word."""
+    from cohortlens.plans import standins
+    from cohortlens.plans.catalogue import QUERIES
+
+    text = "History of Present Illness:\nalpha betagamma\nalpha\nalpha delta\n"
+    docs = spark.createDataFrame([(7 * i, text, "en", "s", len(text)) for i in range(1, 5)], standins.SCHEMAS["documents"])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("top_terms_by_attribution", "attribution_by_term", "whole_word_values"):
+        found = QUERIES[name].run(spark, str(tmp_path))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "Sort [hadm_id" not in plan and plan.count("hashpartitioning(hadm_id") == 1
+        assert {"alpha", "betagamma"} <= {r.word for r in found.collect()}
