@@ -29,6 +29,7 @@ SPACE = "[\\x20\\x09-\\x0D]"
 WORD = "[^\\x20\\x09-\\x0D]"
 UNIT = 4096
 _PLACE = 26  # low bits of a composite that hold a window's place
+_FILES = 4  # of an estimate
 
 
 @dataclass(frozen=True)
@@ -156,6 +157,11 @@ def _sums(rows: DataFrame, keys: list[str], p: int) -> DataFrame:
     return sums.select(*keys, "n", *[f"s{i}" for i in range(p)], *whole)
 
 
+def _stored(table: DataFrame, name: str) -> DataFrame:
+    """A table of a row per key, in a few files: its size on disk then shows that it is small, and few tasks write."""
+    return materialise(table.repartition(_FILES), name)
+
+
 def judge(docs: DataFrame, rules: Rules | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, lang, source): statistics, base_failed, distance, kept.
 
@@ -178,22 +184,23 @@ def judge(docs: DataFrame, rules: Rules | None = None, carried: tuple[str, ...]
 
     xs = [f"x{i}" for i in range(p)]
     sound = rows.where("not base_failed").select("grp", *xs, F.xxhash64("doc_id", *xs).alias("spot"))
-    sizes = sound.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
     starts = F.array(F.lit(0), F.lit(1), F.lit(2))
     sound = sound.withColumn("start", F.explode(starts)).select("grp", "start", "spot", *xs)
     keys = ["grp", "start"]
     core = sound.where("start = 0 or (shiftrightunsigned(spot, start) & 1) = 0")
-    fit = materialise(_estimates(_sums(core, keys, p), keys, rules), "fit-0")
+    fit = _stored(_estimates(_sums(core, keys, p), keys, rules), "fit-0")
+    names = [c for c in fit.columns if c not in (*keys, "logdet")]
     cell = F.floor(F.log(F.greatest("d2", F.lit(1e-9))) * 64).cast("int")
-    upto = W.partitionBy(*keys).orderBy("cell")
+    all_cells = W.partitionBy(*keys)
     for step in range(1, rules.steps + 1):
         near = _with_distance(sound.join(fit, keys), p).withColumn("cell", cell)
         counts = near.groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("k"))
-        below = counts.withColumn("upto", F.sum("k").over(upto)).join(sizes, "grp")
+        below = counts.withColumn("upto", F.sum("k").over(all_cells.orderBy("cell"))).withColumn("size", F.sum("k").over(all_cells))
         edge = below.where(F.col("upto") >= F.col("size") * F.lit(rules.core)).groupBy(*keys).agg(F.min("cell").alias("edge"))
-        core = near.join(edge, keys).where("cell <= edge")
-        fit = materialise(_estimates(_sums(core, keys, p), keys, rules), f"fit-{step}")
-    names = [c for c in fit.columns if c not in (*keys, "logdet")]
+        # The edge goes to the rows with the fit, which is small, so no row moves to its group.
+        edged = _stored(fit.join(edge, keys), f"edge-{step}")
+        core = _with_distance(sound.join(edged, keys), p).withColumn("cell", cell).where("cell <= edge")
+        fit = _stored(_estimates(_sums(core, keys, p), keys, rules), f"fit-{step}")
     best = fit.groupBy("grp").agg(F.min(F.struct("logdet", "start", *names)).alias("b")).select("grp", *[F.col(f"b.{c}") for c in names])
     far = _with_distance(rows.join(best, "grp", "left"), p)
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= F.lit(_quantile(1 - rules.tail, p)), F.lit(False))

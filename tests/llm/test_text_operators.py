@@ -215,6 +215,36 @@ def test_outlier_distances_equal_numpy(spark, monkeypatch):
             assert got[r.doc_id].kept == (want <= limit)
 
 
+def test_outlier_steps_move_no_rows_and_write_few_files(spark, monkeypatch):
+    """Many groups and shuffle partitions: the estimates stay a few files, and no join of a fit sorts its rows by group."""
+    settings = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "256k"}
+    before = {k: spark.conf.get(k) for k in settings}
+    written, plans = {}, {}
+    true_materialise = outliers.materialise
+
+    def stored(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        written[name] = true_materialise(df, name)
+        return written[name]
+
+    monkeypatch.setattr(outliers, "materialise", stored)
+    monkeypatch.setattr(outliers, "ready", lambda session: session)
+    rng = random.Random(13)
+    rows = [(i, prose(rng, rng.randrange(60, 90), 3000), rng.choice(["en", "de", None]), f"s{i % 4}", i) for i in range(120)]
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert outliers.judge(spark.createDataFrame(rows, DOCS)).where("kept").count() > 100
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert written["fit-4"].count() == 3 * len({r[2:4] for r in rows})
+    for name in written.keys() - {"statistics"}:
+        assert len(written[name].inputFiles()) <= 4, name
+    for step in range(1, 5):
+        assert "SortMergeJoin" not in plans[f"fit-{step}"]
+
+
 def test_outlier_sums_pass_64_bits(spark):
     big = 1 << 31
     rows = spark.range(4).select(F.lit("g").alias("grp"), F.lit(big).cast("long").alias("x0"), F.lit(-big).cast("long").alias("x1"))
