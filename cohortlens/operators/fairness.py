@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +10,8 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import demographics, stats
 from cohortlens.operators.cohort import first_rows
-from cohortlens.operators.evaluation import clean_scores, histogram, rank_metrics
+from cohortlens.operators.draws import CHUNK, MODULUS, MULTIPLIER, block_terms, block_totals, poisson_limits  # noqa: F401 (the SQL check reads them here)
+from cohortlens.operators.evaluation import clean_scores, rank_metrics
 from cohortlens.operators.prefix import hash_key, key_of, prefix_sums
 from cohortlens.session import materialise
 
@@ -108,40 +108,25 @@ def equal_opportunity(table: DataFrame, keys: Sequence[str] = ("model", "group")
 
 #: Rows of a block of neighbouring scores; a score that more rows share is a block of its own.
 BLOCK_ROWS = 8192
-#: Replicates that share a row, each in columns of its own; with more, compiled code grows too long.
-CHUNK = 8
-# A row's uniforms are a Lehmer sequence (modulus 2^31 - 1, multiplier 48271) from its hash; whole numbers throughout.
-MODULUS, MULTIPLIER = 2**31 - 1, 48271
-
-
-def poisson_limits() -> list[int]:
-    """Largest uniform of each count 0, 1, ... of a Poisson variable of mean 1."""
-    out, share, term = [], 0.0, math.exp(-1.0)
-    for k in range(1, 13):
-        share += term
-        out.append(math.floor(MODULUS * share))
-        term /= k
-    return out
-
-
-def _draw(x: Column) -> Column:
-    """Poisson count of a uniform, by its inverse distribution function."""
-    limits = poisson_limits()
-    out = F.when(x <= limits[0], 0)
-    for k, limit in enumerate(limits[1:], 1):
-        out = out.when(x <= limit, k)
-    return out.otherwise(len(limits))
-
-
-def _blocks(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, score, _b, _order, _hot) per distinct score: the block it is in, ascending within a key by ``_order``."""
-    size = F.col("pos") + F.col("neg")
-    hist = histogram(scores, keys).withColumn("_rows", size).withColumn("_hot", (size > BLOCK_ROWS).cast("long"))
+
+
+def _blocks(scores: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(_key, score, _b, _pieces, _hot) per distinct score and (_key, _order, _hot, _b) per block.
+
+    Blocks ascend within a key by ``_order``. A score that is a block of its own
+    is hot and counted in pieces of about ``BLOCK_ROWS`` rows. Scores without
+    any label are left out.
+    """
+    hist = clean_scores(scores).groupBy(*keys, "score").agg(F.count("label").alias("_labelled"), F.count(F.lit(1)).alias("_rows"))
+    hist = hist.where("_labelled > 0").drop("_labelled").withColumn("_hot", (F.col("_rows") > BLOCK_ROWS).cast("long"))
     order = F.col("_hot_below") * 2**40 + F.col("_hot") * 2**39 + F.floor(F.col("_rows_below") / BLOCK_ROWS)
+    pieces = F.when(F.col("_hot") == 1, F.ceil(F.col("_rows") / BLOCK_ROWS)).otherwise(1)
     cells = prefix_sums(hist, keys, "score", ["_rows", "_hot"])
-    cells = materialise(cells.select(key_of(keys).alias("_key"), "score", F.col("_hot") == 1, order.alias("_order")).toDF("_key", "score", "_hot", "_order"), "cells")
-    blocks = materialise(cells.select("_key", "_order").distinct().withColumn("_b", F.monotonically_increasing_id()), "blocks")
-    return cells.join(blocks, ["_key", "_order"])
+    cells = cells.select(key_of(keys).alias("_key"), "score", pieces.alias("_pieces"), F.col("_hot") == 1, order.alias("_order"))
+    cells = materialise(cells.toDF("_key", "score", "_pieces", "_hot", "_order"), "cells")
+    blocks = cells.select("_key", "_order", "_hot").distinct().withColumn("_b", F.monotonically_increasing_id())
+    blocks = materialise(blocks, "blocks")
+    return cells.join(blocks.drop("_hot"), ["_key", "_order"]).drop("_order"), blocks
 
 
 def bootstrap_auprc(
@@ -151,58 +136,46 @@ def bootstrap_auprc(
 
     Each row is taken Poisson(1) times; ``row`` tells the rows of a key apart.
     Replicates with one class are skipped; the interval ends are order
-    statistics of the rest. Replicates are columns, ``CHUNK`` to a row. Scores
-    are cut into blocks. A first pass keeps block totals, whose running sums say
-    what lies above each block; the second repeats the same draws and adds the
-    running sums inside the block. Scores that many rows share need no second
-    pass, so no window holds more than two blocks' rows. Tables that grow with
-    the scores are never broadcast, and both passes spread the rows before they
-    are multiplied.
+    statistics of the rest. Scores are cut into blocks. A first pass keeps block
+    totals, whose running sums say what lies above each block; the second
+    repeats the same draws and adds the running sums inside the block. Scores
+    that many rows share need no second pass and are counted in pieces, so no
+    task holds more than two blocks' rows at a time. Both passes move each row
+    once, to its block, and draw there: what is written grows with the rows,
+    not with the draws. Tables that grow with the scores are never broadcast.
     """
     keys, chunks, spark = list(keys), -(-replicates // CHUNK), scores.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cells = _blocks(scores, keys)
+    cells, blocks = _blocks(scores, keys)
     start = F.conv(F.substring(hash_key([*keys, *row], seed), 1, 8), 16, 10).cast("long") % (MODULUS - 1) + 1
-    rows = clean_scores(scores).select(key_of(keys).alias("_key"), "score", (F.col("label") == 1).alias("_y"), start.alias("_x"))
-    rows = materialise(rows.join(cells.hint("merge"), ["_key", "score"]).select("_b", "_hot", "score", "_y", "_x"), "rows")
-    numbers = [F.lit(c) for c in range(chunks)]
-    jumps = [F.lit(pow(MULTIPLIER, c * CHUNK, MODULUS)).cast("long") for c in range(chunks)]
-    steps = [F.lit(pow(MULTIPLIER, j + 1, MODULUS)).cast("long") for j in range(CHUNK)]
-    each_chunk = F.explode(F.array(*[F.struct(n.alias("c"), m.alias("m")) for n, m in zip(numbers, jumps, strict=True)]))
-
-    def exploded(part: DataFrame) -> DataFrame:
-        out = part.withColumn("_c", each_chunk)
-        return out.select((F.col("_b") * chunks + F.col("_c.c")).alias("_bc"), "score", "_y", (F.col("_x") * F.col("_c.m") % MODULUS).alias("_x"))
-
-    def drawn(part: DataFrame) -> DataFrame:
-        """Per replicate of the chunk: the positives (_p) and all rows (_a) that a row stands for."""
-        moved = part.select("_bc", "score", "_y", *[(F.col("_x") * m % MODULUS).cast("int").alias(f"_x{j}") for j, m in enumerate(steps)])
-        counts = moved.select("_bc", "score", "_y", *[_draw(F.col(f"_x{j}")).alias(f"_a{j}") for j in range(CHUNK)])
-        return counts.select("*", *[F.when(F.col("_y"), F.col(f"_a{j}")).otherwise(0).alias(f"_p{j}") for j in range(CHUNK)])
+    positive = F.coalesce(F.col("label") == 1, F.lit(False))
+    rows = clean_scores(scores).select(key_of(keys).alias("_key"), "score", positive.alias("_y"), start.alias("_x"))
+    rows = rows.join(cells.hint("merge"), ["_key", "score"])
+    # Any piece will do, as totals are added up; stored, so both passes see the same.
+    piece = F.monotonically_increasing_id() % F.col("_pieces")
+    rows = materialise(rows.select("_b", piece.alias("_piece"), "_hot", "score", "_y", "_x"), "rows")
 
     names = [f"{n}{j}" for j in range(CHUNK) for n in ("_p", "_a")]
-    sums = [F.sum(c).alias(c) for c in names]
-    totals = drawn(exploded(rows.repartition(tasks))).groupBy("_bc").agg(*sums)
-    blocks = cells.select("_key", "_order", "_b", "_hot").distinct()
-    totals = totals.withColumn("_b", F.floor(F.col("_bc") / chunks)).withColumn("_chunk", F.col("_bc") % chunks).join(blocks, "_b")
+    schema = "_b bigint, _chunk bigint, "
+    drawn = rows.select("_b", "_piece", "_y", "_x").repartition(tasks, "_b", "_piece").groupBy("_b", "_piece")
+    totals = drawn.applyInArrow(block_totals(chunks), schema + ", ".join(f"{c} bigint" for c in names))
+    totals = totals.groupBy("_b", "_chunk").agg(*[F.sum(c).alias(c) for c in names]).join(blocks, "_b")
     totals = materialise(totals, "totals")
     higher = W.partitionBy("_key", "_chunk").orderBy(F.desc("_order")).rowsBetween(W.unboundedPreceding, -1)
     ahead = totals.select("*", *[F.coalesce(F.sum(c).over(higher), F.lit(0)).alias(f"{c}a") for c in names])
     ahead = materialise(ahead, "ahead")
 
-    def term(j: int, p: Column, more: str) -> Column:
-        """Precision at a place times the positives drawn there."""
-        seen = F.col(f"_a{j}a") + F.col(f"_a{j}{more}")
-        return F.when(p > 0, p * (F.col(f"_p{j}a") + F.col(f"_p{j}{more}")) / seen).otherwise(0.0)
-
-    # The narrow rows are sorted before anything is drawn; rows of one score are peers and share their sums.
-    inside = W.partitionBy("_bc").orderBy(F.desc("score"))
-    sorted_rows = exploded(rows.where("NOT _hot").repartition(tasks)).repartition(tasks, "_bc").sortWithinPartitions("_bc", F.desc("score"))
-    running = drawn(sorted_rows).select("_bc", *[f"_p{j}" for j in range(CHUNK)], *[F.sum(c).over(inside).alias(f"{c}r") for c in names])
-    running = running.join(ahead.select("_bc", *[f"{c}a" for c in names]).hint("merge"), "_bc")
-    terms = running.groupBy("_bc").agg(*[F.sum(term(j, F.col(f"_p{j}"), "r")).alias(f"_s{j}") for j in range(CHUNK)])
-    own = ahead.where("_hot").select("_bc", *[term(j, F.col(f"_p{j}"), "").alias(f"_s{j}") for j in range(CHUNK)])
-    whole = totals.join(terms.unionByName(own).hint("merge"), "_bc")
+    inside = rows.where("NOT _hot").select("_b", "score", "_y", "_x").repartition(tasks, "_b").groupBy("_b")
+    above = ahead.where("NOT _hot").select("_b", "_chunk", *[f"{c}a" for c in names]).repartition(tasks, "_b").groupBy("_b")
+    terms = inside.cogroup(above).applyInArrow(block_terms(chunks), schema + ", ".join(f"_s{j} double" for j in range(CHUNK)))
+
+    def term(j: int) -> Column:
+        """Positives drawn at a hot score times the precision there."""
+        p, seen = F.col(f"_p{j}"), F.col(f"_a{j}a") + F.col(f"_a{j}")
+        return F.when(p > 0, p * (F.col(f"_p{j}a") + p) / seen).otherwise(0.0)
+
+    own = ahead.where("_hot").select("_b", "_chunk", *[term(j).alias(f"_s{j}") for j in range(CHUNK)])
+    whole = totals.join(terms.unionByName(own).hint("merge"), ["_b", "_chunk"])
 
     def replicate(j: int) -> Column:
         p, n = F.sum(f"_p{j}"), F.sum(f"_a{j}") - F.sum(f"_p{j}")

@@ -1,5 +1,6 @@
 """Metrics against naive row-by-row computations and published figures."""
 
+import hashlib
 import math
 import random
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.operators import calibration, compare, decision, errors, evaluation, fairness
+from cohortlens.operators import calibration, compare, decision, draws, errors, evaluation, fairness
 from cohortlens.session import materialise
 
 
@@ -265,3 +266,75 @@ def test_bootstrap_broadcasts_no_row_tables_and_spreads_both_passes(scores, monk
     assert "SortMergeJoin" in seen["rows"]
     assert "BroadcastHashJoin" not in plan
     assert plan.count("REPARTITION_BY_NUM") >= 2  # before the rows are multiplied, and by block
+
+
+def shuffled_rows(plan):
+    """Rows that each exchange of an executed plan wrote."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return shuffled_rows(plan.executedPlan())
+    if plan.nodeName().endswith("QueryStage"):
+        return shuffled_rows(plan.plan())
+    below = [n for i in range(plan.children().size()) for n in shuffled_rows(plan.children().apply(i))]
+    return below + ([plan.metrics().apply("shuffleRecordsWritten").value()] if plan.nodeName() == "Exchange" else [])
+
+
+def test_bootstrap_writes_rows_and_blocks_not_draws(scores, monkeypatch):
+    """1,000 replicates are 125 chunks: a row is moved as it is, and only a block becomes a row per chunk."""
+    seen = {}
+
+    def noted(df, name):
+        df.collect()
+        seen[name] = shuffled_rows(df._jdf.queryExecution().executedPlan())
+        return materialise(df, name)
+
+    monkeypatch.setattr(fairness, "materialise", noted)
+    out = fairness.bootstrap_auprc(scores, ["model"], 1000)
+    assert out.count() == 3
+    out.collect()
+    seen["result"] = shuffled_rows(out._jdf.queryExecution().executedPlan())
+    assert len(ROWS) in seen["totals"] and len(ROWS) in seen["result"]  # both passes move every row once
+    assert max(n for found in seen.values() for n in found) < 5 * len(ROWS)
+
+
+def test_bootstrap_equals_plain_replicates(spark, monkeypatch):
+    """Missing keys, missing and odd scores, tied scores (blocks and pieces of their own) and repeated rows."""
+    rng = random.Random(5)
+    odd = [None, float("nan"), 0.0, -0.0, float("inf"), -float("inf")]
+    rows = [(k, i, rng.randint(0, 1), rng.choice([*odd, rng.random(), 0.5, 0.5, 0.5])) for k in ("a", None) for i in range(120)]
+    rows += [("one", 1, 1, 0.5), *[("b", i // 2, i // 2 % 2, i / 9) for i in range(40)]]
+    df = spark.createDataFrame(rows, "model string, hadm_id long, label int, score double")
+    expected, limits = {}, draws.poisson_limits()
+    for key in ("a", None, "b"):
+        values = []
+        for r in range(60):
+            cells = {}
+            for k, i, y, s in rows:
+                if k == key:
+                    text = "|".join(["42", *([] if k is None else [k]), str(i)])
+                    start = int(hashlib.md5(text.encode()).hexdigest()[:8], 16) % (draws.MODULUS - 1) + 1
+                    x = start * pow(draws.MULTIPLIER, r + 1, draws.MODULUS) % draws.MODULUS
+                    cell = cells.setdefault(0.0 if s is None or math.isnan(s) else s, [0, 0])
+                    cell[y] += sum(x > limit for limit in limits)
+            tp = seen = total = 0
+            for s in sorted(cells, reverse=True):
+                tp, seen = tp + cells[s][1], seen + sum(cells[s])
+                total += cells[s][1] * tp / seen if cells[s][1] else 0.0
+            if 0 < tp < seen:
+                values.append(total / tp)
+        values.sort()
+        expected[key] = (len(values), values[int(len(values) * 0.025)], values[int(len(values) * 0.975)])
+    for size in (7, 8192):
+        monkeypatch.setattr(fairness, "BLOCK_ROWS", size)
+        got = {r.model: (r.n_valid, r.auprc_ci_lo, r.auprc_ci_hi) for r in fairness.bootstrap_auprc(df, ["model"], 60).collect()}
+        assert set(got) == set(expected)
+        for key, want in expected.items():
+            assert got[key] == pytest.approx(want, abs=1e-12)
+
+
+def test_poisson_counts_equal_plain_steps():
+    """Ends of the range, and all counts whatever number of them is drawn at a time."""
+    starts = np.array([1, 2, draws.MODULUS - 1, *random.Random(3).sample(range(1, draws.MODULUS), 800)])
+    limits = draws.poisson_limits()
+    want = [[sum(int(x) * pow(draws.MULTIPLIER, r + 1, draws.MODULUS) % draws.MODULUS > v for v in limits) for x in starts] for r in range(100)]
+    got = np.concatenate([c.copy() for _, c in draws.poisson_counts(starts, 100)])
+    assert got.tolist() == want and got.max() >= 6
